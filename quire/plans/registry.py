@@ -10,8 +10,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import commerce
-from ..sources import tables, views
+
+from ..functions.scalars import csv_path, submission_id_from_path
+from ..operators import commerce, exports
+from ..sources import requests, tables, views
+
+ORG = "1"   # the organization every registered audit query reports on
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,7 +32,107 @@ def _category_rank_top3(c):
     return commerce.category_rank(commerce.category_revenue(c), 3)
 
 
+def _audit(fn):
+    """Audit query over org ``ORG`` and a request covering every submission."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t = tables.load(spark, sf_dir)
+        return fn(spark, t, views.audit_tables(t), ORG, views.all_submission_ids(t))
+    run.__name__ = fn.__name__
+    return run
+
+
+@_audit
+def scan_org_filter(spark, t, a, org, ids):
+    return exports.scope(a.answers, org)
+
+
+@_audit
+def request_ids_semi(spark, t, a, org, ids):
+    docs = requests.requests_from_orders(t.orders, org, "all submissions")
+    req = requests.request_ids(requests.parse_requests(docs))
+    return a.answers.join(req.select("organization_id", "submission_id"),
+                          ["organization_id", "submission_id"], "left_semi")
+
+
+@_audit
+def value_resolve(spark, t, a, org, ids):
+    return exports.value_resolution(a, org)
+
+
+@_audit
+def forms_base(spark, t, a, org, ids):
+    return exports.forms_data(a, org, ids)
+
+
+@_audit
+def forms_path(spark, t, a, org, ids):
+    return exports.with_form_path(exports.forms_data(a, org, ids))
+
+
+@_audit
+def forms_export(spark, t, a, org, ids):
+    return exports.forms_export(a, org, ids)
+
+
+@_audit
+def form_rows_split(spark, t, a, org, ids):
+    return exports.form_rows(exports.forms_export(a, org, ids))
+
+
+@_audit
+def table_question_rows(spark, t, a, org, ids):
+    return exports.table_question_rows(exports.forms_export(a, org, ids))
+
+
+@_audit
+def table_question_explode(spark, t, a, org, ids):
+    return exports.table_question_items(exports.table_question_rows(exports.forms_export(a, org, ids)))
+
+
+@_audit
+def review_stage_export(spark, t, a, org, ids):
+    return exports.review_stage_export(a, org, ids)
+
+
+@_audit
+def chronology_export(spark, t, a, org, ids):
+    return exports.chronology_export(a, org, ids)
+
+
+@_audit
+def files_manifest(spark, t, a, org, ids):
+    return exports.files_manifest(a, org, ids)
+
+
+@_audit
+def csv_path_query(spark, t, a, org, ids):
+    fm = exports.files_manifest(a, org, ids)
+    return fm.select("submission_id", "file_id", "folder_directory",
+                     csv_path("folder_directory").alias("csv_path"))
+
+
+@_audit
+def submission_id_from_path_query(spark, t, a, org, ids):
+    fe = exports.forms_export(a, org, ids)
+    return fe.select("folder_directory",
+                     submission_id_from_path("folder_directory").alias("submission_id")).distinct()
+
+
 QUERIES: dict[str, Query] = {
+    "scan_org_filter": scan_org_filter,
+    "request_ids_semi": request_ids_semi,
+    "value_resolve": value_resolve,
+    "forms_base": forms_base,
+    "forms_path": forms_path,
+    "forms_export": forms_export,
+    "form_rows_split": form_rows_split,
+    "table_question_rows": table_question_rows,
+    "table_question_explode": table_question_explode,
+    "review_stage_export": review_stage_export,
+    "chronology_export": chronology_export,
+    "files_manifest": files_manifest,
+    "csv_path": csv_path_query,
+    "submission_id_from_path": submission_id_from_path_query,
     "daily_orders": _commerce(commerce.daily_orders),
     "category_revenue": _commerce(commerce.category_revenue),
     "category_rank_top3": _commerce(_category_rank_top3),
