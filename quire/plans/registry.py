@@ -6,16 +6,27 @@ of ``quire.sources.views``) and returns a lazy DataFrame; nothing is collected.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-from ..functions.scalars import csv_path, submission_id_from_path
-from ..operators import commerce, exports
+from ..functions.scalars import csv_path, multi_replace, submission_id_from_path
+from ..operators import commerce, exports, progress, status
 from ..sources import requests, tables, views
 
-ORG = "1"   # the organization every registered audit query reports on
+# Parameters of the registered audit report (one report over every submission
+# of one organization).
+ORG = "1"
+REPORT_NAME = "all submissions"
+RUN_TS = "2024-01-31 17:05:00"
+REPORT_ID = str(uuid.uuid5(uuid.NAMESPACE_URL, f"quire/{ORG}/{REPORT_NAME}/{RUN_TS}"))
+
+# Literal substitution applied to document texts: overlapping keys (first
+# listed wins at a position) and a replacement that contains another key
+# (never rescanned).
+SUBSTITUTIONS = [("the", "THE"), ("th", "TH"), ("he", "she"), ("and", "&"), (". ", ".|")]
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -118,6 +129,44 @@ def submission_id_from_path_query(spark, t, a, org, ids):
                      submission_id_from_path("folder_directory").alias("submission_id")).distinct()
 
 
+def dictionary_substitute(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = tables.load(spark, sf_dir).documents
+    return d.select("doc_id", multi_replace("text", SUBSTITUTIONS).alias("text"))
+
+
+def _status_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.status_log(tables.load(spark, sf_dir))
+
+
+def report_status_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return status.latest_status(_status_log(spark, sf_dir))
+
+
+def report_status_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return status.status_lookup(report_status_latest(spark, sf_dir), organization_id=ORG)
+
+
+@_audit
+def batch_progress(spark, t, a, org, ids):
+    return progress.batch_progress(ids)
+
+
+def _coverage(a, org, ids):
+    forms = exports.form_rows(exports.forms_export(a, org, ids))
+    return progress.submission_coverage(ids, forms, exports.files_manifest(a, org, ids))
+
+
+@_audit
+def submission_coverage(spark, t, a, org, ids):
+    return _coverage(a, org, ids)
+
+
+@_audit
+def report_summary(spark, t, a, org, ids):
+    return progress.report_summary(_coverage(a, org, ids), org, REPORT_NAME, run_ts=RUN_TS,
+                                   report_id=REPORT_ID)
+
+
 QUERIES: dict[str, Query] = {
     "scan_org_filter": scan_org_filter,
     "request_ids_semi": request_ids_semi,
@@ -141,6 +190,12 @@ QUERIES: dict[str, Query] = {
     "missing_items_by_month": _commerce(commerce.missing_items_by_month),
     "customer_region_profile": _commerce(commerce.customer_region_profile),
     "delivery_lag": _commerce(commerce.delivery_lag),
+    "dictionary_substitute": dictionary_substitute,
+    "report_status_latest": report_status_latest,
+    "report_status_lookup": report_status_lookup,
+    "batch_progress": batch_progress,
+    "submission_coverage": submission_coverage,
+    "report_summary": report_summary,
 }
 
 

@@ -152,7 +152,8 @@ def status_log(t: Tables) -> DataFrame:
     """Report-status events: one row per change to a report's status item.
 
     Key: (organization_id, report_id); order: (ts, seq).  ``op`` is one of
-    create / progress / percent / complete / delete.
+    create / progress / percent / complete / delete; ``num`` and ``text`` carry
+    the new attribute value (see ``quire.operators.status``).
     """
     e = t.events
     op = (F.when(e.event_type == "signup", "create")
@@ -160,13 +161,17 @@ def status_log(t: Tables) -> DataFrame:
           .when(e.event_type == "view", "percent")
           .when(e.event_type == "purchase", "complete")
           .when(e.event_type == "error", "delete"))
+    rid = F.concat(F.lit("r"), e.user_id.cast("string"))
+    text = (F.when(e.event_type == "signup", F.concat(F.lit("Report "), e.user_id.cast("string")))
+            .when(e.event_type == "purchase", F.concat(F.lit("AuditGrp_"), rid, F.lit(".zip"))))
     return e.select(
         _org(e.user_id).alias("organization_id"),
-        F.concat(F.lit("r"), e.user_id.cast("string")).alias("report_id"),
+        rid.alias("report_id"),
         e.ts.alias("ts"),
         e.event_id.alias("seq"),
         op.alias("op"),
-        e.value.alias("value"),
+        e.value.alias("num"),
+        text.alias("text"),
     )
 
 
