@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 from ..functions.scalars import csv_path, multi_replace, submission_id_from_path
-from ..operators import commerce, exports, progress, status
+from ..operators import commerce, exports, progress, sink, status
 from ..sources import requests, tables, views
 
 # Parameters of the registered audit report (one report over every submission
@@ -167,6 +167,16 @@ def report_summary(spark, t, a, org, ids):
                                    report_id=REPORT_ID)
 
 
+@_audit
+def csv_fanout(spark, t, a, org, ids):
+    return sink.plan_csv_files(exports.sections(spark, a, org, ids))
+
+
+@_audit
+def submission_archives(spark, t, a, org, ids):
+    return sink.plan_archives(exports.sections(spark, a, org, ids))
+
+
 QUERIES: dict[str, Query] = {
     "scan_org_filter": scan_org_filter,
     "request_ids_semi": request_ids_semi,
@@ -196,6 +206,8 @@ QUERIES: dict[str, Query] = {
     "batch_progress": batch_progress,
     "submission_coverage": submission_coverage,
     "report_summary": report_summary,
+    "csv_fanout": csv_fanout,
+    "submission_archives": submission_archives,
 }
 
 
