@@ -10,11 +10,13 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 from ..functions.scalars import csv_path, multi_replace, submission_id_from_path
 from ..operators import commerce, exports, progress, sink, status
-from ..sources import requests, tables, views
+from ..session import scratch_dir
+from ..sources import objects, requests, tables, views
 
 # Parameters of the registered audit report (one report over every submission
 # of one organization).
@@ -26,6 +28,11 @@ REPORT_ID = str(uuid.uuid5(uuid.NAMESPACE_URL, f"quire/{ORG}/{REPORT_NAME}/{RUN_
 # Literal substitution applied to document texts: overlapping keys (first
 # listed wins at a position) and a replacement that contains another key
 # (never rescanned).
+# Object store of the registered attachment queries: every document text is
+# uploaded as <source>/k/<doc_id>, except documents in this language, which
+# are never uploaded (their attachments come back as missing).
+NOT_UPLOADED_LANG = "de"
+
 SUBSTITUTIONS = [("the", "THE"), ("th", "TH"), ("he", "she"), ("and", "&"), (". ", ".|")]
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -177,6 +184,28 @@ def submission_archives(spark, t, a, org, ids):
     return sink.plan_archives(exports.sections(spark, a, org, ids))
 
 
+def _object_store(spark: SparkSession, t) -> str:
+    root = scratch_dir(spark, "objects")
+    docs = objects.documents_as_objects(t.documents, F.col("lang") != NOT_UPLOADED_LANG)
+    objects.put_objects(spark, docs, root)
+    return root
+
+
+@_audit
+def attachment_fetch(spark, t, a, org, ids):
+    root = _object_store(spark, t)
+    fm = exports.files_manifest(a, org, ids).select(
+        "submission_id", "file_id", "bucket_name", "storage_key", "folder_directory")
+    return objects.fetch_attachments(spark, fm, root).select(
+        "submission_id", "file_id", "bucket_name", "storage_key", "destination_path", "status", "length")
+
+
+def object_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = tables.load(spark, sf_dir)
+    root = _object_store(spark, t)
+    return objects.list_objects(spark, root).select("bucket_name", "storage_key", "length")
+
+
 QUERIES: dict[str, Query] = {
     "scan_org_filter": scan_org_filter,
     "request_ids_semi": request_ids_semi,
@@ -208,6 +237,8 @@ QUERIES: dict[str, Query] = {
     "report_summary": report_summary,
     "csv_fanout": csv_fanout,
     "submission_archives": submission_archives,
+    "attachment_fetch": attachment_fetch,
+    "object_listing": object_listing,
 }
 
 

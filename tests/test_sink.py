@@ -74,3 +74,35 @@ def test_archives_match_plan(spark, scratch):
         assert len(names) == plan[k].entries and r.rows == plan[k].rows
         readme = list(csv.reader(io.StringIO(z.read("Audit_Folder/readme.csv").decode())))
         assert readme == [["summary", "folder_directory"], [exports.README_TEXT, "Audit_Folder/readme.csv"]]
+
+
+def test_attachments_fetched_and_archived(spark, scratch):
+    from quire.sources import objects
+
+    store = os.path.join(scratch, "store")
+    objs = spark.createDataFrame([("b1/k/1", b"one"), ("b1/k/2", b"\x00\x01two")], "path string, content binary")
+    objects.put_objects(spark, objs, store)
+    listing = sorted(tuple(r) for r in objects.list_objects(spark, store)
+                     .select("bucket_name", "storage_key", "length").collect())
+    assert listing == [("b1", "k/1", 3), ("b1", "k/2", 5)]
+    manifest = spark.createDataFrame(
+        [(7, "b1", "k/1", "Audit_Folder/Audit_7/files_/a.pdf", ""),
+         (7, "b1", "k/2", "Audit_Folder/Audit_7/files_/b.pdf", "renamed.pdf"),
+         (8, "b1", "k/404", "Audit_Folder/Audit_8/files_/c.pdf", None)],
+        "submission_id long, bucket_name string, storage_key string, folder_directory string, new_name string")
+    got = objects.fetch_attachments(spark, manifest, store, new_name_col="new_name")
+    rows = {r.storage_key: r for r in got.collect()}
+    assert rows["k/404"].status == "missing" and rows["k/1"].status == "ok"
+    assert rows["k/2"].destination_path == "Audit_Folder/Audit_7/files_/renamed.pdf"
+    forms = spark.createDataFrame([(7, "x", "Audit_Folder/Audit_7/f/form_data.csv"),
+                                   (8, "y", "Audit_Folder/Audit_8/f/form_data.csv")],
+                                  "submission_id long, v string, folder_directory string")
+    out = os.path.join(scratch, "out")
+    m = sink.write_archives(spark, {"forms": forms}, out, attachments=got.where("status = 'ok'"),
+                            objects_root=store)
+    files = {r.key: r.file for r in m.collect()}
+    z = zipfile.ZipFile(os.path.join(out, files["7.zip"]))
+    assert sorted(z.namelist()) == ["Audit_Folder/Audit_7/f/form_data.csv", "Audit_Folder/Audit_7/files_/a.pdf",
+                                    "Audit_Folder/Audit_7/files_/renamed.pdf"]
+    assert z.read("Audit_Folder/Audit_7/files_/renamed.pdf") == b"\x00\x01two"
+    assert zipfile.ZipFile(os.path.join(out, files["8.zip"])).namelist() == ["Audit_Folder/Audit_8/f/form_data.csv"]
