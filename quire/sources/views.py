@@ -181,10 +181,11 @@ def status_log(t: Tables) -> DataFrame:
 class CommerceTables:
     orders: DataFrame        # order_id, customer_id, order_purchase_timestamp
     payments: DataFrame      # order_id, payment_value
-    customers: DataFrame     # customer_id, customer_city, customer_state
+    customers: DataFrame     # customer_id, customer_zip_code_prefix
     items: DataFrame         # order_id, order_item_id, product_id, price, shipping_date
     products: DataFrame      # product_id, product_category_name
     translation: DataFrame   # product_category_name
+    geolocation: DataFrame   # geolocation_zip_code_prefix, geolocation_city, geolocation_state
 
 
 def commerce_tables(t: Tables) -> CommerceTables:
@@ -193,14 +194,14 @@ def commerce_tables(t: Tables) -> CommerceTables:
     orders = o.select(o.o_orderkey.alias("order_id"), o.o_custkey.alias("customer_id"),
                       o.o_orderdate.alias("order_purchase_timestamp"))
     payments = li.select(li.l_orderkey.alias("order_id"), li.l_extendedprice.alias("payment_value"))
-    geo = n.join(r, n.n_regionkey == r.r_regionkey).select(
-        "n_nationkey", F.col("n_name").alias("customer_city"), F.col("r_name").alias("customer_state"))
-    customers = c.join(geo, c.c_nationkey == geo.n_nationkey, "left").select(
-        c.c_custkey.alias("customer_id"), "customer_city", "customer_state")
+    customers = c.select(c.c_custkey.alias("customer_id"), c.c_nationkey.alias("customer_zip_code_prefix"))
+    geolocation = n.join(r, n.n_regionkey == r.r_regionkey).select(
+        F.col("n_nationkey").alias("geolocation_zip_code_prefix"),
+        F.col("n_name").alias("geolocation_city"), F.col("r_name").alias("geolocation_state"))
     items = li.select(li.l_orderkey.alias("order_id"), li.l_linenumber.alias("order_item_id"),
                       li.l_partkey.alias("product_id"), li.l_extendedprice.alias("price"),
                       li.l_shipdate.alias("shipping_date"))
     products = p.select(p.p_partkey.alias("product_id"), p.p_type.alias("product_category_name"))
     translation = (p.where(p.p_type != "ECONOMY")
                    .select(p.p_type.alias("product_category_name")).distinct())
-    return CommerceTables(orders, payments, customers, items, products, translation)
+    return CommerceTables(orders, payments, customers, items, products, translation, geolocation)

@@ -15,8 +15,7 @@ def _c(spark):
                                    "order_id long, customer_id long, order_purchase_timestamp timestamp_ntz")
     payments = spark.createDataFrame([(1, 10.005), (2, 20.0), (3, 1.0), (3, 2.0)],
                                      "order_id long, payment_value double")
-    customers = spark.createDataFrame([(10, "c", "s"), (11, "c", "s")],
-                                      "customer_id long, customer_city string, customer_state string")
+    customers = spark.createDataFrame([(10, 1), (11, 1)], "customer_id long, customer_zip_code_prefix long")
     items = spark.createDataFrame(
         [(1, 1, 100, 5.0, D1), (1, 2, 101, 2.5, D1), (2, 1, 102, 5.0, D1), (2, 1, 103, 1.0, D1),
          (3, 1, 104, 1.0, D2)],
@@ -24,7 +23,9 @@ def _c(spark):
     products = spark.createDataFrame([(100, "toys"), (101, "art"), (102, "bed"), (103, "xx"), (104, "xx")],
                                      "product_id long, product_category_name string")
     translation = spark.createDataFrame([("toys",), ("art",), ("bed",)], "product_category_name string")
-    return CommerceTables(orders, payments, customers, items, products, translation)
+    geo = spark.createDataFrame([(1, "c", "s")], "geolocation_zip_code_prefix long, geolocation_city string, "
+                                                 "geolocation_state string")
+    return CommerceTables(orders, payments, customers, items, products, translation, geo)
 
 
 def test_daily_category_report(spark):
@@ -58,7 +59,7 @@ def test_monthly_rolling_window(spark):
                                  "order_id long, customer_id long, order_purchase_timestamp timestamp_ntz")
     pays = spark.createDataFrame([(5, 4.0), (6, 8.0), (7, 16.0)], "order_id long, payment_value double")
     c2 = CommerceTables(c.orders.unionByName(more), c.payments.unionByName(pays), c.customers, c.items,
-                        c.products, c.translation)
+                        c.products, c.translation, c.geolocation)
     rows = commerce.monthly_rolling(c2).orderBy("order_month").collect()
     rpo = [r.revenue_per_order_usd for r in rows]
     assert rpo == [Decimal("11.00"), Decimal("4.00"), Decimal("8.00"), Decimal("16.00")]
