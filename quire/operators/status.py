@@ -36,10 +36,11 @@ def _latest(cond: Column, payload: Column) -> Column:
     return F.max(F.when(cond, F.struct(F.col("ts"), F.col("seq"), payload.alias("v"))))
 
 
-def latest_status(log: DataFrame) -> DataFrame:
-    """Current status item per (organization_id, report_id); deleted keys absent."""
-    op = F.col("op")
-    agg = log.groupBy(*KEY).agg(
+def fold_aggregates(op: Column | None = None) -> list[Column]:
+    """The per-key aggregates of the fold (associative; also usable as the
+    state of a streaming aggregation)."""
+    op = F.col("op") if op is None else op
+    return [
         F.max(F.struct("ts", "seq")).alias("_last"),
         F.max(F.when(op == "delete", F.struct("ts", "seq"))).alias("_del"),
         _latest(op == "create", F.col("text")).alias("_name"),
@@ -50,8 +51,17 @@ def latest_status(log: DataFrame) -> DataFrame:
                 F.when(op == "create", F.lit(0)).otherwise(F.floor("num").cast("int"))).alias("_processed"),
         _latest(op == "percent", F.col("num")).alias("_percent"),
         _latest(op == "complete", F.col("text")).alias("_file"),
-    )
+    ]
+
+
+def fold(log: DataFrame) -> DataFrame:
+    """Per-key fold state (one row per key, deleted keys included)."""
+    return log.groupBy(*KEY).agg(*fold_aggregates())
 
+
+def finalize(agg: DataFrame) -> DataFrame:
+    """Status items from fold state: drop keys whose last event is a delete,
+    keep only attribute values set after the last delete."""
     def after_delete(c: str) -> Column:
         s = F.col(c)
         keep = s.isNotNull() & (F.col("_del").isNull() | (F.struct(s.ts, s.seq) > F.col("_del")))
@@ -70,6 +80,11 @@ def latest_status(log: DataFrame) -> DataFrame:
     )
 
 
+def latest_status(log: DataFrame) -> DataFrame:
+    """Current status item per (organization_id, report_id); deleted keys absent."""
+    return finalize(fold(log))
+
+
 def status_lookup(latest: DataFrame, organization_id: str | None = None,
                   report_id: str | None = None) -> DataFrame:
     """Items of one organization (optionally one report) with the response a

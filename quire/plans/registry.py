@@ -17,6 +17,7 @@ from ..functions.scalars import csv_path, multi_replace, submission_id_from_path
 from ..operators import commerce, exports, progress, sink, status
 from ..session import scratch_dir
 from ..sources import objects, requests, tables, views
+from ..streaming import status_stream
 
 # Parameters of the registered audit report (one report over every submission
 # of one organization).
@@ -149,6 +150,11 @@ def report_status_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return status.latest_status(_status_log(spark, sf_dir))
 
 
+def report_status_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The status fold run as a Structured Streaming job over the log files."""
+    return status_stream.fold_log_stream(spark, _status_log(spark, sf_dir), scratch_dir(spark, "status"))
+
+
 def report_status_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return status.status_lookup(report_status_latest(spark, sf_dir), organization_id=ORG)
 
@@ -232,6 +238,7 @@ QUERIES: dict[str, Query] = {
     "dictionary_substitute": dictionary_substitute,
     "report_status_latest": report_status_latest,
     "report_status_lookup": report_status_lookup,
+    "report_status_stream": report_status_stream,
     "batch_progress": batch_progress,
     "submission_coverage": submission_coverage,
     "report_summary": report_summary,
