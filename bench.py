@@ -32,7 +32,7 @@ def main() -> None:
     os.environ["BENCH_CPUS"] = cpus
     from quire.operators import exports, sink
     from quire.plans.registry import ORG, queries
-    from quire.session import build_session
+    from quire.session import build_session, scratch_dir
     from quire.sources import tables, views
 
     spark = build_session(master=f"local[{cpus}]", shuffle_partitions=int(cpus) * 2, app="quire-bench")
@@ -49,7 +49,8 @@ def main() -> None:
     out = tempfile.mkdtemp(prefix="quire-bench-out-")
     t0 = time.perf_counter()
     t = tables.load(spark, sf_dir)
-    secs = exports.sections(spark, views.audit_tables(t), ORG, views.all_submission_ids(t))
+    secs = exports.sections(spark, views.audit_tables(t), ORG, views.all_submission_ids(t),
+                            materialize_dir=scratch_dir(spark, "bench"))
     sink.write_csv_files(spark, secs, out).count()
     times["audit_folder_write"] = round(time.perf_counter() - t0, 3)
 

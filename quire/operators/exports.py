@@ -103,7 +103,12 @@ def forms_export(a: AuditTables, org: str | None, ids: DataFrame | None) -> Data
     Equal to ``distinct(data) UNION distinct(pointers)``: a UNION of distinct
     sets is the distinct of their bag union, so the join tree runs once.
     """
-    fd = with_form_path(forms_data(a, org, ids))
+    return forms_export_from(forms_data(a, org, ids))
+
+
+def forms_export_from(forms_data_df: DataFrame) -> DataFrame:
+    """``forms_export`` over an already computed ``forms_data``."""
+    fd = with_form_path(forms_data_df)
     c = F.col
     data = F.struct(*[c(n) for n in FORM_COLUMNS])
     pointer = F.struct(
@@ -187,8 +192,13 @@ def chronology_export(a: AuditTables, org: str | None, ids: DataFrame | None) ->
 
 def files_manifest(a: AuditTables, org: str | None, ids: DataFrame | None) -> DataFrame:
     """Files referenced by answers (file id = answer's sub-field id)."""
-    fd = forms_data(a, org, ids).alias("fd")
-    f = a.files.alias("f")
+    return files_manifest_from(forms_data(a, org, ids), a.files)
+
+
+def files_manifest_from(forms_data_df: DataFrame, files: DataFrame) -> DataFrame:
+    """``files_manifest`` over an already computed ``forms_data``."""
+    fd = forms_data_df.alias("fd")
+    f = files.alias("f")
     j = f.join(fd, F.col("f.id").cast("string") == F.col("fd.sub_field_id"))
     c = F.col
     return j.select(
@@ -210,15 +220,26 @@ def readme(spark: SparkSession) -> DataFrame:
 
 
 def sections(spark: SparkSession, a: AuditTables, org: str | None,
-             ids: DataFrame | None) -> dict[str, DataFrame]:
-    """The six sections of one audit report, keyed by section name."""
-    forms = forms_export(a, org, ids)
+             ids: DataFrame | None, materialize_dir: str | None = None) -> dict[str, DataFrame]:
+    """The six sections of one audit report, keyed by section name.
+
+    Three sections (forms, table questions, files) derive from the same
+    answer join tree.  With ``materialize_dir`` (a folder under the shared
+    checkpoint location) that tree is computed once and written as parquet,
+    and the sections read it back; otherwise each section plans it anew.
+    """
+    fd = forms_data(a, org, ids)
+    if materialize_dir:
+        path = f"{materialize_dir.rstrip('/')}/forms_data"
+        fd.write.mode("overwrite").parquet(path)
+        fd = spark.read.parquet(path)
+    forms = forms_export_from(fd)
     return {
         "readme": readme(spark),
         "forms": form_rows(forms),
         "review_stage": review_stage_export(a, org, ids),
         "chronology": chronology_export(a, org, ids),
-        "files": files_manifest(a, org, ids),
+        "files": files_manifest_from(fd, a.files),
         "table_question": table_question_items(table_question_rows(forms)),
     }
 

@@ -180,14 +180,18 @@ def report_summary(spark, t, a, org, ids):
                                    report_id=REPORT_ID)
 
 
+def _sections(spark, a, org, ids):
+    return exports.sections(spark, a, org, ids, materialize_dir=scratch_dir(spark, "sections"))
+
+
 @_audit
 def csv_fanout(spark, t, a, org, ids):
-    return sink.plan_csv_files(exports.sections(spark, a, org, ids))
+    return sink.plan_csv_files(_sections(spark, a, org, ids))
 
 
 @_audit
 def submission_archives(spark, t, a, org, ids):
-    return sink.plan_archives(exports.sections(spark, a, org, ids))
+    return sink.plan_archives(_sections(spark, a, org, ids))
 
 
 def _object_store(spark: SparkSession, t) -> str:
