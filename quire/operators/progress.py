@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import REPORT_STAMP_FORMAT
+from ..session import ensure_checkpoint_dir
 from .status import COMPLETED, INCOMPLETE
 
 COUNT_PER_BATCH = 2   # fixed value: submissions per batch in the original run
@@ -32,6 +33,7 @@ def with_row_index(df: DataFrame, order_cols: list[str], name: str = "row_index"
     partition, a size bounded by the partition count — get running offsets and
     are broadcast back.
     """
+    ensure_checkpoint_dir(df.sparkSession)
     s = (df.orderBy(*order_cols)
          .select("*", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_m"))
          .checkpoint(eager=True))

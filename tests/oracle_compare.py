@@ -83,8 +83,17 @@ def main(argv):
     from quire.session import build_session
 
     sf_dir = "/root/testdata/sf0.01"
-    names = argv[1:] or sorted(oracle_sql())
-    spark = build_session()
+    args = [a for a in argv[1:] if not a.startswith("--")]
+    names = args or sorted(oracle_sql())
+    if "--plain" in argv:
+        # a session as a caller would build it: defaults, no checkpoint folder
+        from pyspark.sql import SparkSession
+
+        spark = (SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false")
+                 .config("spark.ui.showConsoleProgress", "false").getOrCreate())
+        spark.sparkContext.setLogLevel("ERROR")
+    else:
+        spark = build_session()
     con = duck(sf_dir)
     qs, sqls = queries(), oracle_sql()
     bad = 0
