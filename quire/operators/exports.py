@@ -97,16 +97,19 @@ def with_form_path(fd: DataFrame) -> DataFrame:
         c("created_user_email"), c("completed_at")))
 
 
-def forms_export(a: AuditTables, org: str | None, ids: DataFrame | None) -> DataFrame:
+def forms_export(a: AuditTables, org: str | None, ids: DataFrame | None,
+                 consistent_paths: bool = False) -> DataFrame:
     """Distinct answer rows plus one pointer row per table-question answer.
 
     Equal to ``distinct(data) UNION distinct(pointers)``: a UNION of distinct
     sets is the distinct of their bag union, so the join tree runs once.
+    ``consistent_paths`` makes pointer rows point at the answer's real path
+    and sit in the form's own CSV (the original layout does neither).
     """
-    return forms_export_from(forms_data(a, org, ids))
+    return forms_export_from(forms_data(a, org, ids), consistent_paths)
 
 
-def forms_export_from(forms_data_df: DataFrame) -> DataFrame:
+def forms_export_from(forms_data_df: DataFrame, consistent_paths: bool = False) -> DataFrame:
     """``forms_export`` over an already computed ``forms_data``."""
     fd = with_form_path(forms_data_df)
     c = F.col
@@ -116,10 +119,10 @@ def forms_export_from(forms_data_df: DataFrame) -> DataFrame:
         F.lit(paths.POINTER_LABEL).alias("field_label"),
         F.lit(paths.POINTER_SUB_FIELD).alias("sub_field_id"),
         paths.pointer_value(c("submission_id"), c("form_type"), c("form_name"),
-                            c("created_user_email"), c("completed_at")).alias("value"),
+                            c("created_user_email"), c("completed_at"), consistent_paths).alias("value"),
         c("completed_at"), c("created_at"), c("created_user_email"),
-        paths.pointer_directory(c("submission_id"), c("form_type"), c("form_name"),
-                                c("completed_at")).alias("folder_directory"))
+        paths.pointer_directory(c("submission_id"), c("form_type"), c("form_name"), c("completed_at"),
+                                c("created_user_email"), consistent_paths).alias("folder_directory"))
     rows = F.when(c("field_label") == paths.TABLE_QUESTION, F.array(data, pointer)).otherwise(F.array(data))
     return fd.select(F.inline(rows)).distinct()
 
@@ -220,7 +223,8 @@ def readme(spark: SparkSession) -> DataFrame:
 
 
 def sections(spark: SparkSession, a: AuditTables, org: str | None,
-             ids: DataFrame | None, materialize_dir: str | None = None) -> dict[str, DataFrame]:
+             ids: DataFrame | None, materialize_dir: str | None = None,
+             consistent_paths: bool = False) -> dict[str, DataFrame]:
     """The six sections of one audit report, keyed by section name.
 
     Three sections (forms, table questions, files) derive from the same
@@ -233,7 +237,7 @@ def sections(spark: SparkSession, a: AuditTables, org: str | None,
         path = f"{materialize_dir.rstrip('/')}/forms_data"
         fd.write.mode("overwrite").parquet(path)
         fd = spark.read.parquet(path)
-    forms = forms_export_from(fd)
+    forms = forms_export_from(fd, consistent_paths)
     return {
         "readme": readme(spark),
         "forms": form_rows(forms),

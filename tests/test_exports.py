@@ -103,3 +103,14 @@ def test_empty_sections_keep_schema(spark):
             assert df.count() == 1
         else:
             assert df.count() == 0 and "folder_directory" in df.columns
+
+
+def test_consistent_pointer_paths(spark):
+    a = _fixture(spark)
+    ids = spark.createDataFrame([(1,)], "submission_id long")
+    rows = exports.forms_export(a, "o", ids, consistent_paths=True).collect()
+    tq = [r for r in rows if r.field_label == "Table Question"][0]
+    ptr = [r for r in rows if r.field_label == "Path_to_File_Table_Question"][0]
+    assert ptr.value == tq.folder_directory
+    ts = "2024-01-02_03_04_05.120"
+    assert ptr.folder_directory == f"Audit_Folder/Audit_1/review/review_Rev_B/FORM_DATA_/u@x/{ts}/form_data.csv"
