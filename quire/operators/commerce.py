@@ -46,12 +46,14 @@ def _order_payments(payments: DataFrame) -> DataFrame:
 def _paid_orders(c: CommerceTables) -> DataFrame:
     """orders ⋈ payments ⋈ customers at one row per order (payments summed).
 
-    The customer semi-join comes last, so its output is partitioned by
-    ``customer_id`` — the aggregations that follow group by (period,
-    customer_id) and reuse that partitioning instead of shuffling again.
+    The customer join comes last and is an inner join on the customer key
+    (unique in customers), not a semi-join: Catalyst pushes a semi-join below
+    the payments join, after which the (period, customer) aggregation must
+    shuffle again; the inner join keeps the output partitioned by
+    ``customer_id`` and the aggregation reuses that partitioning.
     """
     paid = c.orders.join(_order_payments(c.payments), "order_id")
-    return paid.join(c.customers.select("customer_id"), "customer_id", "left_semi")
+    return paid.join(c.customers.select("customer_id"), "customer_id")
 
 
 def _per_customer_period(c: CommerceTables, period: Column, name: str) -> DataFrame:
