@@ -26,19 +26,28 @@ def _as_id_array(ids_json: Column) -> Column:
     return F.from_json(listed, "array<bigint>")
 
 
+REQUEST_SCHEMA = "organization_id string, report_name string, submission_ids string"
+
+
 def parse_requests(docs: DataFrame, doc_col: str = "doc") -> DataFrame:
-    d = F.col(doc_col)
-    return docs.select(
-        F.get_json_object(d, "$.organization_id").alias("organization_id"),
-        F.get_json_object(d, "$.report_name").alias("report_name"),
-        _as_id_array(F.get_json_object(d, "$.submission_ids")).alias("submission_ids"),
-    )
+    """One parse per document; ``submission_ids`` is first taken as JSON text
+    (a list or a scalar) and then normalised to ``array<bigint>``."""
+    r = F.from_json(F.col(doc_col), REQUEST_SCHEMA)
+    return docs.select(r.alias("r")).select(
+        "r.organization_id", "r.report_name",
+        _as_id_array(F.col("r.submission_ids")).alias("submission_ids"))
 
 
 def request_ids(requests: DataFrame) -> DataFrame:
-    """One row per (organization, report, requested submission id)."""
-    return requests.select("organization_id", "report_name",
-                           F.explode("submission_ids").alias("submission_id"))
+    """One row per (organization, report, requested submission id).
+
+    ``explode_outer`` + a filter on the generated id: a plain ``explode``
+    makes Catalyst infer ``size(ids) > 0`` filters that it pushes below the
+    projection, re-running the JSON parse once per inferred predicate.
+    """
+    return (requests.select("organization_id", "report_name",
+                            F.explode_outer("submission_ids").alias("submission_id"))
+            .where(F.col("submission_id").isNotNull()))
 
 
 def requests_from_orders(orders: DataFrame, org: str, report_name: str) -> DataFrame:
