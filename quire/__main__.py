@@ -4,6 +4,7 @@
     python -m quire query NAME --data DIR [--out PATH] [--show N]
     python -m quire audit --data DIR --request FILE --out DIR [--objects DIR] [--status-log DIR]
     python -m quire status --status-log DIR [--org ORG] [--report ID]
+    python -m quire delete --status-log DIR --org ORG --report ID
 """
 
 from __future__ import annotations
@@ -31,6 +32,10 @@ def main(argv: list[str] | None = None) -> int:
     s.add_argument("--status-log", required=True)
     s.add_argument("--org")
     s.add_argument("--report")
+    d = sub.add_parser("delete")
+    d.add_argument("--status-log", required=True)
+    d.add_argument("--org", required=True)
+    d.add_argument("--report", required=True)
     args = p.parse_args(argv)
 
     from .plans.registry import queries
@@ -66,6 +71,11 @@ def main(argv: list[str] | None = None) -> int:
         run.summary.show(truncate=False)
         print(f"report {run.report_id}: {run.folder.count()} csv files, {run.archives.count()} archives")
         return 0
+    if args.cmd == "delete":
+        from .operators import status
+
+        status.tombstone(spark, args.org, args.report).write.mode("append").parquet(args.status_log)
+        return 0
     if args.cmd == "status":
         from .operators import status
 

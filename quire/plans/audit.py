@@ -39,22 +39,34 @@ class AuditRun:
     attachments: DataFrame | None
 
 
-def status_events(summary: DataFrame, run_ts: str) -> DataFrame:
-    """create / progress / complete events of a finished run (3 rows per report)."""
+LOG_COLUMNS = [c.split()[0] for c in STATUS_LOG_SCHEMA.split(", ")]
+
+
+def status_events(summary: DataFrame, run_ts: str, organization_id: str, report_id: str,
+                  progress_df: DataFrame | None = None) -> DataFrame:
+    """Status events of a finished run, ordered by ``seq``: create; with
+    ``progress_df`` (from ``batch_progress``) a processed-count and a percent
+    event per submission in processing order; the final count; completion."""
     ts = F.to_timestamp(F.lit(run_ts)).cast("timestamp_ntz")
-    base = [F.col("organization_id"), F.col("report_id")]
-    ev = F.explode(F.array(
-        F.struct(F.lit(0).alias("i"), F.lit("create").alias("op"), F.lit(None).cast("double").alias("num"),
-                 F.col("report_name").alias("text")),
-        F.struct(F.lit(1).alias("i"), F.lit("progress").alias("op"),
-                 F.col("processed_submissions").cast("double").alias("num"), F.lit(None).cast("string").alias("text")),
-        F.struct(F.lit(2).alias("i"), F.lit("complete").alias("op"), F.lit(None).cast("double").alias("num"),
-                 F.col("s3_filename").alias("text")),
-    )).alias("e")
-    return (summary.select(*base, ev)
-            .select(*base, ts.alias("ts"),
-                    (F.unix_micros(F.current_timestamp()) * 4 + F.col("e.i")).cast("bigint").alias("seq"),
-                    "e.op", "e.num", "e.text"))
+    base = (F.unix_micros(F.current_timestamp()) * 1000).cast("bigint")
+    end = F.lit(1 << 40)
+
+    def ev(df, order, op, num, text):
+        return df.select(F.lit(organization_id).alias("organization_id"), F.lit(report_id).alias("report_id"),
+                         ts.alias("ts"), (base + order).alias("seq"), F.lit(op).alias("op"),
+                         num.cast("double").alias("num"), text.cast("string").alias("text"))
+
+    parts = [ev(summary, F.lit(0), "create", F.lit(None), F.col("report_name"))]
+    if progress_df is not None:
+        n = F.col("processed_total")
+        parts.append(ev(progress_df, n * 2 + 1, "progress", n, F.lit(None)))
+        parts.append(ev(progress_df, n * 2 + 2, "percent", F.col("percent_processed"), F.lit(None)))
+    parts.append(ev(summary, end, "progress", F.col("processed_submissions"), F.lit(None)))
+    parts.append(ev(summary, end + 1, "complete", F.lit(None), F.col("s3_filename")))
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out.select(*LOG_COLUMNS)
 
 
 def run_audit_report(spark: SparkSession, a: AuditTables, organization_id: str, report_name: str,
@@ -81,12 +93,13 @@ def run_audit_report(spark: SparkSession, a: AuditTables, organization_id: str,
     coverage = progress.submission_coverage(ids, secs["forms"], secs["files"])
     coverage.write.mode("overwrite").parquet(f"{root}/coverage")
     progress.batch_progress(ids).write.mode("overwrite").parquet(f"{root}/progress")
+    progress_df = spark.read.parquet(f"{root}/progress")
     summary = progress.report_summary(spark.read.parquet(f"{root}/coverage"), organization_id,
                                       report_name, run_ts=run_ts, report_id=report_id)
     summary.write.mode("overwrite").parquet(f"{root}/summary")
     summary = spark.read.parquet(f"{root}/summary")
     if status_log_dir:
-        (status_events(summary, run_ts).select(*[c.split()[0] for c in STATUS_LOG_SCHEMA.split(", ")])
+        (status_events(summary, run_ts, organization_id, report_id, progress_df)
          .write.mode("append").parquet(status_log_dir))
     return AuditRun(report_id, folder, archives, summary, attachments)
 

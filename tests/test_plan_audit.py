@@ -25,8 +25,14 @@ def test_run_audit_report(spark, scratch):
     s = run.summary.first()
     assert (s.total_submissions, s.processed_submissions, s.status) == (9, 9, "completed")
     assert s.s3_filename == "AuditGrpR_05-06-2024_07_08_AM.zip"
-    item = status.status_lookup(status.latest_status(spark.read.parquet(log)), "1", "rid").first()
+    events = spark.read.parquet(log)
+    assert events.where("op = 'percent'").count() == 9
+    item = status.status_lookup(status.latest_status(events), "1", "rid").first()
     assert (item.response_status, item.download_key) == ("completed", s.s3_filename)
+    latest = status.latest_status(events).first()
+    assert (latest.processed_submissions, latest.percent_complete) == (9, 100.0)
+    status.tombstone(spark, "1", "rid").write.mode("append").parquet(log)
+    assert status.latest_status(spark.read.parquet(log)).count() == 0
     base = os.path.join(scratch, "out", "rid")
     for r in run.folder.collect():
         assert os.path.exists(os.path.join(base, "folder", r.file))
