@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ..functions import paths
 from ..functions.scalars import not_equal_keep_null, resolve_value, submission_id_from_path
 from ..sources.views import AuditTables
+from . import skew
 
 # Fixed value: the readme text of the audit folder, verbatim (line breaks
 # and trailing blanks included).
@@ -57,36 +58,39 @@ def _contexts_with_users(a: AuditTables, contexts: DataFrame | None = None) -> D
     return ctx.join(u, ctx.created_by == u.userid, "left").drop("userid")
 
 
+_CTX_KEYS = ["request_id", "response_id", "submission_id"]
+_OPTION_KEYS = [("field_id", "ffo_field_id"), ("sub_field_id", "ffo_option_id")]
+
+
+def _options(a: AuditTables, org: str | None) -> DataFrame:
+    o = scope(a.options, org)
+    return o.select(F.col("field_id").alias("ffo_field_id"), F.col("option_id").alias("ffo_option_id"),
+                    F.col("option_label"))
+
+
 def forms_data(a: AuditTables, org: str | None, ids: DataFrame | None) -> DataFrame:
     """Answers ⋈ fields ⟕ options ⟕ (contexts ⟕ users): one row per answer.
 
-    Columns: the form columns without the path, plus ``response_id``.
+    Columns: the form columns without the path, plus ``response_id``.  The
+    option and context joins sit above another join, where AQE does not split
+    skewed partitions, so their hot keys are salted (``skew.salted_join``).
     """
-    rfv = scope(a.answers, org, ids).alias("rfv")
-    ff = scope(a.fields, org).alias("ff")
-    ffo = scope(a.options, org).alias("ffo")
-    ctx = (_contexts_with_users(a)
-           .select("request_id", "response_id", "submission_id", "completed_at", "created_at",
-                   F.col("email").alias("created_user_email"))
-           .alias("rcc"))
-    j = (rfv.join(ff, F.col("rfv.field_id") == F.col("ff.field_id"))
-         .join(ffo, (F.col("ffo.field_id") == F.col("rfv.field_id"))
-               & (F.col("ffo.option_id") == F.col("rfv.sub_field_id")), "left")
-         .join(ctx, (F.col("rfv.request_id") == F.col("rcc.request_id"))
-               & (F.col("rfv.response_id") == F.col("rcc.response_id"))
-               & (F.col("rfv.submission_id") == F.col("rcc.submission_id")), "left"))
+    scoped = scope(a.answers, org)
+    rfv = scope(a.answers, org, ids)
+    ff = scope(a.fields, org).select("field_id", "form_type", "form_name", "field_type", "field_label")
+    base = rfv.select("submission_id", "request_id", "response_id", "field_id", "sub_field_id", "value") \
+        .join(ff, "field_id")
+    with_opt = skew.salted_join(base, _options(a, org), _OPTION_KEYS, "left",
+                                skew.hot_keys(scoped, ["field_id", "sub_field_id"]))
+    ctx = _contexts_with_users(a).select(
+        *[F.col(k).alias("ctx_" + k) for k in _CTX_KEYS], "completed_at", "created_at",
+        F.col("email").alias("created_user_email"))
+    j = skew.salted_join(with_opt, ctx, [(k, "ctx_" + k) for k in _CTX_KEYS], "left",
+                         skew.hot_keys(scoped, _CTX_KEYS))
     return j.select(
-        F.col("rfv.submission_id").alias("submission_id"),
-        F.col("ff.form_type").alias("form_type"),
-        F.col("ff.form_name").alias("form_name"),
-        F.col("ff.field_type").alias("field_type"),
-        F.col("ff.field_label").alias("field_label"),
-        F.col("rfv.sub_field_id").alias("sub_field_id"),
-        resolve_value(F.col("ffo.option_label"), F.col("rfv.value")).alias("value"),
-        F.col("rcc.completed_at").alias("completed_at"),
-        F.col("rcc.created_at").alias("created_at"),
-        F.col("rcc.created_user_email").alias("created_user_email"),
-        F.col("rfv.response_id").alias("response_id"),
+        "submission_id", "form_type", "form_name", "field_type", "field_label", "sub_field_id",
+        resolve_value(F.col("option_label"), F.col("value")).alias("value"),
+        "completed_at", "created_at", "created_user_email", "response_id",
     )
 
 
@@ -154,31 +158,38 @@ def table_question_items(tq: DataFrame) -> DataFrame:
 
 
 def review_stage_export(a: AuditTables, org: str | None, ids: DataFrame | None) -> DataFrame:
-    """Answers of reviewed responses, one row per (review context, answer, option)."""
+    """Answers of reviewed responses, one row per (review context, answer, option).
+
+    The answer fact is the left side of every join; each join above the
+    first is salted on its hot keys (see ``skew``).
+    """
     rr = scope(a.contexts.where(F.col("review_stage_id").isNotNull()), org, ids)
-    rr = _contexts_with_users(a, rr).alias("rr")
-    rfv = scope(a.answers, org).alias("rfv")
-    ff = scope(a.fields, org).alias("ff")
-    ffo = scope(a.options, org).alias("ffo")
-    j = (rr.join(rfv, (F.col("rfv.form_id") == F.col("rr.form_id"))
-                 & (F.col("rfv.response_id") == F.col("rr.response_id"))
-                 & (F.col("rfv.submission_id") == F.col("rr.submission_id")))
-         .join(ff, F.col("rfv.field_id") == F.col("ff.field_id"))
-         .join(ffo, (F.col("ffo.field_id") == F.col("rfv.field_id"))
-               & (F.col("ffo.option_id") == F.col("rfv.sub_field_id"))))
+    rr = _contexts_with_users(a, rr).select(
+        *[F.col(k).alias("rr_" + k) for k in ("form_id", "response_id", "submission_id")],
+        "review_stage_id", "review_stage_name", "review_stage_type", "created_by", "completed_at",
+        F.col("email").alias("reviewer_email"))
+    scoped = scope(a.answers, org)
+    rfv = scoped.select("submission_id", "form_id", "response_id", "field_id", "sub_field_id", "value")
+    keys = ["form_id", "response_id", "submission_id"]
+    j = skew.salted_join(rfv, rr, [(k, "rr_" + k) for k in keys], "inner", skew.hot_keys(scoped, keys))
+    ff = scope(a.fields, org).select(F.col("field_id").alias("ff_field_id"), "form_type", "form_name",
+                                    "field_label")
+    j = skew.salted_join(j, ff, [("field_id", "ff_field_id")], "inner", skew.hot_keys(scoped, ["field_id"]))
+    j = skew.salted_join(j, _options(a, org), _OPTION_KEYS, "inner",
+                         skew.hot_keys(scoped, ["field_id", "sub_field_id"]))
     c = F.col
     return j.select(
-        c("rfv.submission_id").alias("submission_id"),
-        c("rr.review_stage_id").alias("stage_id"),
-        c("rr.review_stage_name").alias("stage_name"),
-        c("rr.form_id").alias("form_id"),
-        c("rr.review_stage_type").alias("stage_type"),
-        c("rr.created_by").alias("reviewer_user_id"),
-        c("rr.email").alias("reviewer_email"),
-        c("ff.field_label").alias("field_label"),
-        resolve_value(c("ffo.option_label"), c("rfv.value")).alias("value"),
-        paths.review_stage_path(c("rfv.submission_id"), c("ff.form_type"), c("ff.form_name"),
-                                c("rr.email"), c("rr.completed_at")).alias("folder_directory"),
+        c("submission_id"),
+        c("review_stage_id").alias("stage_id"),
+        c("review_stage_name").alias("stage_name"),
+        c("rr_form_id").alias("form_id"),
+        c("review_stage_type").alias("stage_type"),
+        c("created_by").alias("reviewer_user_id"),
+        c("reviewer_email"),
+        c("field_label"),
+        resolve_value(c("option_label"), c("value")).alias("value"),
+        paths.review_stage_path(c("submission_id"), c("form_type"), c("form_name"),
+                                c("reviewer_email"), c("completed_at")).alias("folder_directory"),
     )
 
 
@@ -195,24 +206,25 @@ def chronology_export(a: AuditTables, org: str | None, ids: DataFrame | None) ->
 
 def files_manifest(a: AuditTables, org: str | None, ids: DataFrame | None) -> DataFrame:
     """Files referenced by answers (file id = answer's sub-field id)."""
-    return files_manifest_from(forms_data(a, org, ids), a.files)
-
-
-def files_manifest_from(forms_data_df: DataFrame, files: DataFrame) -> DataFrame:
-    """``files_manifest`` over an already computed ``forms_data``."""
-    fd = forms_data_df.alias("fd")
-    f = files.alias("f")
-    j = f.join(fd, F.col("f.id").cast("string") == F.col("fd.sub_field_id"))
+    return files_manifest_from(forms_data(a, org, ids), a.files,
+                               skew.hot_keys(scope(a.answers, org), ["sub_field_id"]))
+
+
+def files_manifest_from(forms_data_df: DataFrame, files: DataFrame,
+                        hot: DataFrame | None = None) -> DataFrame:
+    """``files_manifest`` over an already computed ``forms_data``; ``hot``
+    (hot sub-field ids of the answers) salts the join."""
+    fd = forms_data_df.select("submission_id", "sub_field_id", "form_type", "form_name",
+                              "created_user_email", "completed_at")
+    f = files.select(F.col("id").cast("string").alias("f_key"), F.col("id").alias("file_id"), "file_name",
+                     "file_size_bytes", "bucket_name", "storage_key")
+    j = skew.salted_join(fd, f, [("sub_field_id", "f_key")], "inner", hot)
     c = F.col
     return j.select(
-        c("fd.submission_id").alias("submission_id"), c("f.id").alias("file_id"),
-        c("f.file_name").alias("file_name"), c("f.file_size_bytes").alias("file_size_bytes"),
-        c("f.bucket_name").alias("bucket_name"), c("f.storage_key").alias("storage_key"),
-        c("fd.form_type").alias("form_type"), c("fd.form_name").alias("form_name"),
-        c("fd.created_user_email").alias("created_user_email"),
-        c("fd.completed_at").alias("completed_at"),
-        paths.file_path(c("fd.submission_id"), c("fd.form_type"), c("fd.form_name"),
-                        c("fd.created_user_email"), c("fd.completed_at"), c("f.file_name"))
+        "submission_id", "file_id", "file_name", "file_size_bytes", "bucket_name", "storage_key",
+        "form_type", "form_name", "created_user_email", "completed_at",
+        paths.file_path(c("submission_id"), c("form_type"), c("form_name"),
+                        c("created_user_email"), c("completed_at"), c("file_name"))
         .alias("folder_directory"))
 
 
@@ -243,7 +255,7 @@ def sections(spark: SparkSession, a: AuditTables, org: str | None,
         "forms": form_rows(forms),
         "review_stage": review_stage_export(a, org, ids),
         "chronology": chronology_export(a, org, ids),
-        "files": files_manifest_from(fd, a.files),
+        "files": files_manifest_from(fd, a.files, skew.hot_keys(scope(a.answers, org), ["sub_field_id"])),
         "table_question": table_question_items(table_question_rows(forms)),
     }
 
