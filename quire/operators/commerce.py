@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.views import CommerceTables
+from . import skew
 
 MONEY = "decimal(18,2)"
 
@@ -50,10 +51,13 @@ def _paid_orders(c: CommerceTables) -> DataFrame:
     (unique in customers), not a semi-join: Catalyst pushes a semi-join below
     the payments join, after which the (period, customer) aggregation must
     shuffle again; the inner join keeps the output partitioned by
-    ``customer_id`` and the aggregation reuses that partitioning.
+    ``customer_id`` and the aggregation reuses that partitioning.  A customer
+    holding a large share of the orders is salted (``skew.salted_join``).
     """
     paid = c.orders.join(_order_payments(c.payments), "order_id")
-    return paid.join(c.customers.select("customer_id"), "customer_id")
+    cust = c.customers.select(F.col("customer_id").alias("c_customer_id"))
+    hot = skew.hot_keys(c.orders, ["customer_id"])
+    return skew.salted_join(paid, cust, [("customer_id", "c_customer_id")], "inner", hot).drop("c_customer_id")
 
 
 def _per_customer_period(c: CommerceTables, period: Column, name: str) -> DataFrame:
@@ -83,7 +87,9 @@ def _product_categories(c: CommerceTables) -> DataFrame:
 def category_revenue(c: CommerceTables) -> DataFrame:
     """Per (purchase day, category): sum(price * order_item_id) (CTE 2)."""
     lines = c.items.join(c.orders.select("order_id", "order_purchase_timestamp"), "order_id")
-    return (lines.join(_product_categories(c), "product_id")
+    cats = _product_categories(c).withColumnRenamed("product_id", "p_product_id")
+    hot = skew.hot_keys(c.items, ["product_id"])
+    return (skew.salted_join(lines, cats, [("product_id", "p_product_id")], "inner", hot)
             .groupBy(purchase_day("order_purchase_timestamp").alias("order_purchase_date"),
                      F.col("category").alias("product_category_name"))
             .agg(F.sum(F.col("price").cast(MONEY) * F.col("order_item_id")).alias("category_revenue")))

@@ -62,3 +62,22 @@ def test_salted_join_left_semantics(spark):
     got = _rows(skew.salted_join(left, right, [("k", "rk")], "left", hot))
     want = _rows(left.join(right, left.k == right.rk, "left"))
     assert got == want and len(got) == 52
+
+
+def test_hot_customer_daily_report(spark):
+    from quire.operators import commerce
+    from quire.sources.views import CommerceTables
+
+    c = views.commerce_tables(tables.load(spark, SF_SMALL))
+    orders = c.orders.withColumn("customer_id", F.when(F.col("order_id") % 3 == 0, F.lit(5).cast("bigint"))
+                                 .otherwise(F.col("customer_id")))
+    c2 = CommerceTables(orders, c.payments, c.customers, c.items, c.products, c.translation, c.geolocation)
+    key = skew.HOT_KEY_ROWS_CONF
+    try:
+        spark.conf.set(key, "0")
+        plain = _rows(commerce.daily_category_report(c2))
+        spark.conf.set(key, "100")
+        assert skew.hot_keys(c2.orders, ["customer_id"]) is not None
+        assert _rows(commerce.daily_category_report(c2)) == plain
+    finally:
+        spark.conf.unset(key)
