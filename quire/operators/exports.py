@@ -68,25 +68,34 @@ def _options(a: AuditTables, org: str | None) -> DataFrame:
                     F.col("option_label"))
 
 
-def forms_data(a: AuditTables, org: str | None, ids: DataFrame | None) -> DataFrame:
+_REVIEW_KEYS = ["form_id", "response_id", "submission_id"]
+ANSWER_KEY_SETS = [_CTX_KEYS, ["field_id", "sub_field_id"], _REVIEW_KEYS, ["field_id"], ["sub_field_id"]]
+
+
+def answer_hot_keys(a: AuditTables, org: str | None, key_sets=None) -> dict:
+    """Hot keys of the organization's answers for every salted join, in one job."""
+    return skew.hot_keys_many(scope(a.answers, org), key_sets or ANSWER_KEY_SETS)
+
+
+def forms_data(a: AuditTables, org: str | None, ids: DataFrame | None, hot: dict | None = None) -> DataFrame:
     """Answers ⋈ fields ⟕ options ⟕ (contexts ⟕ users): one row per answer.
 
     Columns: the form columns without the path, plus ``response_id``.  The
     option and context joins sit above another join, where AQE does not split
     skewed partitions, so their hot keys are salted (``skew.salted_join``).
     """
-    scoped = scope(a.answers, org)
+    hot = hot if hot is not None else answer_hot_keys(a, org, [_CTX_KEYS, ["field_id", "sub_field_id"]])
     rfv = scope(a.answers, org, ids)
     ff = scope(a.fields, org).select("field_id", "form_type", "form_name", "field_type", "field_label")
     base = rfv.select("submission_id", "request_id", "response_id", "field_id", "sub_field_id", "value") \
         .join(ff, "field_id")
     with_opt = skew.salted_join(base, _options(a, org), _OPTION_KEYS, "left",
-                                skew.hot_keys(scoped, ["field_id", "sub_field_id"]))
+                                hot.get(("field_id", "sub_field_id")))
     ctx = _contexts_with_users(a).select(
         *[F.col(k).alias("ctx_" + k) for k in _CTX_KEYS], "completed_at", "created_at",
         F.col("email").alias("created_user_email"))
     j = skew.salted_join(with_opt, ctx, [(k, "ctx_" + k) for k in _CTX_KEYS], "left",
-                         skew.hot_keys(scoped, _CTX_KEYS))
+                         hot.get(tuple(_CTX_KEYS)))
     return j.select(
         "submission_id", "form_type", "form_name", "field_type", "field_label", "sub_field_id",
         resolve_value(F.col("option_label"), F.col("value")).alias("value"),
@@ -157,7 +166,8 @@ def table_question_items(tq: DataFrame) -> DataFrame:
                      F.posexplode_outer(items).alias("item_index", "item"))
 
 
-def review_stage_export(a: AuditTables, org: str | None, ids: DataFrame | None) -> DataFrame:
+def review_stage_export(a: AuditTables, org: str | None, ids: DataFrame | None,
+                        hot: dict | None = None) -> DataFrame:
     """Answers of reviewed responses, one row per (review context, answer, option).
 
     The answer fact is the left side of every join; each join above the
@@ -168,15 +178,16 @@ def review_stage_export(a: AuditTables, org: str | None, ids: DataFrame | None)
         *[F.col(k).alias("rr_" + k) for k in ("form_id", "response_id", "submission_id")],
         "review_stage_id", "review_stage_name", "review_stage_type", "created_by", "completed_at",
         F.col("email").alias("reviewer_email"))
-    scoped = scope(a.answers, org)
-    rfv = scoped.select("submission_id", "form_id", "response_id", "field_id", "sub_field_id", "value")
-    keys = ["form_id", "response_id", "submission_id"]
-    j = skew.salted_join(rfv, rr, [(k, "rr_" + k) for k in keys], "inner", skew.hot_keys(scoped, keys))
+    hot = hot if hot is not None else answer_hot_keys(
+        a, org, [_REVIEW_KEYS, ["field_id"], ["field_id", "sub_field_id"]])
+    rfv = scope(a.answers, org).select("submission_id", "form_id", "response_id", "field_id",
+                                       "sub_field_id", "value")
+    j = skew.salted_join(rfv, rr, [(k, "rr_" + k) for k in _REVIEW_KEYS], "inner",
+                         hot.get(tuple(_REVIEW_KEYS)))
     ff = scope(a.fields, org).select(F.col("field_id").alias("ff_field_id"), "form_type", "form_name",
                                     "field_label")
-    j = skew.salted_join(j, ff, [("field_id", "ff_field_id")], "inner", skew.hot_keys(scoped, ["field_id"]))
-    j = skew.salted_join(j, _options(a, org), _OPTION_KEYS, "inner",
-                         skew.hot_keys(scoped, ["field_id", "sub_field_id"]))
+    j = skew.salted_join(j, ff, [("field_id", "ff_field_id")], "inner", hot.get(("field_id",)))
+    j = skew.salted_join(j, _options(a, org), _OPTION_KEYS, "inner", hot.get(("field_id", "sub_field_id")))
     c = F.col
     return j.select(
         c("submission_id"),
@@ -206,8 +217,8 @@ def chronology_export(a: AuditTables, org: str | None, ids: DataFrame | None) ->
 
 def files_manifest(a: AuditTables, org: str | None, ids: DataFrame | None) -> DataFrame:
     """Files referenced by answers (file id = answer's sub-field id)."""
-    return files_manifest_from(forms_data(a, org, ids), a.files,
-                               skew.hot_keys(scope(a.answers, org), ["sub_field_id"]))
+    hot = answer_hot_keys(a, org)
+    return files_manifest_from(forms_data(a, org, ids, hot), a.files, hot.get(("sub_field_id",)))
 
 
 def files_manifest_from(forms_data_df: DataFrame, files: DataFrame,
@@ -244,7 +255,8 @@ def sections(spark: SparkSession, a: AuditTables, org: str | None,
     checkpoint location) that tree is computed once and written as parquet,
     and the sections read it back; otherwise each section plans it anew.
     """
-    fd = forms_data(a, org, ids)
+    hot = answer_hot_keys(a, org)
+    fd = forms_data(a, org, ids, hot)
     if materialize_dir:
         path = f"{materialize_dir.rstrip('/')}/forms_data"
         fd.write.mode("overwrite").parquet(path)
@@ -253,9 +265,9 @@ def sections(spark: SparkSession, a: AuditTables, org: str | None,
     return {
         "readme": readme(spark),
         "forms": form_rows(forms),
-        "review_stage": review_stage_export(a, org, ids),
+        "review_stage": review_stage_export(a, org, ids, hot),
         "chronology": chronology_export(a, org, ids),
-        "files": files_manifest_from(fd, a.files, skew.hot_keys(scope(a.answers, org), ["sub_field_id"])),
+        "files": files_manifest_from(fd, a.files, hot.get(("sub_field_id",))),
         "table_question": table_question_items(table_question_rows(forms)),
     }
 

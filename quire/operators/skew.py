@@ -56,6 +56,36 @@ def hot_keys(df: DataFrame, keys: list[str], min_rows: int | None = None) -> Dat
     return df.sparkSession.createDataFrame(data, schema)
 
 
+def hot_keys_many(df: DataFrame, key_sets: list[list[str]],
+                  min_rows: int | None = None) -> dict[tuple[str, ...], DataFrame | None]:
+    """``hot_keys`` for several key sets in one job (``groupingSets``: one
+    scan, one partially aggregated shuffle)."""
+    min_rows = hot_key_rows(df) if min_rows is None else min_rows
+    sets = [tuple(ks) for ks in dict.fromkeys(tuple(k) for k in key_sets)]
+    if min_rows <= 0 or not sets:
+        return {ks: None for ks in sets}
+    cols = sorted({c for ks in sets for c in ks})
+
+    def gid(ks):   # grouping_id bit i is set when cols[i] is *not* grouped
+        return sum(1 << (len(cols) - 1 - i) for i, c in enumerate(cols) if c not in ks)
+
+    counts = (df.groupingSets([[F.col(c) for c in ks] for ks in sets], *cols)
+              .agg(F.count(F.lit(1)).alias("_n"), F.grouping_id().alias("_g"))
+              .where(F.col("_n") >= min_rows))
+    rows = counts.limit(MAX_HOT_KEYS * len(sets) + 1).collect()   # bounded
+    out: dict[tuple[str, ...], DataFrame | None] = {}
+    types = {f.name: f.dataType for f in df.schema.fields}
+    for ks in sets:
+        mine = [r for r in rows if r["_g"] == gid(ks)]
+        if not mine or len(mine) > MAX_HOT_KEYS:
+            out[ks] = None
+            continue
+        data = [tuple(r[k] for k in ks) + (min(MAX_SALTS, math.ceil(r["_n"] / min_rows)),) for r in mine]
+        schema = T.StructType([T.StructField(k, types[k]) for k in ks]).add("_salts", T.IntegerType(), False)
+        out[ks] = df.sparkSession.createDataFrame(data, schema)
+    return out
+
+
 def salted_join(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]], how: str,
                 hot: DataFrame | None) -> DataFrame:
     """``left`` ⋈ ``right`` on ``left[a] == right[b]`` for (a, b) in ``pairs``;

@@ -81,3 +81,16 @@ def test_hot_customer_daily_report(spark):
         assert _rows(commerce.daily_category_report(c2)) == plain
     finally:
         spark.conf.unset(key)
+
+
+def test_hot_keys_many_matches_single(spark):
+    df = spark.createDataFrame([(i % 2, i % 5, "x" if i % 7 else "y") for i in range(700)],
+                               "a long, b long, c string")
+    sets = [["a"], ["a", "b"], ["c"], ["b", "c"]]
+    many = skew.hot_keys_many(df, sets, min_rows=60)
+    for ks in sets:
+        one = skew.hot_keys(df, ks, min_rows=60)
+        got = many[tuple(ks)]
+        assert (one is None) == (got is None)
+        if one is not None:
+            assert _rows(one) == _rows(got)
