@@ -40,23 +40,17 @@ def test_hot_path_is_split(spark, scratch):
                                   F.concat(F.lit("C/"), F.col("id").cast("string"), F.lit(".csv"))
                                   .alias("folder_directory"))
     df = hot.unionByName(cold)
-    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
-    old = spark.conf.get(key)
-    spark.conf.set(key, "16k")
-    try:
-        m = sink.write_csv_files(spark, {"s": df}, scratch).collect()
-    finally:
-        spark.conf.set(key, old)
+    m = sink.write_csv_files(spark, {"s": df}, scratch, rows_per_file=10000).collect()
     hot_files = sorted(r.file for r in m if r.key == "H/hot.csv")
-    assert len(hot_files) > 1
-    assert hot_files[0] == "H/hot.part-00000.csv"
+    assert hot_files == ["H/hot.part-00000.csv", "H/hot.part-00001.csv", "H/hot.part-00002.csv"]
     ids = []
     for f in hot_files:
         rows = _read_csv(os.path.join(scratch, f))
         assert rows[0] == ["submission_id", "folder_directory"]
         ids += [int(r[0]) for r in rows[1:]]
     assert sorted(ids) == list(range(n_hot))
-    assert sum(1 for r in m if r.key.startswith("C/")) == 50
+    cold_files = sorted(r.file for r in m if r.key.startswith("C/"))
+    assert cold_files == sorted(f"C/{i}.csv" for i in range(50))   # small destinations stay whole
 
 
 def test_archives_match_plan(spark, scratch):
@@ -107,3 +101,23 @@ def test_attachments_fetched_and_archived(spark, scratch):
                                     "Audit_Folder/Audit_7/files_/renamed.pdf"]
     assert z.read("Audit_Folder/Audit_7/files_/renamed.pdf") == b"\x00\x01two"
     assert zipfile.ZipFile(os.path.join(out, files["8.zip"])).namelist() == ["Audit_Folder/Audit_8/f/form_data.csv"]
+
+
+def test_hot_submission_archive_parts(spark, scratch):
+    forms = spark.range(30).select(F.lit(7).cast("bigint").alias("submission_id"), F.col("id").alias("v"),
+                                   F.lit("Audit_Folder/Audit_7/f/form_data.csv").alias("folder_directory"))
+    small = spark.createDataFrame([(8, 1, "Audit_Folder/Audit_8/f/form_data.csv")],
+                                  "submission_id long, v long, folder_directory string")
+    m = sink.write_archives(spark, {"forms": forms.unionByName(small)}, scratch,
+                            readme=("Audit_Folder/readme.csv", "r"), rows_per_archive=10).collect()
+    files = sorted(r.file for r in m)
+    assert files == ["archives/Audit_7.part-00000.zip", "archives/Audit_7.part-00001.zip",
+                     "archives/Audit_7.part-00002.zip", "archives/Audit_8.zip"]
+    vs = []
+    for f in files[:3]:
+        z = zipfile.ZipFile(os.path.join(scratch, f))
+        assert "Audit_Folder/readme.csv" in z.namelist()
+        rows = list(csv.reader(io.StringIO(z.read("Audit_Folder/Audit_7/f/form_data.csv").decode())))
+        assert rows[0] == ["submission_id", "v", "folder_directory"]
+        vs += [int(r[1]) for r in rows[1:]]
+    assert sorted(vs) == list(range(30))
