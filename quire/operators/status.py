@@ -59,6 +59,16 @@ def fold(log: DataFrame) -> DataFrame:
     return log.groupBy(*KEY).agg(*fold_aggregates())
 
 
+def merge_states(states: DataFrame) -> DataFrame:
+    """Combine fold states of the same key (e.g. written at different times).
+
+    Every state column is a ``max`` over the key's events, so the state of a
+    longer log is never smaller; the merge is the column-wise ``max`` (again a
+    map-side partial aggregate)."""
+    cols = [c for c in states.columns if c not in KEY]
+    return states.groupBy(*KEY).agg(*[F.max(c).alias(c) for c in cols])
+
+
 def finalize(agg: DataFrame) -> DataFrame:
     """Status items from fold state: drop keys whose last event is a delete,
     keep only attribute values set after the last delete."""

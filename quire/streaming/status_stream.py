@@ -3,20 +3,27 @@
 Status events arrive as parquet files in a log folder.  A streaming
 aggregation keeps the fold state per (organization_id, report_id) in Spark's
 state store (checkpointed, so a restarted query resumes exactly where it
-stopped), and emits the keys updated by each micro-batch.  ``foreachBatch``
-upserts them into a versioned parquet table:
-
-    <table>/v=<epoch>/   full snapshot after that micro-batch
-    <table>/_latest      text file naming the committed epoch
-
-A micro-batch writes ``v=<epoch>`` (replacing any half-written attempt of the
-same epoch) and then moves ``_latest``; replaying an epoch after a failure
-rewrites the same snapshot, so the table is exactly-once.  Plain parquet has
-no row-level MERGE, hence the snapshot-per-epoch upsert (anti-join + union).
+stopped), and emits, in update mode, the full fold state of the keys that each
+micro-batch changed.  ``foreachBatch`` appends them to a log-structured table:
+
+    <table>/d=<epoch>/   state of the keys changed by that micro-batch
+    <table>/c=<epoch>/   compacted state of every key as of that epoch
+    <table>/_latest      text file naming the last committed epoch
+    <table>/_compacted   text file naming the last compacted epoch
+
+A micro-batch writes only its changed keys (cost grows with the batch, not
+with the table), then moves ``_latest``.  Replaying an epoch after a failure
+rewrites the same ``d=<epoch>``; readers never look past ``_latest``, so the
+table is exactly-once.  Every ``compact_every`` epochs the deltas are folded
+into ``c=<epoch>`` (then ``_compacted`` moves), which bounds how many deltas a
+reader merges.  A reader takes the last compaction plus the later committed
+deltas and merges them per key with ``status.merge_states`` — a column-wise
+``max``, exact because every state column only grows as events arrive.
 """
 
 from __future__ import annotations
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import status
@@ -25,61 +32,93 @@ from ..sources import fs as qfs
 STATUS_LOG_SCHEMA = ("organization_id string, report_id string, ts timestamp_ntz, seq bigint, "
                      "op string, num double, text string")
 
+COMPACT_EVERY = 20      # micro-batches between compactions
+
 
-def _latest_epoch(table: str) -> int | None:
+def _read_marker(table: str, name: str) -> int | None:
     fsys, base = qfs.resolve(table)
-    path = f"{base}/_latest"
+    path = f"{base}/{name}"
     if fsys.get_file_info(path).type.name == "NotFound":
         return None
     with fsys.open_input_stream(path) as f:
         return int(f.read().decode().strip())
 
 
-def _set_latest(table: str, epoch: int) -> None:
+def _set_marker(table: str, name: str, epoch: int) -> None:
     fsys, base = qfs.resolve(table)
-    tmp = f"{base}/_latest.tmp"
+    tmp = f"{base}/{name}.tmp"
     with fsys.open_output_stream(tmp) as f:
         f.write(str(epoch).encode())
-    fsys.move(tmp, f"{base}/_latest")
+    fsys.move(tmp, f"{base}/{name}")
+
+
+def _delta_epochs(table: str) -> list[int]:
+    """Epochs that have a delta folder (a listing of the table folder)."""
+    fsys, base = qfs.resolve(table)
+    infos = fsys.get_file_info(pafs.FileSelector(base, allow_not_found=True))
+    names = (i.base_name for i in infos if i.type == pafs.FileType.Directory)
+    return sorted(int(n[2:]) for n in names if n.startswith("d=") and n[2:].isdigit())
+
+
+def _state_schema(spark: SparkSession):
+    empty = spark.createDataFrame([], STATUS_LOG_SCHEMA)
+    return status.fold(empty).schema
+
+
+def _state_as_of(spark: SparkSession, table: str, epoch: int) -> DataFrame:
+    """Merged fold state of every key as of committed ``epoch``."""
+    root = table.rstrip("/")
+    compacted = _read_marker(table, "_compacted")
+    base = -1 if compacted is None or compacted > epoch else compacted
+    paths = ([f"{root}/c={base}"] if base >= 0 else []) + \
+        [f"{root}/d={e}" for e in _delta_epochs(table) if base < e <= epoch]
+    if not paths:
+        return spark.createDataFrame([], _state_schema(spark))
+    parts = spark.read.schema(_state_schema(spark)).parquet(*paths)
+    return status.merge_states(parts)
 
 
 def read_state(spark: SparkSession, table: str) -> DataFrame | None:
-    epoch = _latest_epoch(table)
+    epoch = _read_marker(table, "_latest")
     if epoch is None:
         return None
-    return spark.read.parquet(f"{table.rstrip('/')}/v={epoch}")
+    return _state_as_of(spark, table, epoch)
 
 
 def read_status_table(spark: SparkSession, table: str) -> DataFrame:
     """Current status items (deleted keys absent) from the streamed table."""
     state = read_state(spark, table)
     if state is None:
-        raise FileNotFoundError(f"no committed snapshot under {table}")
+        raise FileNotFoundError(f"no committed epoch under {table}")
     return status.finalize(state)
 
 
-def _upsert(table: str):
+def _upsert(table: str, compact_every: int):
+    root = table.rstrip("/")
+
     def run(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        prev = read_state(spark, table)
-        if prev is not None and _latest_epoch(table) >= epoch:
+        latest = _read_marker(table, "_latest")
+        if latest is not None and latest >= epoch:
             return                      # epoch already committed (replay)
-        snap = batch if prev is None else (
-            prev.join(batch.select(*status.KEY), status.KEY, "left_anti").unionByName(batch))
-        snap.write.mode("overwrite").parquet(f"{table.rstrip('/')}/v={epoch}")
-        _set_latest(table, epoch)
+        batch.write.mode("overwrite").parquet(f"{root}/d={epoch}")
+        _set_marker(table, "_latest", epoch)
+        if compact_every and epoch > 0 and epoch % compact_every == 0:
+            _state_as_of(spark, table, epoch).write.mode("overwrite").parquet(f"{root}/c={epoch}")
+            _set_marker(table, "_compacted", epoch)
     return run
 
 
 def start_status_fold(spark: SparkSession, log_dir: str, table: str, checkpoint: str,
-                      files_per_batch: int | None = None, available_now: bool = True):
+                      files_per_batch: int | None = None, available_now: bool = True,
+                      compact_every: int = COMPACT_EVERY):
     """Start the streaming fold; returns the StreamingQuery."""
     reader = spark.readStream.schema(STATUS_LOG_SCHEMA)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     events = reader.parquet(log_dir)
     agg = events.groupBy(*status.KEY).agg(*status.fold_aggregates())
-    w = (agg.writeStream.outputMode("update").foreachBatch(_upsert(table))
+    w = (agg.writeStream.outputMode("update").foreachBatch(_upsert(table, compact_every))
          .option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()

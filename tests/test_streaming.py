@@ -34,3 +34,25 @@ def test_incremental_fold_matches_batch(spark, scratch):
     got2 = _items(status_stream.read_status_table(spark, table))
     assert got2 == _items(status.latest_status(first.unionByName(second)))
     assert {r[1] for r in got2} == {"a", "c"}
+
+
+def test_delta_table_compacts_and_matches_batch(spark, scratch):
+    """Micro-batches write only their changed keys; with compaction every 2
+    epochs the merged table still equals the batch fold of the whole log."""
+    events = [("a", 1, "create", None, "A"), ("b", 2, "create", None, "B"),
+              ("a", 3, "progress", 1.0, None), ("c", 4, "create", None, "C"),
+              ("b", 5, "delete", None, None), ("a", 6, "percent", 50.0, None),
+              ("c", 7, "complete", None, "c.zip"), ("b", 8, "progress", 3.0, None)]
+    log = _log(spark, events)
+    log_dir, table, ckpt = (os.path.join(scratch, x) for x in ("log5", "table5", "ckpt5"))
+    status_stream.write_log(log, log_dir, files=5)
+    q = status_stream.start_status_fold(spark, log_dir, table, ckpt, files_per_batch=1, compact_every=2)
+    q.awaitTermination()
+    names = set(os.listdir(table))
+    assert {"c=2", "c=4", "_compacted", "_latest"} <= names
+    deltas = [n for n in names if n.startswith("d=")]
+    assert len(deltas) == 5
+    # a delta holds only the keys its micro-batch touched
+    assert spark.read.parquet(os.path.join(table, "d=0")).count() < 3
+    got = _items(status_stream.read_status_table(spark, table))
+    assert got == _items(status.latest_status(log))
