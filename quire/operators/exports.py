@@ -239,6 +239,27 @@ def files_manifest_from(forms_data_df: DataFrame, files: DataFrame,
         .alias("folder_directory"))
 
 
+def submissions_with_rows(a: AuditTables, org: str | None,
+                          ids: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Submission ids that have form rows, and those that have files.
+
+    Existence only, so no export is built: every answer that meets its field
+    yields a form row (a table-question answer through its pointer row) and
+    the option / context joins are left joins, hence "has form rows" is
+    answers ⋉ fields; "has files" is that ⋉ files on the sub-field id.  Both
+    semi-joins are salted on hot keys like the export joins.
+    """
+    hot = answer_hot_keys(a, org, [["field_id"], ["sub_field_id"]])
+    rfv = scope(a.answers, org, ids).select("submission_id", "field_id", "sub_field_id")
+    ff = scope(a.fields, org).select(F.col("field_id").alias("ff_field_id"))
+    with_field = skew.salted_join(rfv, ff, [("field_id", "ff_field_id")], "left_semi",
+                                  hot.get(("field_id",)))
+    f = a.files.select(F.col("id").cast("string").alias("f_key"))
+    with_file = skew.salted_join(with_field, f, [("sub_field_id", "f_key")], "left_semi",
+                                 hot.get(("sub_field_id",)))
+    return with_field.select("submission_id"), with_file.select("submission_id")
+
+
 def readme(spark: SparkSession) -> DataFrame:
     """The one-row readme section."""
     return spark.range(1).select(F.lit(README_TEXT).alias("summary"),

@@ -165,8 +165,8 @@ def batch_progress(spark, t, a, org, ids):
 
 
 def _coverage(a, org, ids):
-    forms = exports.form_rows(exports.forms_export(a, org, ids))
-    return progress.submission_coverage(ids, forms, exports.files_manifest(a, org, ids))
+    with_forms, with_files = exports.submissions_with_rows(a, org, ids)
+    return progress.submission_coverage(ids, with_forms, with_files)
 
 
 @_audit

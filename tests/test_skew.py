@@ -94,3 +94,32 @@ def test_hot_keys_many_matches_single(spark):
         assert (one is None) == (got is None)
         if one is not None:
             assert _rows(one) == _rows(got)
+
+
+def test_salted_semi_join_keeps_each_row_once(spark):
+    left = spark.createDataFrame([(1, i) for i in range(50)] + [(2, 0), (3, 0)], "k long, v long")
+    right = spark.createDataFrame([(1, "a"), (1, "b"), (2, "b")], "rk long, w string")
+    hot = skew.hot_keys(left, ["k"], min_rows=10)
+    got = _rows(skew.salted_join(left, right, [("k", "rk")], "left_semi", hot))
+    want = _rows(left.join(right, left.k == right.rk, "left_semi"))
+    assert got == want and len(got) == 51
+
+
+def test_coverage_by_existence_matches_exports(spark):
+    """``submissions_with_rows`` (two semi-joins) finds exactly the
+    submissions of the form rows and of the file manifest, hot keys salted."""
+    from quire.operators import progress
+
+    a, ids = _skewed(spark)
+    key = skew.HOT_KEY_ROWS_CONF
+    try:
+        spark.conf.set(key, "200")
+        forms = exports.form_rows(exports.forms_export(a, "1", ids))
+        files = exports.files_manifest(a, "1", ids)
+        want = _rows(progress.submission_coverage(ids, forms, files))
+        with_forms, with_files = exports.submissions_with_rows(a, "1", ids)
+        got = _rows(progress.submission_coverage(ids, with_forms, with_files))
+        assert got == want
+        assert any(r[2] for r in got) and not all(r[1] for r in got)
+    finally:
+        spark.conf.unset(key)
