@@ -46,7 +46,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster the folder is configured (a shared filesystem every executor
-    can reach).  Only when it is unset — local tests — do we set our own.
+    can reach).  Only when it is unset on a ``local`` master — tests, bench —
+    do we set our own; on a cluster an unset folder is an error, since a
+    machine-local folder is not visible to the other executors.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -56,6 +58,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
         return sc.getCheckpointDir() or conf_dir
+    if not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set: quire needs a shared folder "
+                           "(e.g. on HDFS or an object store) for checkpoints and intermediate tables")
     local = tempfile.mkdtemp(prefix="quire-ckpt-")
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir() or local
