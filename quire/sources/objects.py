@@ -4,10 +4,12 @@ Objects live under a root as ``<root>/<bucket>/<key>``.  Listing uses Spark's
 ``binaryFile`` source with only metadata columns selected, so the ``content``
 column is pruned from the scan and no bytes are read; the listing is complete
 (every file under the root), not a first page.  Fetching an attachment
-manifest is a left join of the manifest with that listing: each row gets
-``ok`` or ``missing`` (a missing object is reported and the rest continue),
-and bytes are only read by whoever consumes ``object_path`` (the archive
-writer streams them straight from storage into the ZIP entry).
+manifest does not list the store: the manifest's own tasks look up their
+objects' metadata in batches (work grows with the manifest, not with the
+bucket, and no listing passes through the driver).  Each row gets ``ok`` or
+``missing`` (a missing object is reported and the rest continue), and bytes
+are only read by whoever consumes ``object_path`` (the archive writer streams
+them straight from storage into the ZIP entry).
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ import uuid
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import fs as qfs
 
@@ -80,15 +83,34 @@ def destination(path: Column, new_name: Column | None = None) -> Column:
     return F.when(F.coalesce(new_name, F.lit("")) == "", path).otherwise(F.concat(folder, new_name))
 
 
+def _probe_objects(root: str):
+    """mapInPandas body: adds ``object_path`` (``<bucket>/<key>`` when that
+    object exists under ``root``, else null) and its ``length``."""
+    def run(batches):
+        import pyarrow.fs as pafs
+
+        fsys, base = qfs.resolve(root)
+        for pdf in batches:
+            rel = [None if b is None or k is None or ".." in k.split("/") else f"{b}/{k}"
+                   for b, k in zip(pdf["bucket_name"], pdf["storage_key"])]
+            uniq = list(dict.fromkeys(r for r in rel if r is not None))
+            infos = dict(zip(uniq, fsys.get_file_info([f"{base}/{r}" for r in uniq]))) if uniq else {}
+            found = [r if r is not None and infos[r].type == pafs.FileType.File else None for r in rel]
+            sizes = [infos[r].size if r is not None else None for r in found]
+            yield pdf.assign(object_path=found, length=pd.array(sizes, dtype="Int64"))
+    return run
+
+
 def fetch_attachments(spark: SparkSession, manifest: DataFrame, root: str,
                       dest_col: str = "folder_directory", new_name_col: str | None = None) -> DataFrame:
     """Resolve a manifest of (bucket_name, storage_key, <dest_col>) against the
-    objects under ``root``: adds destination_path, status, length, object_path."""
-    listing = list_objects(spark, root).select("bucket_name", "storage_key", "object_path", "length")
+    objects under ``root``: adds destination_path, object_path, length, status."""
     m = manifest.withColumn(
         "destination_path",
         destination(F.col(dest_col), F.col(new_name_col) if new_name_col else None))
-    j = m.join(listing, ["bucket_name", "storage_key"], "left")
+    schema = T.StructType(list(m.schema.fields) + [T.StructField("object_path", T.StringType()),
+                                                   T.StructField("length", T.LongType())])
+    j = m.mapInPandas(_probe_objects(root), schema)
     return j.withColumn("status", F.when(F.col("object_path").isNull(), F.lit(MISSING)).otherwise(F.lit(OK)))
 
 
