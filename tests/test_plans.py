@@ -40,6 +40,15 @@ def test_forms_export_single_pass(spark):
     assert scans <= 2   # answers + the option view, not once per UNION branch
 
 
+def test_coverage_by_semi_joins(spark):
+    """Coverage flags come from semi-joins: no export joins, no distinct
+    over the 11 form columns."""
+    p = _plan(queries()["submission_coverage"](spark, SF_SMALL))
+    assert "LeftSemi" in p
+    assert "o_orderdate" not in p and "c_name" not in p   # contexts / users never read
+    assert not re.search(r"HashAggregate\(keys=\[[^\]]*folder_directory", p)
+
+
 @pytest.mark.parametrize("name", sorted(queries()))
 def test_no_python_udf_evaluation(spark, name):
     if name in ("attachment_fetch", "object_listing", "report_status_stream", "batch_progress"):
