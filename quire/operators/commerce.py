@@ -170,17 +170,28 @@ def missing_items_by_month(c: CommerceTables) -> DataFrame:
 
 
 def customer_region_profile(c: CommerceTables) -> DataFrame:
-    """Customers, buyers, orders and revenue per (state, city)."""
+    """Customers, buyers, orders and revenue per (state, city).
+
+    Customers are summed per zip prefix *before* meeting the geolocation
+    table: partial aggregation collapses a zip holding a large share of the
+    customers map-side, and the geolocation join sees one row per zip (a
+    geolocation row repeats its zip's totals, exactly as it would repeat the
+    zip's customers)."""
     per_customer = (_paid_orders(c).groupBy("customer_id")
                     .agg(F.count("order_id").alias("n_orders"),
                          F.sum("order_payments").alias("revenue")))
+    per_zip = (c.customers.join(per_customer, "customer_id", "left")
+               .groupBy("customer_zip_code_prefix")
+               .agg(F.count(F.lit(1)).alias("customers"),
+                    F.count("n_orders").alias("buyers"),
+                    F.sum("n_orders").alias("n_orders"),
+                    F.sum("revenue").alias("revenue")))
     g = c.geolocation
-    j = (c.customers.join(per_customer, "customer_id", "left")
-         .join(g, F.col("customer_zip_code_prefix") == g.geolocation_zip_code_prefix, "left"))
+    j = per_zip.join(g, F.col("customer_zip_code_prefix") == g.geolocation_zip_code_prefix, "left")
     return (j.groupBy(F.col("geolocation_state").alias("customer_state"),
                       F.col("geolocation_city").alias("customer_city"))
-            .agg(F.count(F.lit(1)).alias("customers_count"),
-                 F.count("n_orders").alias("buying_customers_count"),
+            .agg(F.sum("customers").alias("customers_count"),
+                 F.sum("buyers").alias("buying_customers_count"),
                  F.coalesce(F.sum("n_orders"), F.lit(0)).cast("bigint").alias("orders_count"),
                  F.coalesce(F.sum("revenue"), F.lit(0)).cast("decimal(28,2)").alias("revenue_usd")))
 

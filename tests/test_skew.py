@@ -123,3 +123,27 @@ def test_coverage_by_existence_matches_exports(spark):
         assert any(r[2] for r in got) and not all(r[1] for r in got)
     finally:
         spark.conf.unset(key)
+
+
+def test_hot_zip_region_profile_matches_join_first(spark):
+    """A zip prefix holding a third of the customers: aggregating per zip
+    before the geolocation join gives the join-then-aggregate result."""
+    from quire.operators import commerce
+    from quire.sources.views import CommerceTables
+
+    c = views.commerce_tables(tables.load(spark, SF_SMALL))
+    cust = c.customers.withColumn(
+        "customer_zip_code_prefix",
+        F.when(F.col("customer_id") % 3 == 0, F.lit(5).cast("bigint")).otherwise(F.col("customer_zip_code_prefix")))
+    c2 = CommerceTables(c.orders, c.payments, cust, c.items, c.products, c.translation, c.geolocation)
+    per_customer = (c2.orders.join(c2.payments.groupBy("order_id").agg(
+                        F.sum(F.col("payment_value").cast("decimal(18,2)")).alias("p")), "order_id")
+                    .groupBy("customer_id").agg(F.count("order_id").alias("n"), F.sum("p").alias("r")))
+    g = c2.geolocation
+    j = (cust.join(per_customer, "customer_id", "left")
+         .join(g, F.col("customer_zip_code_prefix") == g.geolocation_zip_code_prefix, "left"))
+    want = j.groupBy(F.col("geolocation_state").alias("customer_state"),
+                     F.col("geolocation_city").alias("customer_city")).agg(
+        F.count(F.lit(1)), F.count("n"), F.coalesce(F.sum("n"), F.lit(0)).cast("bigint"),
+        F.coalesce(F.sum("r"), F.lit(0)).cast("decimal(28,2)"))
+    assert _rows(commerce.customer_region_profile(c2)) == _rows(want)
