@@ -81,14 +81,18 @@ def forms_data(a: AuditTables, org: str | None, ids: DataFrame | None, hot: dict
     """Answers ⋈ fields ⟕ options ⟕ (contexts ⟕ users): one row per answer.
 
     Columns: the form columns without the path, plus ``response_id``.  The
-    option and context joins sit above another join, where AQE does not split
-    skewed partitions, so their hot keys are salted (``skew.salted_join``).
+    field, option and context joins sit above another join (the request-id
+    semi-join first), where AQE does not split skewed partitions, so their hot
+    keys are salted (``skew.salted_join``).
     """
-    hot = hot if hot is not None else answer_hot_keys(a, org, [_CTX_KEYS, ["field_id", "sub_field_id"]])
+    hot = hot if hot is not None else answer_hot_keys(
+        a, org, [_CTX_KEYS, ["field_id", "sub_field_id"], ["field_id"]])
     rfv = scope(a.answers, org, ids)
-    ff = scope(a.fields, org).select("field_id", "form_type", "form_name", "field_type", "field_label")
-    base = rfv.select("submission_id", "request_id", "response_id", "field_id", "sub_field_id", "value") \
-        .join(ff, "field_id")
+    ff = scope(a.fields, org).select(F.col("field_id").alias("ff_field_id"), "form_type", "form_name",
+                                    "field_type", "field_label")
+    base = skew.salted_join(
+        rfv.select("submission_id", "request_id", "response_id", "field_id", "sub_field_id", "value"),
+        ff, [("field_id", "ff_field_id")], "inner", hot.get(("field_id",))).drop("ff_field_id")
     with_opt = skew.salted_join(base, _options(a, org), _OPTION_KEYS, "left",
                                 hot.get(("field_id", "sub_field_id")))
     ctx = _contexts_with_users(a).select(

@@ -147,3 +147,24 @@ def test_hot_zip_region_profile_matches_join_first(spark):
         F.count(F.lit(1)), F.count("n"), F.coalesce(F.sum("n"), F.lit(0)).cast("bigint"),
         F.coalesce(F.sum("r"), F.lit(0)).cast("decimal(28,2)"))
     assert _rows(commerce.customer_region_profile(c2)) == _rows(want)
+
+
+def test_hot_field_is_salted(spark):
+    t = tables.load(spark, SF_SMALL)
+    a = views.audit_tables(t)
+    ans = a.answers.withColumn(
+        "field_id", F.when(F.col("submission_id") % 3 == 0, F.lit(1).cast("bigint")).otherwise(F.col("field_id"))
+    ).withColumn(
+        "organization_id", F.when(F.col("submission_id") % 3 == 0, F.lit("1")).otherwise(F.col("organization_id")))
+    a2 = AuditTables(ans, a.fields, a.options, a.contexts, a.users, a.history, a.history_mail, a.files)
+    ids = views.all_submission_ids(t)
+    key = skew.HOT_KEY_ROWS_CONF
+    try:
+        spark.conf.set(key, "0")
+        plain = _rows(exports.forms_data(a2, "1", ids))
+        spark.conf.set(key, "200")
+        hot = skew.hot_keys(exports.scope(a2.answers, "1"), ["field_id"])
+        assert hot is not None and {r.field_id for r in hot.collect()} == {1}
+        assert _rows(exports.forms_data(a2, "1", ids)) == plain
+    finally:
+        spark.conf.unset(key)
