@@ -156,7 +156,9 @@ def missing_items_by_month(c: CommerceTables) -> DataFrame:
     Items are reduced to one row per order (count, count without category)
     before meeting the order table.
     """
-    per_order = (c.items.join(_product_categories(c), "product_id", "left")
+    cats = _product_categories(c).withColumnRenamed("product_id", "p_product_id")
+    hot = skew.hot_keys(c.items, ["product_id"])
+    per_order = (skew.salted_join(c.items, cats, [("product_id", "p_product_id")], "left", hot)
                  .groupBy("order_id")
                  .agg(F.count(F.lit(1)).alias("n_items"),
                       F.count_if(F.col("category").isNull()).alias("n_uncategorised")))

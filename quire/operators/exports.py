@@ -298,13 +298,13 @@ def sections(spark: SparkSession, a: AuditTables, org: str | None,
 
 
 def value_resolution(a: AuditTables, org: str | None) -> DataFrame:
-    """Each answer with its option label (if any) and resolved display value."""
-    rfv = scope(a.answers, org).alias("rfv")
-    ffo = scope(a.options, org).alias("ffo")
-    j = rfv.join(ffo, (F.col("ffo.field_id") == F.col("rfv.field_id"))
-                 & (F.col("ffo.option_id") == F.col("rfv.sub_field_id")), "left")
+    """Each answer with its option label (if any) and resolved display value.
+
+    The option side is a distinct (an aggregate), so AQE cannot split a hot
+    (field, option) key of the answers; it is salted instead."""
+    hot = answer_hot_keys(a, org, [["field_id", "sub_field_id"]])
+    rfv = scope(a.answers, org).select("submission_id", "field_id", "sub_field_id", "value")
+    j = skew.salted_join(rfv, _options(a, org), _OPTION_KEYS, "left", hot.get(("field_id", "sub_field_id")))
     c = F.col
-    return j.select(c("rfv.submission_id").alias("submission_id"), c("rfv.field_id").alias("field_id"),
-                    c("rfv.sub_field_id").alias("sub_field_id"), c("rfv.value").alias("raw_value"),
-                    c("ffo.option_label").alias("option_label"),
-                    resolve_value(c("ffo.option_label"), c("rfv.value")).alias("value"))
+    return j.select("submission_id", "field_id", "sub_field_id", c("value").alias("raw_value"),
+                    "option_label", resolve_value(c("option_label"), c("value")).alias("value"))

@@ -168,3 +168,30 @@ def test_hot_field_is_salted(spark):
         assert _rows(exports.forms_data(a2, "1", ids)) == plain
     finally:
         spark.conf.unset(key)
+
+
+def test_hot_option_and_product_salted_joins_match_plain(spark):
+    from quire.operators import commerce
+    from quire.sources.views import CommerceTables
+
+    t = tables.load(spark, SF_SMALL)
+    a = views.audit_tables(t)
+    hot_row = F.col("submission_id") % 3 == 0
+    ans = (a.answers.withColumn("field_id", F.when(hot_row, F.lit(1).cast("bigint")).otherwise(F.col("field_id")))
+           .withColumn("sub_field_id", F.when(hot_row, F.lit("1")).otherwise(F.col("sub_field_id")))
+           .withColumn("organization_id", F.when(hot_row, F.lit("1")).otherwise(F.col("organization_id"))))
+    a2 = AuditTables(ans, a.fields, a.options, a.contexts, a.users, a.history, a.history_mail, a.files)
+    c = views.commerce_tables(t)
+    items = c.items.withColumn("product_id", F.when(F.col("order_id") % 3 == 0, F.lit(2).cast("bigint"))
+                               .otherwise(F.col("product_id")))
+    c2 = CommerceTables(c.orders, c.payments, c.customers, items, c.products, c.translation, c.geolocation)
+    key = skew.HOT_KEY_ROWS_CONF
+    try:
+        spark.conf.set(key, "0")
+        plain = (_rows(exports.value_resolution(a2, "1")), _rows(commerce.missing_items_by_month(c2)))
+        spark.conf.set(key, "100")
+        assert skew.hot_keys(c2.items, ["product_id"]) is not None
+        assert skew.hot_keys(exports.scope(a2.answers, "1"), ["field_id", "sub_field_id"]) is not None
+        assert (_rows(exports.value_resolution(a2, "1")), _rows(commerce.missing_items_by_month(c2))) == plain
+    finally:
+        spark.conf.unset(key)
