@@ -43,12 +43,15 @@ FORM_COLUMNS = ["submission_id", "form_type", "form_name", "field_type", "field_
 
 
 def scope(df: DataFrame, org: str | None = None, ids: DataFrame | None = None,
-          org_col: str = "organization_id", id_col: str = "submission_id") -> DataFrame:
-    """Organization equality filter and request-id semi-join."""
+          org_col: str = "organization_id", id_col: str = "submission_id",
+          hot: DataFrame | None = None) -> DataFrame:
+    """Organization equality filter and request-id semi-join; ``hot`` (hot
+    submission ids of ``df`` from ``skew.hot_keys``) salts the semi-join."""
     if org is not None:
         df = df.where(F.col(org_col) == F.lit(org))
     if ids is not None:
-        df = df.join(ids.select(F.col("submission_id").alias(id_col)), id_col, "left_semi")
+        req = ids.select(F.col("submission_id").alias("_req_id"))
+        df = skew.salted_join(df, req, [(id_col, "_req_id")], "left_semi", hot)
     return df
 
 
@@ -69,7 +72,8 @@ def _options(a: AuditTables, org: str | None) -> DataFrame:
 
 
 _REVIEW_KEYS = ["form_id", "response_id", "submission_id"]
-ANSWER_KEY_SETS = [_CTX_KEYS, ["field_id", "sub_field_id"], _REVIEW_KEYS, ["field_id"], ["sub_field_id"]]
+ANSWER_KEY_SETS = [_CTX_KEYS, ["field_id", "sub_field_id"], _REVIEW_KEYS, ["field_id"], ["sub_field_id"],
+                   ["submission_id"]]
 
 
 def answer_hot_keys(a: AuditTables, org: str | None, key_sets=None) -> dict:
@@ -86,8 +90,8 @@ def forms_data(a: AuditTables, org: str | None, ids: DataFrame | None, hot: dict
     keys are salted (``skew.salted_join``).
     """
     hot = hot if hot is not None else answer_hot_keys(
-        a, org, [_CTX_KEYS, ["field_id", "sub_field_id"], ["field_id"]])
-    rfv = scope(a.answers, org, ids)
+        a, org, [_CTX_KEYS, ["field_id", "sub_field_id"], ["field_id"], ["submission_id"]])
+    rfv = scope(a.answers, org, ids, hot=hot.get(("submission_id",)))
     ff = scope(a.fields, org).select(F.col("field_id").alias("ff_field_id"), "form_type", "form_name",
                                     "field_type", "field_label")
     base = skew.salted_join(
@@ -210,7 +214,8 @@ def review_stage_export(a: AuditTables, org: str | None, ids: DataFrame | None,
 
 def chronology_export(a: AuditTables, org: str | None, ids: DataFrame | None) -> DataFrame:
     """History entries of the requested submissions with their e-mail detail."""
-    s = scope(a.history, org, ids)
+    hist = scope(a.history, org)
+    s = scope(hist, None, ids, hot=skew.hot_keys(hist, ["submission_id"]) if ids is not None else None)
     m = a.history_mail
     j = s.join(m, s.submission_history_id == m.submissionhistoryid)
     return j.select(
@@ -253,8 +258,9 @@ def submissions_with_rows(a: AuditTables, org: str | None,
     answers ⋉ fields; "has files" is that ⋉ files on the sub-field id.  Both
     semi-joins are salted on hot keys like the export joins.
     """
-    hot = answer_hot_keys(a, org, [["field_id"], ["sub_field_id"]])
-    rfv = scope(a.answers, org, ids).select("submission_id", "field_id", "sub_field_id")
+    hot = answer_hot_keys(a, org, [["field_id"], ["sub_field_id"], ["submission_id"]])
+    rfv = scope(a.answers, org, ids, hot=hot.get(("submission_id",))).select(
+        "submission_id", "field_id", "sub_field_id")
     ff = scope(a.fields, org).select(F.col("field_id").alias("ff_field_id"))
     with_field = skew.salted_join(rfv, ff, [("field_id", "ff_field_id")], "left_semi",
                                   hot.get(("field_id",)))

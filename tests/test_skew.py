@@ -195,3 +195,26 @@ def test_hot_option_and_product_salted_joins_match_plain(spark):
         assert (_rows(exports.value_resolution(a2, "1")), _rows(commerce.missing_items_by_month(c2))) == plain
     finally:
         spark.conf.unset(key)
+
+
+def test_hot_submission_request_semi_joins_salted(spark):
+    """A submission holding a third of the history (and of the answers): the
+    salted request-id semi-joins keep exactly the unsalted rows."""
+    t = tables.load(spark, SF_SMALL)
+    a = views.audit_tables(t)
+    hot_row = F.col("submission_history_id") % 3 == 0
+    hist = (a.history.withColumn("submission_id", F.when(hot_row, F.lit(4).cast("bigint"))
+                                 .otherwise(F.col("submission_id")))
+            .withColumn("organization_id", F.when(hot_row, F.lit("1")).otherwise(F.col("organization_id"))))
+    a2 = AuditTables(a.answers, a.fields, a.options, a.contexts, a.users, hist, a.history_mail, a.files)
+    ids = views.all_submission_ids(t).union(spark.range(1).select(F.lit(4).cast("bigint").alias("submission_id")))
+    key = skew.HOT_KEY_ROWS_CONF
+    try:
+        spark.conf.set(key, "0")
+        plain = _rows(exports.chronology_export(a2, "1", ids))
+        spark.conf.set(key, "50")
+        assert skew.hot_keys(exports.scope(hist, "1"), ["submission_id"]) is not None
+        got = _rows(exports.chronology_export(a2, "1", ids))
+        assert got == plain and any(r[0] == 4 for r in got)
+    finally:
+        spark.conf.unset(key)
