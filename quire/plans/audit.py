@@ -90,7 +90,9 @@ def run_audit_report(spark: SparkSession, a: AuditTables, organization_id: str,
         attachments=None if attachments is None else attachments.where(F.col("status") == objects.OK),
         objects_root=objects_root)
 
-    coverage = progress.submission_coverage(ids, secs["forms"], secs["files"])
+    # Coverage by existence (semi-joins on key columns), not by re-running the
+    # forms distinct over every form row.
+    coverage = progress.submission_coverage(ids, *exports.submissions_with_rows(a, organization_id, ids))
     coverage.write.mode("overwrite").parquet(f"{root}/coverage")
     progress.batch_progress(ids).write.mode("overwrite").parquet(f"{root}/progress")
     progress_df = spark.read.parquet(f"{root}/progress")
