@@ -6,7 +6,7 @@ import zipfile
 
 from pyspark.sql import functions as F
 
-from quire.operators import status
+from quire.operators import exports, progress, status
 from quire.plans.audit import run_audit_report
 from quire.sources import objects, tables, views
 
@@ -45,3 +45,9 @@ def test_run_audit_report(spark, scratch):
     distinct_att = run.attachments.where("status = 'ok'").select(
         "submission_id", F.coalesce("destination_path", "object_path")).distinct().count()
     assert att > 0 and in_zips == distinct_att
+    # coverage written by the run (existence semi-joins) = coverage of the sections
+    a = views.audit_tables(t)
+    secs = exports.sections(spark, a, "1", ids)
+    want = sorted(tuple(r) for r in progress.submission_coverage(ids, secs["forms"], secs["files"]).collect())
+    got = sorted(tuple(r) for r in spark.read.parquet(os.path.join(base, "coverage")).collect())
+    assert got == want and any(r[1] for r in got) and not all(r[1] for r in got)
