@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 
 from ..functions.scalars import csv_path, multi_replace, submission_id_from_path
-from ..operators import commerce, exports, progress, sink, status
+from ..operators import commerce, exports, progress, sink, skew, status
 from ..session import scratch_dir
 from ..sources import objects, requests, tables, views
 from ..streaming import status_stream
@@ -69,8 +69,10 @@ def scan_org_filter(spark, t, a, org, ids):
 def request_ids_semi(spark, t, a, org, ids):
     docs = requests.requests_from_orders(t.orders, org, "all submissions")
     req = requests.request_ids(requests.parse_requests(docs))
-    return a.answers.join(req.select("organization_id", "submission_id"),
-                          ["organization_id", "submission_id"], "left_semi")
+    keys = ["organization_id", "submission_id"]
+    req = req.select(*[F.col(k).alias("req_" + k) for k in keys])
+    return skew.salted_join(a.answers, req, [(k, "req_" + k) for k in keys], "left_semi",
+                            skew.hot_keys(a.answers, keys))
 
 
 @_audit
