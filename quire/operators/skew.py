@@ -8,10 +8,10 @@ field, an option id), quire salts explicitly:
 
 1. ``hot_keys``: count rows per key on the fact's *scan* (a partial
    aggregate over the key columns only) and keep keys with at least
-   ``min_rows`` rows.  There are at most ``rows / min_rows`` of them; the list
-   is fetched only if it has at most ``MAX_HOT_KEYS`` entries (else the plain
-   join is used and AQE is left to cope), so what is broadcast has a checked
-   size.  Each hot key gets ``ceil(rows / min_rows)`` salts (capped).
+   ``min_rows`` rows.  At most the ``MAX_HOT_KEYS`` heaviest of them are
+   fetched (a distributed top-k), so what is broadcast has a checked size;
+   keys beyond that take the plain join path, which is just as exact.  Each
+   hot key gets ``ceil(rows / min_rows)`` salts (capped).
 2. ``salted_join``: fact rows of a hot key take salt ``xxhash64(row) mod n``,
    the dimension rows of that key are replicated ``n`` times (one per salt),
    all other rows have salt 0; the join runs on (keys, salt).  Every fact row
@@ -41,15 +41,16 @@ def hot_key_rows(df: DataFrame) -> int:
 
 
 def hot_keys(df: DataFrame, keys: list[str], min_rows: int | None = None) -> DataFrame | None:
-    """Keys of ``df`` with at least ``min_rows`` rows and their salt count,
-    or None when there are none / salting is off / the list is too long."""
+    """The (at most ``MAX_HOT_KEYS`` heaviest) keys of ``df`` with at least
+    ``min_rows`` rows and their salt count, or None when there are none or
+    salting is off."""
     min_rows = hot_key_rows(df) if min_rows is None else min_rows
     if min_rows <= 0:
         return None
     counts = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
               .where(F.col("_n") >= min_rows))
-    rows = counts.limit(MAX_HOT_KEYS + 1).collect()      # bounded by MAX_HOT_KEYS + 1
-    if not rows or len(rows) > MAX_HOT_KEYS:
+    rows = counts.orderBy(F.col("_n").desc()).limit(MAX_HOT_KEYS).collect()   # bounded top-k
+    if not rows:
         return None
     data = [tuple(r[k] for k in keys) + (min(MAX_SALTS, math.ceil(r["_n"] / min_rows)),) for r in rows]
     schema = counts.select(*keys).schema.add("_salts", T.IntegerType(), False)
@@ -72,12 +73,12 @@ def hot_keys_many(df: DataFrame, key_sets: list[list[str]],
     counts = (df.groupingSets([[F.col(c) for c in ks] for ks in sets], *cols)
               .agg(F.count(F.lit(1)).alias("_n"), F.grouping_id().alias("_g"))
               .where(F.col("_n") >= min_rows))
-    rows = counts.limit(MAX_HOT_KEYS * len(sets) + 1).collect()   # bounded
+    rows = counts.orderBy(F.col("_n").desc()).limit(MAX_HOT_KEYS * len(sets)).collect()   # bounded top-k
     out: dict[tuple[str, ...], DataFrame | None] = {}
     types = {f.name: f.dataType for f in df.schema.fields}
     for ks in sets:
-        mine = [r for r in rows if r["_g"] == gid(ks)]
-        if not mine or len(mine) > MAX_HOT_KEYS:
+        mine = [r for r in rows if r["_g"] == gid(ks)][:MAX_HOT_KEYS]     # heaviest first
+        if not mine:
             out[ks] = None
             continue
         data = [tuple(r[k] for k in ks) + (min(MAX_SALTS, math.ceil(r["_n"] / min_rows)),) for r in mine]

@@ -218,3 +218,18 @@ def test_hot_submission_request_semi_joins_salted(spark):
         assert got == plain and any(r[0] == 4 for r in got)
     finally:
         spark.conf.unset(key)
+
+
+def test_hot_key_list_keeps_heaviest(spark, monkeypatch):
+    """More hot keys than the list bound: the heaviest are kept (not none),
+    and the salted join stays exact for all keys."""
+    left = spark.createDataFrame([(1, i) for i in range(60)] + [(2, i) for i in range(30)] + [(3, 0)],
+                                 "k long, v long")
+    right = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "rk long, w string")
+    monkeypatch.setattr(skew, "MAX_HOT_KEYS", 1)
+    hot = skew.hot_keys(left, ["k"], min_rows=10)
+    assert {r.k: r._salts for r in hot.collect()} == {1: 6}
+    many = skew.hot_keys_many(left, [["k"]], min_rows=10)[("k",)]
+    assert {r.k: r._salts for r in many.collect()} == {1: 6}
+    got = _rows(skew.salted_join(left, right, [("k", "rk")], "inner", hot))
+    assert got == _rows(left.join(right, left.k == right.rk)) and len(got) == 91
