@@ -233,3 +233,24 @@ def test_hot_key_list_keeps_heaviest(spark, monkeypatch):
     assert {r.k: r._salts for r in many.collect()} == {1: 6}
     got = _rows(skew.salted_join(left, right, [("k", "rk")], "inner", hot))
     assert got == _rows(left.join(right, left.k == right.rk)) and len(got) == 91
+
+
+def test_hot_creator_contexts_salted(spark):
+    """One user created a third of the response contexts: the salted
+    contexts ⟕ users joins give the unsalted rows (forms and review stage)."""
+    t = tables.load(spark, SF_SMALL)
+    a = views.audit_tables(t)
+    ctx = a.contexts.withColumn("created_by", F.when(F.col("submission_id") % 3 == 0, F.lit(1).cast("bigint"))
+                                .otherwise(F.col("created_by")))
+    a2 = AuditTables(a.answers, a.fields, a.options, ctx, a.users, a.history, a.history_mail, a.files)
+    ids = views.all_submission_ids(t)
+    key = skew.HOT_KEY_ROWS_CONF
+    try:
+        spark.conf.set(key, "0")
+        plain = (_rows(exports.forms_data(a2, "1", ids)), _rows(exports.review_stage_export(a2, "1", ids)))
+        spark.conf.set(key, "30")
+        assert skew.hot_keys(ctx, ["created_by"]) is not None
+        got = (_rows(exports.forms_data(a2, "1", ids)), _rows(exports.review_stage_export(a2, "1", ids)))
+        assert got == plain and len(got[1]) > 0
+    finally:
+        spark.conf.unset(key)
