@@ -86,10 +86,12 @@ def _product_categories(c: CommerceTables) -> DataFrame:
 
 def category_revenue(c: CommerceTables) -> DataFrame:
     """Per (purchase day, category): sum(price * order_item_id) (CTE 2)."""
-    lines = c.items.join(c.orders.select("order_id", "order_purchase_timestamp"), "order_id")
+    hot = skew.hot_keys_many(c.items, [["order_id"], ["product_id"]])     # one job for both keys
+    orders = c.orders.select(F.col("order_id").alias("o_order_id"), "order_purchase_timestamp")
+    lines = skew.salted_join(c.items, orders, [("order_id", "o_order_id")], "inner",
+                             hot[("order_id",)]).drop("o_order_id")
     cats = _product_categories(c).withColumnRenamed("product_id", "p_product_id")
-    hot = skew.hot_keys(c.items, ["product_id"])
-    return (skew.salted_join(lines, cats, [("product_id", "p_product_id")], "inner", hot)
+    return (skew.salted_join(lines, cats, [("product_id", "p_product_id")], "inner", hot[("product_id",)])
             .groupBy(purchase_day("order_purchase_timestamp").alias("order_purchase_date"),
                      F.col("category").alias("product_category_name"))
             .agg(F.sum(F.col("price").cast(MONEY) * F.col("order_item_id")).alias("category_revenue")))

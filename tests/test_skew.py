@@ -254,3 +254,25 @@ def test_hot_creator_contexts_salted(spark):
         assert got == plain and len(got[1]) > 0
     finally:
         spark.conf.unset(key)
+
+
+def test_hot_order_category_revenue_salted(spark):
+    """One order holds a third of the items: the salted items ⋈ orders join
+    gives the unsalted category revenue."""
+    from quire.operators import commerce
+    from quire.sources.views import CommerceTables
+
+    c = views.commerce_tables(tables.load(spark, SF_SMALL))
+    first = c.orders.agg(F.min("order_id")).first()[0]
+    items = c.items.withColumn("order_id", F.when(F.col("product_id") % 3 == 0, F.lit(first).cast("bigint"))
+                               .otherwise(F.col("order_id")))
+    c2 = CommerceTables(c.orders, c.payments, c.customers, items, c.products, c.translation, c.geolocation)
+    key = skew.HOT_KEY_ROWS_CONF
+    try:
+        spark.conf.set(key, "0")
+        plain = _rows(commerce.category_revenue(c2))
+        spark.conf.set(key, "100")
+        assert skew.hot_keys(items, ["order_id"]) is not None
+        assert _rows(commerce.category_revenue(c2)) == plain
+    finally:
+        spark.conf.unset(key)
