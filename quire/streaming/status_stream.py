@@ -16,7 +16,8 @@ with the table), then moves ``_latest``.  Replaying an epoch after a failure
 rewrites the same ``d=<epoch>``; readers never look past ``_latest``, so the
 table is exactly-once.  Every ``compact_every`` epochs the deltas are folded
 into ``c=<epoch>`` (then ``_compacted`` moves), which bounds how many deltas a
-reader merges.  A reader takes the last compaction plus the later committed
+reader merges; deltas up to the previous compaction and older compactions
+are then removed, so storage and listings stay bounded.  A reader takes the last compaction plus the later committed
 deltas and merges them per key with ``status.merge_states`` — a column-wise
 ``max``, exact because every state column only grows as events arrive.
 """
@@ -104,11 +105,29 @@ def _upsert(table: str, compact_every: int):
         batch.write.mode("overwrite").parquet(f"{root}/d={epoch}")
         _set_marker(table, "_latest", epoch)
         if compact_every and epoch > 0 and epoch % compact_every == 0:
+            prev = _read_marker(table, "_compacted")
             _state_as_of(spark, table, epoch).write.mode("overwrite").parquet(f"{root}/c={epoch}")
             _set_marker(table, "_compacted", epoch)
+            if prev is not None:
+                _drop_before(table, prev)
     return run
 
 
+def _drop_before(table: str, prev: int) -> None:
+    """Retention: deltas up to compaction ``prev`` and compactions older
+    than it.  A reader that took the ``prev`` marker reads only later deltas,
+    so only a reader slower than two compaction intervals could miss data."""
+    fsys, base = qfs.resolve(table)
+    infos = fsys.get_file_info(pafs.FileSelector(base, allow_not_found=True))
+    for i in infos:
+        n = i.base_name
+        if i.type != pafs.FileType.Directory or not n[2:].isdigit():
+            continue
+        e = int(n[2:])
+        if (n.startswith("d=") and e <= prev) or (n.startswith("c=") and e < prev):
+            fsys.delete_dir(f"{base}/{n}")
+
+
 def start_status_fold(spark: SparkSession, log_dir: str, table: str, checkpoint: str,
                       files_per_batch: int | None = None, available_now: bool = True,
                       compact_every: int = COMPACT_EVERY):
