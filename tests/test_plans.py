@@ -55,3 +55,12 @@ def test_no_python_udf_evaluation(spark, name):
         pytest.skip("writes or checkpoints while being built; covered elsewhere")
     p = _plan(queries()[name](spark, SF_SMALL))
     assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p
+
+
+@pytest.mark.parametrize("name", sorted(queries()))
+def test_no_cross_or_nested_loop_join(spark, name):
+    """Every join is an equi-join: no Cartesian product, no nested-loop join."""
+    if name in ("attachment_fetch", "object_listing", "report_status_stream", "batch_progress"):
+        pytest.skip("writes or checkpoints while being built; covered elsewhere")
+    p = _plan(queries()[name](spark, SF_SMALL))
+    assert "CartesianProduct" not in p and "NestedLoopJoin" not in p
