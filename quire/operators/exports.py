@@ -165,6 +165,16 @@ def table_question_rows(forms: DataFrame) -> DataFrame:
                      "sub_field_id", "value", "folder_directory")
 
 
+def table_questions_from(forms_data_df: DataFrame) -> DataFrame:
+    """``table_question_rows(forms_export_from(fd))`` without building the
+    whole export: pointer rows never carry the table-question label, so the
+    table-question rows of the export are the distinct table-question data
+    rows.  The label filter reaches the field scan (or the materialized join
+    tree), so only table-question answers are joined and deduplicated."""
+    tq = with_form_path(forms_data_df.where(F.col("field_label") == paths.TABLE_QUESTION))
+    return table_question_rows(tq.select(*FORM_COLUMNS).distinct())
+
+
 def table_question_items(tq: DataFrame) -> DataFrame:
     """Split a table-question answer into its items.
 
@@ -306,7 +316,7 @@ def sections(spark: SparkSession, a: AuditTables, org: str | None,
         "review_stage": review_stage_export(a, org, ids, hot),
         "chronology": chronology_export(a, org, ids),
         "files": files_manifest_from(fd, a.files, hot.get(("sub_field_id",))),
-        "table_question": table_question_items(table_question_rows(forms)),
+        "table_question": table_question_items(table_questions_from(fd)),
     }
 
 

@@ -102,12 +102,12 @@ def form_rows_split(spark, t, a, org, ids):
 
 @_audit
 def table_question_rows(spark, t, a, org, ids):
-    return exports.table_question_rows(exports.forms_export(a, org, ids))
+    return exports.table_questions_from(exports.forms_data(a, org, ids))
 
 
 @_audit
 def table_question_explode(spark, t, a, org, ids):
-    return exports.table_question_items(exports.table_question_rows(exports.forms_export(a, org, ids)))
+    return exports.table_question_items(exports.table_questions_from(exports.forms_data(a, org, ids)))
 
 
 @_audit

@@ -114,3 +114,19 @@ def test_consistent_pointer_paths(spark):
     assert ptr.value == tq.folder_directory
     ts = "2024-01-02_03_04_05.120"
     assert ptr.folder_directory == f"Audit_Folder/Audit_1/review/review_Rev_B/FORM_DATA_/u@x/{ts}/form_data.csv"
+
+
+def test_table_questions_from_equals_export_filter(spark):
+    """The direct table-question rows equal the table-question rows of the
+    whole forms export (pointer rows never carry the label)."""
+    from quire.operators import exports as ex
+    from quire.sources import tables as tb, views as vw
+
+    from .conftest import SF_SMALL as SF
+
+    t = tb.load(spark, SF)
+    a = vw.audit_tables(t)
+    fd = ex.forms_data(a, "1", vw.all_submission_ids(t))
+    want = sorted((tuple(r) for r in ex.table_question_rows(ex.forms_export_from(fd)).collect()), key=str)
+    got = sorted((tuple(r) for r in ex.table_questions_from(fd).collect()), key=str)
+    assert got == want and len(got) > 0

@@ -40,6 +40,15 @@ def test_forms_export_single_pass(spark):
     assert scans <= 2   # answers + the option view, not once per UNION branch
 
 
+def test_table_questions_filter_reaches_field_scan(spark):
+    """Table-question rows come from the filtered join tree: no pointer-row
+    generation, and the label filter is evaluated at the field (part) scan."""
+    p = _plan(queries()["table_question_rows"](spark, SF_SMALL))
+    assert "Generate" not in p
+    part_scan = [l for l in p.splitlines() if "FileScan parquet" in l and "p_brand" in l][0]
+    assert "DataFilters" in part_scan and "p_brand" in part_scan.split("DataFilters")[1]
+
+
 def test_coverage_by_semi_joins(spark):
     """Coverage flags come from semi-joins: no export joins, no distinct
     over the 11 form columns."""
