@@ -86,7 +86,8 @@ def answer_hot_keys(a: AuditTables, org: str | None, key_sets=None) -> dict:
     return skew.hot_keys_many(scope(a.answers, org), key_sets or ANSWER_KEY_SETS)
 
 
-def forms_data(a: AuditTables, org: str | None, ids: DataFrame | None, hot: dict | None = None) -> DataFrame:
+def forms_data(a: AuditTables, org: str | None, ids: DataFrame | None, hot: dict | None = None,
+               with_options: bool = True) -> DataFrame:
     """Answers ⋈ fields ⟕ options ⟕ (contexts ⟕ users): one row per answer.
 
     Columns: the form columns without the path, plus ``response_id``.  The
@@ -102,8 +103,11 @@ def forms_data(a: AuditTables, org: str | None, ids: DataFrame | None, hot: dict
     base = skew.salted_join(
         rfv.select("submission_id", "request_id", "response_id", "field_id", "sub_field_id", "value"),
         ff, [("field_id", "ff_field_id")], "inner", hot.get(("field_id",))).drop("ff_field_id")
-    with_opt = skew.salted_join(base, _options(a, org), _OPTION_KEYS, "left",
-                                hot.get(("field_id", "sub_field_id")))
+    if with_options:
+        with_opt = skew.salted_join(base, _options(a, org), _OPTION_KEYS, "left",
+                                    hot.get(("field_id", "sub_field_id")))
+    else:   # for callers that need only the set of rows' other columns (a left join adds none)
+        with_opt = base.withColumn("option_label", F.lit(None).cast("string"))
     ctx = _contexts_with_users(a).select(
         *[F.col(k).alias("ctx_" + k) for k in _CTX_KEYS], "completed_at", "created_at",
         F.col("email").alias("created_user_email"))
@@ -153,6 +157,19 @@ def forms_export_from(forms_data_df: DataFrame, consistent_paths: bool = False)
     return fd.select(F.inline(rows)).distinct()
 
 
+def export_paths(forms_data_df: DataFrame, consistent_paths: bool = False) -> DataFrame:
+    """The distinct ``folder_directory`` values of ``forms_export_from(fd)``
+    without its 11-column distinct: each answer's data path, plus the pointer
+    directory of a table-question answer."""
+    fd = with_form_path(forms_data_df)
+    c = F.col
+    pointer = paths.pointer_directory(c("submission_id"), c("form_type"), c("form_name"), c("completed_at"),
+                                      c("created_user_email"), consistent_paths)
+    both = F.when(c("field_label") == paths.TABLE_QUESTION, F.array(c("folder_directory"), pointer)) \
+        .otherwise(F.array(c("folder_directory")))
+    return fd.select(F.explode(both).alias("folder_directory")).distinct()
+
+
 def form_rows(forms: DataFrame) -> DataFrame:
     """Form section: every row except table-question answers (null labels kept)."""
     return forms.where(not_equal_keep_null("field_label", paths.TABLE_QUESTION))

@@ -134,9 +134,8 @@ def csv_path_query(spark, t, a, org, ids):
 
 @_audit
 def submission_id_from_path_query(spark, t, a, org, ids):
-    fe = exports.forms_export(a, org, ids)
-    return fe.select("folder_directory",
-                     submission_id_from_path("folder_directory").alias("submission_id")).distinct()
+    fp = exports.export_paths(exports.forms_data(a, org, ids, with_options=False))
+    return fp.select("folder_directory", submission_id_from_path("folder_directory").alias("submission_id"))
 
 
 def dictionary_substitute(spark: SparkSession, sf_dir: str) -> DataFrame:

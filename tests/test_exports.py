@@ -130,3 +130,20 @@ def test_table_questions_from_equals_export_filter(spark):
     want = sorted((tuple(r) for r in ex.table_question_rows(ex.forms_export_from(fd)).collect()), key=str)
     got = sorted((tuple(r) for r in ex.table_questions_from(fd).collect()), key=str)
     assert got == want and len(got) > 0
+
+
+def test_export_paths_equal_export_directories(spark):
+    """``export_paths`` (no option join, no 11-column distinct) gives the
+    distinct directories of the forms export, both path layouts."""
+    from quire.operators import exports as ex
+    from quire.sources import tables as tb, views as vw
+
+    from .conftest import SF_SMALL as SF
+
+    t = tb.load(spark, SF)
+    a = vw.audit_tables(t)
+    ids = vw.all_submission_ids(t)
+    for consistent in (False, True):
+        want = {r[0] for r in ex.forms_export(a, "1", ids, consistent).select("folder_directory").distinct().collect()}
+        got = [r[0] for r in ex.export_paths(ex.forms_data(a, "1", ids, with_options=False), consistent).collect()]
+        assert len(got) == len(set(got)) and set(got) == want and None in want
