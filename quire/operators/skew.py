@@ -8,7 +8,14 @@ field, an option id), quire salts explicitly:
 
 1. ``hot_keys``: count rows per key on the fact's *scan* (a partial
    aggregate over the key columns only) and keep keys with at least
-   ``min_rows`` rows.  At most the ``MAX_HOT_KEYS`` heaviest of them are
+   ``min_rows`` rows.  When ``min_rows`` is large the count runs on a
+   fixed-seed sample of rate ``SAMPLE_AT_THRESHOLD / min_rows`` (about 100
+   sampled rows for a key right at the threshold; the chance to miss such a
+   key is ~1e-8), so detection does not shuffle one row per distinct key of
+   a huge fact.  The sample only decides *which* keys are salted: every row
+   is still joined, and a key the sample misses takes the plain join, which
+   is just as exact.  ``exact=True`` counts every row (the sinks' split
+   decision needs exact sizes).  At most the ``MAX_HOT_KEYS`` heaviest of them are
    fetched (a distributed top-k), so what is broadcast has a checked size;
    keys beyond that take the plain join path, which is just as exact.  Each
    hot key gets ``ceil(rows / min_rows)`` salts (capped).
@@ -34,25 +41,38 @@ HOT_KEY_ROWS_CONF = "quire.skew.hotKeyRows"
 DEFAULT_HOT_KEY_ROWS = 1_000_000
 MAX_HOT_KEYS = 10_000        # bound on the broadcast hot-key list
 MAX_SALTS = 512
+SAMPLE_AT_THRESHOLD = 100    # expected sampled rows of a key with exactly min_rows rows
+SAMPLE_SEED = 17
+
+
+def _counted(df: DataFrame, min_rows: int, exact: bool) -> tuple[DataFrame, float, float]:
+    """(rows to count, scale from counted to estimated rows, count cut-off)."""
+    f = 1.0 if exact else min(1.0, SAMPLE_AT_THRESHOLD / min_rows)
+    if f >= 1.0:
+        return df, 1.0, float(min_rows)
+    return df.sample(fraction=f, seed=SAMPLE_SEED), 1.0 / f, SAMPLE_AT_THRESHOLD / 2
 
 
 def hot_key_rows(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get(HOT_KEY_ROWS_CONF, str(DEFAULT_HOT_KEY_ROWS)))
 
 
-def hot_keys(df: DataFrame, keys: list[str], min_rows: int | None = None) -> DataFrame | None:
+def hot_keys(df: DataFrame, keys: list[str], min_rows: int | None = None,
+             exact: bool = False) -> DataFrame | None:
     """The (at most ``MAX_HOT_KEYS`` heaviest) keys of ``df`` with at least
     ``min_rows`` rows and their salt count, or None when there are none or
     salting is off."""
     min_rows = hot_key_rows(df) if min_rows is None else min_rows
     if min_rows <= 0:
         return None
-    counts = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-              .where(F.col("_n") >= min_rows))
+    src, scale, cut = _counted(df, min_rows, exact)
+    counts = (src.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+              .where(F.col("_n") >= cut))
     rows = counts.orderBy(F.col("_n").desc()).limit(MAX_HOT_KEYS).collect()   # bounded top-k
     if not rows:
         return None
-    data = [tuple(r[k] for k in keys) + (min(MAX_SALTS, math.ceil(r["_n"] / min_rows)),) for r in rows]
+    data = [tuple(r[k] for k in keys) + (min(MAX_SALTS, math.ceil(r["_n"] * scale / min_rows)),)
+            for r in rows]
     schema = counts.select(*keys).schema.add("_salts", T.IntegerType(), False)
     return df.sparkSession.createDataFrame(data, schema)
 
@@ -70,9 +90,10 @@ def hot_keys_many(df: DataFrame, key_sets: list[list[str]],
     def gid(ks):   # grouping_id bit i is set when cols[i] is *not* grouped
         return sum(1 << (len(cols) - 1 - i) for i, c in enumerate(cols) if c not in ks)
 
-    counts = (df.groupingSets([[F.col(c) for c in ks] for ks in sets], *cols)
+    src, scale, cut = _counted(df, min_rows, False)
+    counts = (src.groupingSets([[F.col(c) for c in ks] for ks in sets], *cols)
               .agg(F.count(F.lit(1)).alias("_n"), F.grouping_id().alias("_g"))
-              .where(F.col("_n") >= min_rows))
+              .where(F.col("_n") >= cut))
     rows = counts.orderBy(F.col("_n").desc()).limit(MAX_HOT_KEYS * len(sets)).collect()   # bounded top-k
     out: dict[tuple[str, ...], DataFrame | None] = {}
     types = {f.name: f.dataType for f in df.schema.fields}
@@ -81,7 +102,8 @@ def hot_keys_many(df: DataFrame, key_sets: list[list[str]],
         if not mine:
             out[ks] = None
             continue
-        data = [tuple(r[k] for k in ks) + (min(MAX_SALTS, math.ceil(r["_n"] / min_rows)),) for r in mine]
+        data = [tuple(r[k] for k in ks) + (min(MAX_SALTS, math.ceil(r["_n"] * scale / min_rows)),)
+                for r in mine]
         schema = T.StructType([T.StructField(k, types[k]) for k in ks]).add("_salts", T.IntegerType(), False)
         out[ks] = df.sparkSession.createDataFrame(data, schema)
     return out

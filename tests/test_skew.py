@@ -276,3 +276,21 @@ def test_hot_order_category_revenue_salted(spark):
         assert _rows(commerce.category_revenue(c2)) == plain
     finally:
         spark.conf.unset(key)
+
+
+def test_sampled_detection_finds_hot_key(spark):
+    """Large threshold: detection counts a 1% sample; the 30,000-row key is
+    found, a 1,000-row key is not, and the salted join stays exact."""
+    df = spark.range(40_000).select(
+        F.when(F.col("id") < 30_000, F.lit(1)).when(F.col("id") < 31_000, F.lit(2))
+        .otherwise(F.col("id")).cast("bigint").alias("k"), F.col("id").alias("v"))
+    hot = skew.hot_keys(df, ["k"], min_rows=10_000)
+    got = {r.k: r._salts for r in hot.collect()}
+    assert set(got) == {1} and 2 <= got[1] <= 4
+    many = skew.hot_keys_many(df, [["k"]], min_rows=10_000)[("k",)]
+    assert {r.k for r in many.collect()} == {1}
+    exact = skew.hot_keys(df, ["k"], min_rows=10_000, exact=True)
+    assert {r.k: r._salts for r in exact.collect()} == {1: 3}
+    right = spark.createDataFrame([(1, "a"), (2, "b"), (5, "c")], "rk long, w string")
+    salted = skew.salted_join(df, right, [("k", "rk")], "inner", hot)
+    assert salted.count() == df.join(right, df.k == right.rk).count() == 31_000
