@@ -49,6 +49,15 @@ def test_table_questions_filter_reaches_field_scan(spark):
     assert "DataFilters" in part_scan and "p_brand" in part_scan.split("DataFilters")[1]
 
 
+def test_region_profile_aggregates_per_zip_before_geo_join(spark):
+    """Customers are summed per zip (partial + final) before the geolocation
+    join, so a hot zip collapses map-side."""
+    lines = _plan(queries()["customer_region_profile"](spark, SF_SMALL)).splitlines()
+    geo = [i for i, l in enumerate(lines) if "Join" in l and "geolocation_zip_code_prefix" in l][0]
+    below = "\n".join(lines[geo:])
+    assert re.search(r"HashAggregate\(keys=\[customer_zip_code_prefix#\d+\], functions=\[partial_count", below)
+
+
 def test_coverage_by_semi_joins(spark):
     """Coverage flags come from semi-joins: no export joins, no distinct
     over the 11 form columns."""
