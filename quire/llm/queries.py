@@ -11,3 +11,8 @@ QUERIES = {
 ORACLE_SQL = {
     "op5_repeated_phrases": repeated_phrases.OP5_SQL,
 }
+
+
+def queries() -> dict:
+    """Name -> fn(spark, sf_dir), with the pipeline where its module is there."""
+    return dict(QUERIES)
