@@ -23,8 +23,8 @@ _BASE = np.uint64(0x9E3779B97F4A7C17 | 3)
 _BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _SEP = np.zeros(256, dtype=bool)
 _SEP[[32, 9, 10, 11, 12, 13]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 _VALUES = np.random.Generator(np.random.PCG64(20240501)).integers(0, 1 << 64, 256, dtype=np.uint64)
 _powers: list[np.ndarray] = []
 
@@ -99,6 +99,18 @@ def _pieces(buf: np.ndarray, offsets: np.ndarray):
         at = to
 
 
+def spans(column: pa.Array, start: np.ndarray, end: np.ndarray, fold: np.ndarray | None = None) -> np.ndarray:
+    """Hashes of byte spans (ascending, not overlapping by pieces: each lies in
+    one word) of a string column; ``fold`` maps bytes before hashing."""
+    buf, offsets = utf8(column)
+    out = np.empty(len(start), dtype=np.uint64)
+    for a, b in _pieces(buf, offsets):
+        lo, hi = np.searchsorted(start, [a, b])
+        part = buf[a:b] if fold is None else fold[buf[a:b]]
+        out[lo:hi] = _hash_spans(part, start[lo:hi] - a, end[lo:hi] - a)
+    return out
+
+
 def words(column: pa.Array, lower: bool = False, hashed: bool = True,
           strip: np.ndarray | None = None) -> Words:
     """All words of a string column.  ``lower`` folds A-Z before hashing (byte
@@ -121,7 +133,7 @@ def words(column: pa.Array, lower: bool = False, hashed: bool = True,
         closes[edge - 1] = inside[1:-1][edge - 1]
         s, e = np.flatnonzero(begins), np.flatnonzero(closes) + 1
         if hashed:
-            hashes.append(_hash_spans(_LOWER[part] if lower else part, s, e))
+            hashes.append(_hash_spans(LOWER[part] if lower else part, s, e))
         starts.append(s + a)
         ends.append(e + a)
     start = np.concatenate(starts) if starts else np.zeros(0, np.int64)
