@@ -16,10 +16,10 @@ component is only lost if all of its links are.
 smallest document goes on.  Keys are combined in the map tasks, shuffled and read
 in runs (``shared_keys``): each document is paired with the smallest one of each
 of its tables, so a table with n documents gives n - 1 pairs.  Pairs are confirmed on
-full sets.  Where a pair fails, its tables may still hold links between other
-members: there, pairs of members that lie in different components are formed and
-confirmed too, until no table holds an untested pair of two components.  No links,
-components or sets are collected to the driver.
+full sets.  Where a pair of two components fails, its tables may still hold links
+between other members: their members in different components meet by an exact
+prefix filter (``across``), and what passes it is confirmed too.  No links, components
+or sets are collected to the driver.
 
 Defined results: null and empty texts have an empty set, link with nothing and are
 kept; rows that share a ``doc_id`` count as one document; a row without ``doc_id``
@@ -118,14 +118,6 @@ def _emit(batch: pa.RecordBatch, halves: int) -> tuple[np.ndarray, np.ndarray]:
     return keys.ravel().view(np.int64), np.repeat(batch.column("doc_id").to_numpy(), keys.shape[1])
 
 
-def _member_keys(batches, halves: int):
-    for batch in batches:
-        keys = table_keys(batch.column("halves"), halves)
-        cols = [np.repeat(batch.column(c).to_numpy(), keys.shape[1]) for c in ("doc_id", "component", "n_shingles")]
-        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), *map(pa.array, cols)],
-                                         names=["key", "doc_id", "component", "n_shingles"])
-
-
 def _sets(batches, size: int):
     for batch in shared_keys.slices(batches):
         sets, edges = shingle_sets(batch.column("text"), size)
@@ -134,6 +126,14 @@ def _sets(batches, size: int):
             names=["doc_id", "set"])
 
 
+def _shingle_rows(batches, size: int):
+    for batch in shared_keys.slices(batches):
+        sets, edges = shingle_sets(batch.column("text"), size)
+        lists = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(sets.view(np.int64)))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("component"), batch.column("n_shingles"), lists],
+                                         names=["doc_id", "component", "n", "shingles"])
+
+
 def _confirm(batches, percent: int):
     """Rows (a, salt, role, b, set) sorted so that a's set comes before its partners'."""
     centre, own = None, np.zeros(0, np.uint64)
@@ -172,6 +172,36 @@ def confirm(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int,
             .mapInArrow(lambda it: _confirm(it, percent), "a bigint, b bigint, linked boolean").distinct())
 
 
+def across(members: DataFrame, docs: DataFrame, shingle: int, percent: int, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+    """Pairs (a < b) of ``members`` (doc_id, n_shingles, component; a table at
+    rest) in different components that may be linked; no linked pair is left out.
+
+    Prefix filter: with all shingles in one order, linked documents share one of
+    their first n - ceil(percent * n / 100) + 1 shingles.  Shingles of one component
+    only come first in that order, then the rarer ones.  Copies of one text with
+    many edits each thus drop out by their own edits, without being paired.
+    """
+    wanted = F.broadcast(members) if members.count() <= broadcast_ids // 3 else members      # 24 bytes a row
+    sets = (docs.join(wanted, "doc_id").select("doc_id", "text", "component", "n_shingles").dropDuplicates(["doc_id"])
+            .mapInArrow(lambda it: _shingle_rows(it, shingle), "doc_id bigint, component bigint, n bigint, shingles array<bigint>")
+            .checkpoint())
+    rows = sets.select("doc_id", "component", "n", F.explode("shingles").alias("s"))
+    shared = (rows.groupBy("s").agg(F.count(F.lit(1)).alias("df"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+              .where("lo < hi").select(F.col("s").alias("t"), "df").checkpoint())
+    prefix = (rows.join(shared, F.col("s") == F.col("t")).groupBy("doc_id", "component", "n")
+              .agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("l"))
+              .withColumn("take", F.expr(f"int(n - (n * {percent} + 99) div 100 + 1 - (n - size(l)))")).where("take > 0")
+              .select("doc_id", "component", "n", (F.col("n") - F.size("l")).alias("before"),
+                      F.posexplode(F.expr("slice(l, 1, take)")).alias("i", "e"))
+              .select("doc_id", "component", "n", (F.col("n") - F.col("before") - F.col("i")).alias("left"), F.col("e.s").alias("s"))
+              .checkpoint())
+    other = prefix.select(F.col("doc_id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("left").alias("lb"), "s")
+    # where a pair's first common shingle stands, what is left of either document bounds what they share
+    return (prefix.join(other, "s").where(f"component < cb and 100 * least(n, nb) >= {percent} * greatest(n, nb)"
+                                          f" and (100 + {percent}) * least(left, lb) >= {percent} * (n + nb)")
+            .select(F.least("doc_id", "b").alias("a"), F.greatest("doc_id", "b").alias("b")).distinct())
+
+
 def _labelled(nodes: DataFrame, comps: DataFrame) -> DataFrame:
     """``nodes`` (doc_id, ...) with their component."""
     return (nodes.join(comps.withColumnRenamed("node", "doc_id").withColumnRenamed("component", "_c"), "doc_id", "left")
@@ -179,7 +209,7 @@ def _labelled(nodes: DataFrame, comps: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, rows: int = ROWS,
-                    halves: int = HALVES) -> DataFrame:
+                    halves: int = HALVES, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
     """One row (doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id bigint, text string)."""
     ensure_checkpoint_dir(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
@@ -193,7 +223,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
 
     shared = shared_keys.recurring(shared_keys.combined(reps, lambda batch: _emit(batch, halves), text=None))
     pairs = (shared.where("doc <> first").select(F.col("first").alias("a"), F.col("doc").alias("b")).distinct().checkpoint())
-    tested = confirm(pairs, texts, shingle, percent).checkpoint()
+    tested = confirm(pairs, texts, shingle, percent, broadcast_ids=broadcast_ids).checkpoint()
     comps = components(tested.where("linked").select("a", "b")).checkpoint()
 
     # Tables in which a pair failed between two components: test what else they hold across components.
@@ -203,17 +233,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     if open_centres.count():
         members = (tested.select("a", "b").join(open_centres, "a", "left_semi")
                    .select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-        keyed = (_labelled(reps.join(members, "doc_id", "left_semi"), comps)
-                 .mapInArrow(lambda it: _member_keys(it, halves), "key bigint, doc_id bigint, component bigint, n_shingles bigint")
-                 .checkpoint())
-        mixed = (keyed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-                 .where("lo < hi").select("key").checkpoint())
-        x = keyed.join(mixed, "key").checkpoint()
-        y = x.select("key", F.col("doc_id").alias("b"), F.col("component").alias("cb"), F.col("n_shingles").alias("nb"))
-        more = (x.join(y, "key").where("component < cb and 100 * least(n_shingles, nb) >= {0} * greatest(n_shingles, nb)".format(percent))
-                .select(F.least("doc_id", "b").alias("a"), F.greatest("doc_id", "b").alias("b")).distinct()
-                .join(tested.select("a", "b"), ["a", "b"], "left_anti").checkpoint())
-        again = confirm(more, texts, shingle, percent).where("linked").select("a", "b")
+        members = _labelled(reps.select("doc_id", "n_shingles").join(members, "doc_id", "left_semi"), comps).checkpoint()
+        more = (across(members, texts, shingle, percent, broadcast_ids).join(tested.select("a", "b"), ["a", "b"], "left_anti").checkpoint())
+        again = confirm(more, texts, shingle, percent, broadcast_ids=broadcast_ids).where("linked").select("a", "b")
         comps = components(tested.where("linked").select("a", "b").unionAll(again)).checkpoint()
 
     reached = _labelled(classes.withColumnRenamed("rep", "doc_id"), comps).select("h1", "h2", F.col("component").alias("c")).checkpoint()

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from quire.llm import repeated_phrases
+from quire.llm import minhash_tensor, quality_ordinal, repeated_phrases, toxicity_counterfactual, weak_supervision
 
 QUERIES = {
+    "op1_quality_ordinal": quality_ordinal.op1_quality_ordinal,
+    "op2_toxicity_counterfactual": toxicity_counterfactual.op2_toxicity_counterfactual,
     "op5_repeated_phrases": repeated_phrases.op5_repeated_phrases,
+    "op9_weak_supervision": weak_supervision.op9_weak_supervision,
+    "op10_minhash_tensor": minhash_tensor.op10_minhash_tensor,
 }
 
 ORACLE_SQL = {
     "op5_repeated_phrases": repeated_phrases.OP5_SQL,
+    "op10_minhash_tensor": minhash_tensor.OP10_SQL,
 }
 
 
