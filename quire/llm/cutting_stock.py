@@ -54,17 +54,24 @@ def _price(duals: np.ndarray, lengths: np.ndarray, capacity: int, how_many: int)
 
 
 def relaxed(lengths: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 2e-3,
-            steps: int = 20_000) -> list[tuple[np.ndarray, float]]:
-    """(pattern, times) of a solution of the linear program within ``gap`` of the best."""
+            stall: int = 3) -> list[tuple[np.ndarray, float]]:
+    """(pattern, times) of a solution of the linear program: within ``gap`` of the
+    best, or where ``stall`` steps for each length gain less than half of that."""
     m = len(lengths)
     basis = np.diag(capacity // lengths)                    # one pattern a row
     inverse = np.diag(1.0 / np.diag(basis))                 # of the matrix whose columns are the patterns
-    x = inverse @ demand
+    x = demand / np.diag(basis)
     bound = float((lengths * demand).sum()) / capacity
-    pool = np.zeros((0, m), dtype=np.int64)
-    for step in range(steps):
+    pool = np.zeros((0, m))
+    step, reached = 0, np.inf
+    while True:
+        if step % (stall * m) == 0:
+            if x.sum() > reached * (1 - gap / 2):
+                break
+            reached = x.sum()
+        step += 1
         duals = inverse.sum(axis=0)
-        known = pool @ duals
+        known = np.einsum("pm,m->p", pool, duals)
         if not len(pool) or known.max() <= 1 + 1e-7:        # the pool has nothing better: generate columns
             value, new = _price(duals, lengths, capacity, 48)
             total = x.sum()
@@ -72,9 +79,9 @@ def relaxed(lengths: np.ndarray, demand: np.ndarray, capacity: int, gap: float =
             if value <= 1 + 1e-7 or total <= bound * (1 + gap) + 1e-9:
                 break
             pool = np.concatenate([pool[known > 0.8], new])
-            known = pool @ duals
+            known = np.einsum("pm,m->p", pool, duals)
         pattern = pool[int(known.argmax())]
-        d = inverse @ pattern
+        d = np.einsum("ij,j->i", inverse, pattern)
         rows = np.flatnonzero(d > 1e-9)
         ratio = x[rows] / d[rows]
         amount = max(0.0, float(ratio.min()))
@@ -87,9 +94,6 @@ def relaxed(lengths: np.ndarray, demand: np.ndarray, capacity: int, gap: float =
         inverse -= np.outer(d, pivot)
         inverse[out] = pivot
         basis[out] = pattern
-        if step % 500 == 499:                               # against rounding drift
-            inverse = np.linalg.inv(basis.T.astype(float))
-            x = np.maximum(inverse @ demand, 0)
     return [(basis[k], float(x[k])) for k in range(m) if x[k] > 1e-9]
 
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from quire.llm import (lm_cross_entropy, minhash_tensor, mixing_es, quality_ordinal, repeated_phrases, toxicity_counterfactual,
-                       weak_supervision)
+from quire.llm import (lm_cross_entropy, minhash_tensor, mixing_es, packing, quality_ordinal, repeated_phrases,
+                       toxicity_counterfactual, weak_supervision)
 
 QUERIES = {
     "op1_quality_ordinal": quality_ordinal.op1_quality_ordinal,
     "op2_toxicity_counterfactual": toxicity_counterfactual.op2_toxicity_counterfactual,
     "op3_lm_cross_entropy": lm_cross_entropy.op3_lm_cross_entropy,
+    "op4_packing": packing.op4_packing,
     "op5_repeated_phrases": repeated_phrases.op5_repeated_phrases,
     "op6_mixing_es": mixing_es.op6_mixing_es,
     "op9_weak_supervision": weak_supervision.op9_weak_supervision,
