@@ -2,8 +2,18 @@
 
 from __future__ import annotations
 
-from quire.llm import (lm_cross_entropy, minhash_tensor, mixing_es, packing, quality_ordinal, repeated_phrases,
-                       toxicity_counterfactual, weak_supervision)
+from quire.llm import (
+    chat_template,
+    embedding_passes,
+    lm_cross_entropy,
+    minhash_tensor,
+    mixing_es,
+    packing,
+    quality_ordinal,
+    repeated_phrases,
+    toxicity_counterfactual,
+    weak_supervision,
+)
 
 QUERIES = {
     "op1_quality_ordinal": quality_ordinal.op1_quality_ordinal,
@@ -12,6 +22,8 @@ QUERIES = {
     "op4_packing": packing.op4_packing,
     "op5_repeated_phrases": repeated_phrases.op5_repeated_phrases,
     "op6_mixing_es": mixing_es.op6_mixing_es,
+    "op7_embedding_passes": embedding_passes.op7_embedding_passes,
+    "op8_chat_template": chat_template.op8_chat_template,
     "op9_weak_supervision": weak_supervision.op9_weak_supervision,
     "op10_minhash_tensor": minhash_tensor.op10_minhash_tensor,
 }
@@ -19,6 +31,8 @@ QUERIES = {
 ORACLE_SQL = {
     "op5_repeated_phrases": repeated_phrases.OP5_SQL,
     "op6_mixing_es": mixing_es.OP6_SQL,
+    "op7_embedding_passes": embedding_passes.OP7_SQL,
+    "op8_chat_template": chat_template.OP8_SQL,
     "op10_minhash_tensor": minhash_tensor.OP10_SQL,
 }
 
