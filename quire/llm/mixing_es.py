@@ -70,9 +70,11 @@ def targets(sized: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) ->
     # the level that the sources from here on would share, were all before at their limit
     levelled = (ranked.withColumn("level", (F.col("all") - max_epochs * F.coalesce(F.sum("source_size").over(before), F.lit(0)))
                                   / (F.col("w_all") - F.coalesce(F.sum("w").over(before), F.lit(0.0))))
-                .withColumn("limit", (max_epochs * F.col("source_size")).cast("double")))
-    level = F.min(F.when(F.col("level") * F.col("w") <= F.col("limit"), F.col("level"))).over(Window.partitionBy())
-    return levelled.withColumn("level", level).select(
+                .withColumn("limit", (max_epochs * F.col("source_size")).cast("double"))
+                .withColumn("at", F.row_number().over(by_need)))
+    # the level is that of the first source that stays below its limit
+    first = F.min(F.when(F.col("level") * F.col("w") <= F.col("limit"), F.struct("at", "level"))).over(Window.partitionBy())
+    return levelled.withColumn("first", first).withColumn("level", F.col("first.level")).select(
         "source", "source_size", F.least("limit", F.coalesce(F.col("level") * F.col("w"), F.lit(0.0))).alias("target"))
 
 
@@ -135,10 +137,11 @@ sized as (
 sources as (select source, sum(size)::double as s, row_number() over (order by source is null, encode(source)) as n from sized group by source),
 weighed as (select *, [5.0, 2.0, 1.0][(n - 1) % 3 + 1]::double as w from sources),
 levels as (
-  select *, (sum(s) over () - 3 * coalesce(sum(s) over before, 0)) / (sum(w) over () - coalesce(sum(w) over before, 0)) as lv
+  select *, (sum(s) over () - 3 * coalesce(sum(s) over before, 0)) / (sum(w) over () - coalesce(sum(w) over before, 0)) as lv,
+         row_number() over (order by s / w, n) as rk
   from weighed window before as (order by s / w, n rows between unbounded preceding and 1 preceding)),
 aims as (
-  select source, s, least(3 * s, coalesce((select min(lv) from levels where lv * w <= 3 * s), 0) * w) as target from levels),
+  select source, s, least(3 * s, coalesce((select min_by(lv, rk) from levels where lv * w <= 3 * s), 0) * w) as target from levels),
 placed as (
   select z.doc_id, z.size, a.s as source_size, a.target, case when a.s > 0 then floor(a.target / a.s) else 0 end as epochs, round(a.target) as goal,
          coalesce(sum(z.size) over (partition by z.source order by z.key, z.doc_id rows between unbounded preceding and 1 preceding), 0) as ahead

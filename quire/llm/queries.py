@@ -35,8 +35,3 @@ ORACLE_SQL = {
     "op8_chat_template": chat_template.OP8_SQL,
     "op10_minhash_tensor": minhash_tensor.OP10_SQL,
 }
-
-
-def queries() -> dict:
-    """Name -> fn(spark, sf_dir), with the pipeline where its module is there."""
-    return dict(QUERIES)
