@@ -230,7 +230,8 @@ def _evaluator(tree: tuple, names: frozenset) -> Callable[[dict], object]:
     if kind == "key":
         def look_up(env):
             held, key = a(env), b(env)
-            if not isinstance(held, (dict, list)) or isinstance(held, dict) and key not in held:
+            known = key in held if isinstance(held, dict) else isinstance(held, list) and isinstance(key, int) and key < len(held)
+            if not known:
                 raise TemplateError(f"no key {key!r}")
             return held[key]
         return look_up

@@ -33,7 +33,7 @@ FIT_ROWS = 60_000
 FEATURES = 4096
 SEED = 11
 THRESHOLD = 0.3
-PENALTY = 4.0
+PENALTY = 0.5
 RIDGE = 2.0
 #: Identity terms whose swap must not change a score, by group.
 IDENTITY_TERMS = (
@@ -54,10 +54,6 @@ class Model(NamedTuple):
     intercept: float
 
 
-def _hash_terms(terms: list[str]) -> np.ndarray:
-    return wordhash.words(pa.array(terms, pa.string()), lower=True).hash
-
-
 def extract(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(row, feature) of the words and of the first 4 and 5 bytes of words of 6 bytes or more."""
     w = wordhash.words(texts, lower=True, strip=hf.PUNCTUATION)
@@ -92,29 +88,34 @@ def fit(labelled: DataFrame, features: int = FEATURES, penalty: float = PENALTY,
         return Model(empty, np.zeros(0), float(np.log(share + 1e-9) - np.log(1 - share + 1e-9)))
     swaps = swap_counts(labelled, groups)
     terms = sorted({t for a, b, _ in swaps for t in (a, b)})
-    table = hf.choose(labelled, extract, totals, features)
-    table = np.union1d(table, _hash_terms(terms)) if terms else table
+    term_rows, term_ids = extract(pa.array(terms, pa.string()))
+    table = np.union1d(hf.choose(labelled, extract, totals, features), term_ids)
     y, edges, at = hf.gather(labelled, extract, table)
     rows = np.repeat(np.arange(len(y)), np.diff(edges))
-    place = dict(zip(terms, np.searchsorted(table, _hash_terms(terms)))) if terms else {}
-    a = np.array([place[s[0]] for s in swaps], dtype=np.int64)
-    b = np.array([place[s[1]] for s in swaps], dtype=np.int64)
-    # sentences swapped, as a share of the sentences, times the rows that the loss sums over
-    share = np.array([s[2] for s in swaps], dtype=float)
-    share = share / share.sum() * len(y) if len(share) else share
+    # a swap's change of the score: + the features of one term, - those of the other
+    where = {t: np.searchsorted(table, term_ids[term_rows == i]) for i, t in enumerate(terms)}
+    swap, place, sign = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+    for k, (a, b, _) in enumerate(swaps):
+        for term, s in ((a, 1.0), (b, -1.0)):
+            swap.append(np.full(len(where[term]), k))
+            place.append(where[term])
+            sign.append(np.full(len(where[term]), s))
+    swap, place, sign = np.concatenate(swap), np.concatenate(place), np.concatenate(sign)
+    force = np.array([n for _, _, n in swaps], dtype=float)
+    force = 2 * penalty * len(y) * force / max(1.0, force.sum())          # of a swap, by its share of the swapped sentences
 
     def gradient(w: np.ndarray, c: float) -> tuple[np.ndarray, float]:
         p = hf.sigmoid(c + np.bincount(rows, weights=w[at], minlength=len(y)))
         g = np.bincount(at, weights=(p - y)[rows], minlength=len(w)) + ridge * w
-        if len(a):
-            change = 2 * penalty * share * (w[a] - w[b]) / len(a)
-            g = g + np.bincount(a, weights=change, minlength=len(w)) - np.bincount(b, weights=change, minlength=len(w))
+        if len(force):
+            change = np.bincount(swap, weights=sign * w[place], minlength=len(force))
+            g = g + np.bincount(place, weights=sign * (force * change)[swap], minlength=len(w))
         return g, float((p - y).sum())
 
     # diagonal preconditioning with momentum: the same steps on every run
     curve = np.bincount(at, minlength=len(table)) * 0.1 + ridge
-    if len(a):
-        curve = curve + 4 * penalty * (np.bincount(a, weights=share, minlength=len(table)) + np.bincount(b, weights=share, minlength=len(table))) / len(a)
+    if len(force):
+        curve = curve + np.bincount(place, weights=(force * np.bincount(swap, minlength=len(force)))[swap], minlength=len(table))
     w, c = np.zeros(len(table)), float(np.log(totals[1] / totals[0]))
     vw, vc = np.zeros(len(table)), 0.0
     for _ in range(400):

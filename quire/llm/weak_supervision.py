@@ -142,7 +142,7 @@ def expectation_maximisation(patterns: np.ndarray, n: np.ndarray, kinds: list[st
     prior = np.array([_EXPECTED[k] for k in kinds])               # rule, class, vote
     theta, good, tie = prior, PRIOR_GOOD, PRIOR_SHARE * n.sum()
     onehot = np.stack([patterns == v for v in (-1, 0, 1)], axis=2).astype(float)      # pattern, rule, vote
-    for _ in range(rounds):
+    for _ in range(rounds if n.sum() else 0):
         q = posterior(good, theta, patterns)
         weight = np.stack([n * (1 - q), n * q], axis=1)                                # pattern, class
         seen = np.einsum("pc,prv->rcv", weight, onehot) + tie * prior
