@@ -131,7 +131,10 @@ def test_em_on_patterns_is_em_on_rows_and_finds_accuracies():
     assert np.allclose(theta, theta2) and math.isclose(share, share2)
     assert abs(share - 0.8) < 0.08 and theta[0, 0, 0] > 10 * theta[0, 1, 0]
     kept = ws.posterior(share, theta, patterns)[back.ravel()] >= 0.5
-    assert (kept == good).mean() > 0.95
+    truth = np.array([[[b[0], 1 - b[0] - b[1], b[1]], [g[0], 1 - g[0] - g[1], g[1]]] for b, g in zip(
+        [(0.5, 0), (0.6, 0), (0.4, 0), (0, 0.3), (0.5, 0.2)], [(0.01, 0), (0.02, 0), (0.01, 0), (0, 0.8), (0.02, 0.7)])]) + 1e-9
+    best = ws.posterior(0.8, truth, patterns)[back.ravel()] >= 0.5
+    assert (kept == good).mean() > (best == good).mean() - 0.01
 
 
 def test_rules_keep_clean_prose_and_drop_junk(spark):
