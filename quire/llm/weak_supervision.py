@@ -41,7 +41,7 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 10
 REPEAT_PERCENT = 20
 KEEP_POSTERIOR = 0.5
-PRIOR_SHARE = 0.1
+PRIOR_SHARE = 0.02
 PRIOR_GOOD = 0.75
 ROUNDS = 200
 _SYMBOL = np.zeros(256, dtype=bool)
