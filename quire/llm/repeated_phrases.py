@@ -45,7 +45,7 @@ from quire.llm import shared_keys, wordhash
 
 WINDOW = 13
 ANCHOR = 6
-SALT_ROWS = 2000
+SALT_ROWS = 200
 
 _PASSAGE = "first bigint, salt int, role int, doc bigint, start bigint, passage string"
 _PASSAGE_ARROW = pa.schema([("first", pa.int64()), ("salt", pa.int32()), ("role", pa.int32()), ("doc", pa.int64()),
