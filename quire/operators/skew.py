@@ -18,12 +18,14 @@ field, an option id), quire salts explicitly:
    decision needs exact sizes).  At most the ``MAX_HOT_KEYS`` heaviest of them are
    fetched (a distributed top-k), so what is broadcast has a checked size;
    keys beyond that take the plain join path, which is just as exact.  Each
-   hot key gets ``ceil(rows / min_rows)`` salts (capped).
+   hot key gets ``ceil(rows / min_rows)`` salts.
 2. ``salted_join``: fact rows of a hot key take salt ``xxhash64(row) mod n``,
    the dimension rows of that key are replicated ``n`` times (one per salt),
    all other rows have salt 0; the join runs on (keys, salt).  Every fact row
    still meets exactly the dimension rows it met before, so inner and left
-   joins return the same rows.
+   joins return the same rows.  Null keys are counted and salted like others.
+   The salt comes from the row's content, so that a re-run task deals its rows
+   as before; rows that are equal in every column share it.
 
 The threshold is the session setting ``quire.skew.hotKeyRows`` (default one
 million rows; ``0`` disables salting).
@@ -33,14 +35,13 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 HOT_KEY_ROWS_CONF = "quire.skew.hotKeyRows"
 DEFAULT_HOT_KEY_ROWS = 1_000_000
 MAX_HOT_KEYS = 10_000        # bound on the broadcast hot-key list
-MAX_SALTS = 512
 SAMPLE_AT_THRESHOLD = 100    # expected sampled rows of a key with exactly min_rows rows
 SAMPLE_SEED = 17
 
@@ -71,7 +72,7 @@ def hot_keys(df: DataFrame, keys: list[str], min_rows: int | None = None,
     rows = counts.orderBy(F.col("_n").desc()).limit(MAX_HOT_KEYS).collect()   # bounded top-k
     if not rows:
         return None
-    data = [tuple(r[k] for k in keys) + (min(MAX_SALTS, math.ceil(r["_n"] * scale / min_rows)),)
+    data = [tuple(r[k] for k in keys) + (math.ceil(r["_n"] * scale / min_rows),)
             for r in rows]
     schema = counts.select(*keys).schema.add("_salts", T.IntegerType(), False)
     return df.sparkSession.createDataFrame(data, schema)
@@ -94,15 +95,17 @@ def hot_keys_many(df: DataFrame, key_sets: list[list[str]],
     counts = (src.groupingSets([[F.col(c) for c in ks] for ks in sets], *cols)
               .agg(F.count(F.lit(1)).alias("_n"), F.grouping_id().alias("_g"))
               .where(F.col("_n") >= cut))
-    rows = counts.orderBy(F.col("_n").desc()).limit(MAX_HOT_KEYS * len(sets)).collect()   # bounded top-k
+    heaviest = Window.partitionBy("_g").orderBy(F.col("_n").desc())
+    rows = (counts.withColumn("_r", F.row_number().over(heaviest)).where(F.col("_r") <= MAX_HOT_KEYS)
+            .orderBy("_g", "_r").collect())          # bounded top-k of each key set
     out: dict[tuple[str, ...], DataFrame | None] = {}
     types = {f.name: f.dataType for f in df.schema.fields}
     for ks in sets:
-        mine = [r for r in rows if r["_g"] == gid(ks)][:MAX_HOT_KEYS]     # heaviest first
+        mine = [r for r in rows if r["_g"] == gid(ks)]     # heaviest first
         if not mine:
             out[ks] = None
             continue
-        data = [tuple(r[k] for k in ks) + (min(MAX_SALTS, math.ceil(r["_n"] * scale / min_rows)),)
+        data = [tuple(r[k] for k in ks) + (math.ceil(r["_n"] * scale / min_rows),)
                 for r in mine]
         schema = T.StructType([T.StructField(k, types[k]) for k in ks]).add("_salts", T.IntegerType(), False)
         out[ks] = df.sparkSession.createDataFrame(data, schema)
@@ -119,7 +122,9 @@ def salted_join(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]],
         return left.join(right, cond, how)
     lkeys = [a for a, _ in pairs]
     h = F.broadcast(hot)                                   # size checked in hot_keys
-    lh = left.join(h, lkeys, "left")
+    # null-safe: rows without a key match nothing, but they are rows of one partition too
+    lh = left.join(h.select(*[F.col(k).alias(f"_hot_{k}") for k in lkeys], "_salts"),
+                   [left[k].eqNullSafe(F.col(f"_hot_{k}")) for k in lkeys], "left").drop(*[f"_hot_{k}" for k in lkeys])
     salt = F.when(F.col("_salts").isNull(), F.lit(0)).otherwise(
         F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.col("_salts")).cast("int"))
     lsalted = lh.withColumn("_salt_l", salt).drop("_salts")

@@ -1,7 +1,9 @@
 """Named queries: ``name -> fn(spark, sf_dir) -> DataFrame``.
 
 Every query reads the whole base tables of ``sf_dir`` (through the model views
-of ``quire.sources.views``) and returns a lazy DataFrame; nothing is collected.
+of ``quire.sources.views``) and returns a DataFrame.  Most are lazy, but for one
+job that finds hot keys (a bounded list); the two sinks (``csv_fanout``,
+``submission_archives``) write their files and return the committed manifest.
 """
 
 from __future__ import annotations
@@ -187,12 +189,17 @@ def _sections(spark, a, org, ids):
 
 @_audit
 def csv_fanout(spark, t, a, org, ids):
-    return sink.plan_csv_files(_sections(spark, a, org, ids))
+    """The committed manifest of a real write: one CSV per destination path."""
+    m = sink.write_csv_files(spark, _sections(spark, a, org, ids), scratch_dir(spark, "csv"))
+    return m.select("section", F.col("file").alias("csv_path"), "rows")
 
 
 @_audit
 def submission_archives(spark, t, a, org, ids):
-    return sink.plan_archives(_sections(spark, a, org, ids))
+    """The committed manifest of a real write: one archive per submission, the readme in each."""
+    m = sink.write_archives(spark, _sections(spark, a, org, ids), scratch_dir(spark, "zip"),
+                            readme=("Audit_Folder/readme.csv", exports.README_TEXT))
+    return m.select(F.regexp_extract("file", r"Audit_(\d+)\.zip$", 1).cast("bigint").alias("submission_id"), "entries", "rows")
 
 
 def _object_store(spark: SparkSession, t) -> str:

@@ -1,5 +1,5 @@
-"""Path-addressed sinks: written files equal the plan; a hot key is split
-across tasks into numbered parts without losing or duplicating rows."""
+"""Path-addressed sinks: written files equal the plan; a large destination
+is written by several tasks and joined without losing or duplicating rows."""
 
 import csv
 import io
@@ -32,25 +32,44 @@ def test_csv_fanout_roundtrip(spark, scratch):
     assert not os.path.exists(os.path.join(scratch, "_temporary_quire"))
 
 
-def test_hot_path_is_split(spark, scratch):
+def test_large_destination_is_one_file_with_one_header(spark, scratch):
     n_hot = 30000
-    hot = spark.range(n_hot).select(F.col("id").alias("submission_id"),
+    hot = spark.range(n_hot).select((F.col("id") % 7).alias("submission_id"),          # many equal rows
                                     F.lit("H/hot.csv").alias("folder_directory"))
     cold = spark.range(50).select(F.col("id").alias("submission_id"),
                                   F.concat(F.lit("C/"), F.col("id").cast("string"), F.lit(".csv"))
                                   .alias("folder_directory"))
     df = hot.unionByName(cold)
-    m = sink.write_csv_files(spark, {"s": df}, scratch, rows_per_file=10000).collect()
-    hot_files = sorted(r.file for r in m if r.key == "H/hot.csv")
-    assert hot_files == ["H/hot.part-00000.csv", "H/hot.part-00001.csv", "H/hot.part-00002.csv"]
-    ids = []
-    for f in hot_files:
-        rows = _read_csv(os.path.join(scratch, f))
-        assert rows[0] == ["submission_id", "folder_directory"]
-        ids += [int(r[0]) for r in rows[1:]]
-    assert sorted(ids) == list(range(n_hot))
-    cold_files = sorted(r.file for r in m if r.key.startswith("C/"))
-    assert cold_files == sorted(f"C/{i}.csv" for i in range(50))   # small destinations stay whole
+    m = {r.file: r for r in sink.write_csv_files(spark, {"s": df}, scratch, rows_per_part=4000).collect()}
+    assert sorted(m) == sorted(["H/hot.csv", *(f"C/{i}.csv" for i in range(50))])
+    assert m["H/hot.csv"].parts == 8 and m["H/hot.csv"].rows == n_hot
+    rows = _read_csv(os.path.join(scratch, "H/hot.csv"))
+    assert rows[0] == ["submission_id", "folder_directory"]
+    assert sorted(int(r[0]) for r in rows[1:]) == sorted(i % 7 for i in range(n_hot))
+    assert os.path.getsize(os.path.join(scratch, "H/hot.csv")) == m["H/hot.csv"].bytes
+    assert sorted(os.listdir(scratch)) == ["C", "H", "_SUCCESS", "_quire_manifest"]
+
+
+def test_blanks_and_tabs_survive(spark, scratch):
+    values = ["  lead and trail  ", "tab\t", " ", "", "a\n b ", ",x "]
+    df = spark.createDataFrame([(i, v, "A/x.csv") for i, v in enumerate(values)], "submission_id long, v string, folder_directory string")
+    sink.write_csv_files(spark, {"s": df}, scratch)
+    rows = _read_csv(os.path.join(scratch, "A/x.csv"))[1:]
+    assert [r[1] for r in sorted(rows, key=lambda r: int(r[0]))] == values
+
+
+def test_two_sections_on_one_path_keep_their_own_files(spark, scratch):
+    one = spark.createDataFrame([(1, "a", "A/x.csv")], "submission_id long, v string, folder_directory string")
+    two = spark.createDataFrame([(1, "A/x.pdf"), (1, "A/x.docx")], "submission_id long, folder_directory string")
+    m = {(r.section, r.key): r.file for r in sink.write_csv_files(
+        spark, {"forms": one, "chronology": two.limit(1), "files": two}, f"{scratch}/f").collect()}
+    assert m == {("forms", "A/x.csv"): "A/x.forms.csv", ("chronology", "A/x.csv"): "A/x.csv",
+                 ("files", "A/x.pdf.csv"): "A/x.pdf.csv", ("files", "A/x.docx.csv"): "A/x.docx.csv"}
+    for parts in (1, 1000):
+        out = f"{scratch}/z{parts}"
+        r = sink.write_archives(spark, {"forms": one.unionAll(one), "chronology": two.limit(1)}, out, rows_per_part=parts).collect()[0]
+        z = zipfile.ZipFile(os.path.join(out, r.file))
+        assert {n: len(z.read(n).split()) for n in z.namelist()} == {"A/x.csv": 2, "A/x.forms.csv": 3}
 
 
 def test_archives_match_plan(spark, scratch):
@@ -103,39 +122,38 @@ def test_attachments_fetched_and_archived(spark, scratch):
     assert zipfile.ZipFile(os.path.join(out, files["8.zip"])).namelist() == ["Audit_Folder/Audit_8/f/form_data.csv"]
 
 
-def test_hot_submission_archive_parts(spark, scratch):
+def test_large_submission_is_one_archive(spark, scratch):
+    """A submission above the limit is written by several tasks and joined; one without form rows gets no archive."""
     forms = spark.range(30).select(F.lit(7).cast("bigint").alias("submission_id"), F.col("id").alias("v"),
                                    F.lit("Audit_Folder/Audit_7/f/form_data.csv").alias("folder_directory"))
     small = spark.createDataFrame([(8, 1, "Audit_Folder/Audit_8/f/form_data.csv")],
                                   "submission_id long, v long, folder_directory string")
-    m = sink.write_archives(spark, {"forms": forms.unionByName(small)}, scratch,
-                            readme=("Audit_Folder/readme.csv", "r"), rows_per_archive=10).collect()
-    files = sorted(r.file for r in m)
-    assert files == ["archives/Audit_7.part-00000.zip", "archives/Audit_7.part-00001.zip",
-                     "archives/Audit_7.part-00002.zip", "archives/Audit_8.zip"]
-    vs = []
-    for f in files[:3]:
-        z = zipfile.ZipFile(os.path.join(scratch, f))
-        assert "Audit_Folder/readme.csv" in z.namelist()
-        rows = list(csv.reader(io.StringIO(z.read("Audit_Folder/Audit_7/f/form_data.csv").decode())))
-        assert rows[0] == ["submission_id", "v", "folder_directory"]
-        vs += [int(r[1]) for r in rows[1:]]
-    assert sorted(vs) == list(range(30))
-
-
-def test_archive_filter_salted_on_hot_submission(spark, scratch):
-    """The has-form-rows filter runs on the staged rows, salted on hot keys:
-    a hot submission keeps all its rows, a submission without form rows gets
-    no archive."""
-    forms = spark.range(40).select(F.lit(7).cast("bigint").alias("submission_id"), F.col("id").alias("v"),
-                                   F.lit("Audit_Folder/Audit_7/f/form_data.csv").alias("folder_directory"))
     chron = spark.createDataFrame([(7, "a", "Audit_Folder/Audit_7/Chronology.csv"),
                                    (9, "b", "Audit_Folder/Audit_9/Chronology.csv")],
                                   "submission_id long, note string, folder_directory string")
-    secs = {"forms": forms, "chronology": chron}
-    # 41 staged rows for 7.zip, limit 10: the key is on the oversized list,
-    # which also salts the has-form-rows filter
-    m = sink.write_archives(spark, secs, scratch, rows_per_archive=10).collect()
-    assert {r.key for r in m} == {"7.zip"} and sum(r.rows for r in m) == 41 and len(m) == 5
+    secs = {"forms": forms.unionByName(small), "chronology": chron}
+    m = {r.file: r for r in sink.write_archives(spark, secs, scratch, readme=("Audit_Folder/readme.csv", "r"), rows_per_part=10).collect()}
+    assert sorted(m) == ["archives/Audit_7.zip", "archives/Audit_8.zip"]
+    assert (m["archives/Audit_7.zip"].rows, m["archives/Audit_7.zip"].parts) == (31, 4)
+    z = zipfile.ZipFile(os.path.join(scratch, "archives/Audit_7.zip"))
+    assert sorted(z.namelist()) == ["Audit_Folder/Audit_7/Chronology.csv", "Audit_Folder/Audit_7/f/form_data.csv", "Audit_Folder/readme.csv"]
+    rows = list(csv.reader(io.StringIO(z.read("Audit_Folder/Audit_7/f/form_data.csv").decode())))
+    assert rows[0] == ["submission_id", "v", "folder_directory"] and sorted(int(r[1]) for r in rows[1:]) == list(range(30))
     plan = {r.submission_id: (r.entries, r.rows) for r in sink.plan_archives(secs).collect()}
-    assert plan == {7: (3, 41)}
+    assert plan == {7: (3, 31), 8: (2, 1)}
+
+
+def test_objects_of_one_name_are_all_packed_and_gone_ones_listed(spark, scratch):
+    from quire.sources import objects
+
+    store = os.path.join(scratch, "store")
+    objects.put_objects(spark, spark.createDataFrame([("b/k/1", b"one"), ("b/k/2", b"two")], "path string, content binary"), store)
+    forms = spark.createDataFrame([(7, "x", "A/form_data.csv")], "submission_id long, v string, folder_directory string")
+    att = spark.createDataFrame([(7, "A/files_/a.pdf", "b/k/1"), (7, "A/files_/a.pdf", "b/k/2"), (7, "A/files_/a.pdf", "b/k/1"),
+                                 (7, "A/files_/c.pdf", "b/k/404")], "submission_id long, destination_path string, object_path string")
+    for parts in (1, 1000):
+        out = os.path.join(scratch, f"out{parts}")
+        r = sink.write_archives(spark, {"forms": forms}, out, attachments=att, objects_root=store, rows_per_part=parts).collect()[0]
+        assert r.missing == ["b/k/404"]
+        z = zipfile.ZipFile(os.path.join(out, r.file))
+        assert {n: z.read(n) for n in z.namelist() if "files_" in n} == {"A/files_/a.pdf": b"one", "A/files_/a.2.pdf": b"two"}

@@ -294,3 +294,20 @@ def test_sampled_detection_finds_hot_key(spark):
     right = spark.createDataFrame([(1, "a"), (2, "b"), (5, "c")], "rk long, w string")
     salted = skew.salted_join(df, right, [("k", "rk")], "inner", hot)
     assert salted.count() == df.join(right, df.k == right.rk).count() == 31_000
+
+
+def test_null_keys_are_spread_over_salts(spark):
+    left = spark.createDataFrame([(None, i) for i in range(200)] + [(7, i) for i in range(100)] + [(8, 0)], "k int, v int")
+    right = spark.createDataFrame([(7, "a"), (8, "b")], "rk int, w string")
+    hot = skew.hot_keys(left, ["k"], 20)
+    assert {r.k: r._salts for r in hot.collect()} == {None: 10, 7: 5}
+    got = skew.salted_join(left, right, [("k", "rk")], "left", hot)
+    assert _rows(got) == _rows(left.join(right, left["k"] == right["rk"], "left"))
+    assert "_salt" in got._jdf.queryExecution().analyzed().toString()
+
+
+def test_each_key_set_has_its_own_limit(spark, monkeypatch):
+    df = spark.createDataFrame([(i % 5, 1) for i in range(200)], "a int, b int")
+    monkeypatch.setattr(skew, "MAX_HOT_KEYS", 5)
+    many = skew.hot_keys_many(df, [["a"], ["b"]], 10)
+    assert many[("a",)].count() == 5 and many[("b",)].count() == 1
