@@ -64,12 +64,18 @@ def main(argv: list[str] | None = None) -> int:
 
         t = tables.load(spark, args.data)
         req = requests.parse_requests(requests.read_request_documents(spark, args.request))
-        head = req.select("organization_id", "report_name").first()   # one request document
-        ids = requests.request_ids(req).select(F.col("submission_id"))
-        run = run_audit_report(spark, views.audit_tables(t), head.organization_id, head.report_name, ids,
-                               args.out, objects_root=args.objects, status_log_dir=args.status_log)
-        run.summary.show(truncate=False)
-        print(f"report {run.report_id}: {run.folder.count()} csv files, {run.archives.count()} archives")
+        wrong = requests.invalid_ids(req).limit(20).collect()
+        if wrong:
+            print("not submission ids:", *[f"{r.report_name}[{r.position}]={r.text!r}" for r in wrong], file=sys.stderr)
+            return 1
+        # one report for each request document: the documents are the command's arguments
+        for head in req.select("organization_id", "report_name").distinct().collect():
+            same = [F.col(c).eqNullSafe(head[c]) for c in ("organization_id", "report_name")]
+            ids = requests.request_ids(req).where(same[0] & same[1]).select("position", "submission_id")
+            run = run_audit_report(spark, views.audit_tables(t), head.organization_id, head.report_name, ids,
+                                   args.out, objects_root=args.objects, status_log_dir=args.status_log)
+            run.summary.show(truncate=False)
+            print(f"report {run.report_id}: {run.folder.count()} csv files, {run.archives.count()} archives")
         return 0
     if args.cmd == "delete":
         from .operators import status

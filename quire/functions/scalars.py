@@ -49,7 +49,7 @@ def not_equal_keep_null(c: Column | str, value) -> Column:
 
 def submission_id_from_path(path: Column | str) -> Column:
     """First ``Audit_<digits>/`` in the path as a bigint; null when absent."""
-    return F.nullif(F.regexp_extract(_c(path), r"Audit_(\d+)/", 1), F.lit("")).cast("bigint")
+    return F.nullif(F.regexp_extract(_c(path), r"Audit_(\d+)/", 1), F.lit("")).try_cast("bigint")
 
 
 # Extension swap equal to ``os.path.splitext(p)[0] + '.csv'``: the extension is

@@ -63,8 +63,9 @@ def _paid_orders(c: CommerceTables) -> DataFrame:
 def _per_customer_period(c: CommerceTables, period: Column, name: str) -> DataFrame:
     """(period, customer_id) -> orders, revenue: the exact inputs of
     COUNT(DISTINCT order), COUNT(DISTINCT customer) and SUM per period."""
-    return (_paid_orders(c)
-            .groupBy(period.alias(name), "customer_id")
+    per_order = (_paid_orders(c).groupBy(period.alias(name), "customer_id", "order_id")
+                 .agg(F.sum("order_payments").alias("order_payments")))       # a repeated order row counts once
+    return (per_order.groupBy(name, "customer_id")
             .agg(F.count("order_id").alias("n_orders"), F.sum("order_payments").alias("revenue")))
 
 
@@ -134,7 +135,8 @@ def daily_category_report(c: CommerceTables) -> DataFrame:
 def monthly_rolling(c: CommerceTables) -> DataFrame:
     """Monthly revenue per order and customers, with 3-month rolling averages.
 
-    The rolling window runs over one row per month (current + 2 preceding).
+    The rolling window spans three calendar months (current + 2 preceding), also
+    where a month has no orders.
     """
     per = _per_customer_period(c, purchase_month("order_purchase_timestamp"), "order_month")
     monthly = (per.groupBy("order_month")
@@ -142,7 +144,7 @@ def monthly_rolling(c: CommerceTables) -> DataFrame:
                     F.count(F.lit(1)).alias("customers_count"),
                     F.sum("revenue").alias("revenue_usd")))
     rpo = F.round(F.col("revenue_usd") / F.col("orders_count").cast("decimal(20,0)"), 2).cast(MONEY)
-    w = Window.orderBy("order_month").rowsBetween(-2, 0)
+    w = Window.orderBy(F.year("order_month") * 12 + F.month("order_month")).rangeBetween(-2, 0)
     return (monthly.withColumn("revenue_per_order_usd", rpo)
             .select("order_month", "orders_count", "customers_count",
                     F.col("revenue_usd").cast("decimal(28,2)").alias("revenue_usd"),
@@ -178,11 +180,10 @@ def customer_region_profile(c: CommerceTables) -> DataFrame:
 
     Customers are summed per zip prefix *before* meeting the geolocation
     table: partial aggregation collapses a zip holding a large share of the
-    customers map-side, and the geolocation join sees one row per zip (a
-    geolocation row repeats its zip's totals, exactly as it would repeat the
-    zip's customers)."""
-    per_customer = (_paid_orders(c).groupBy("customer_id")
-                    .agg(F.count("order_id").alias("n_orders"),
+    customers map-side, and the geolocation join sees one row per zip on
+    both sides, so no customer is counted twice."""
+    per_customer = (_paid_orders(c).groupBy("customer_id", "order_id").agg(F.sum("order_payments").alias("order_payments"))
+                    .groupBy("customer_id").agg(F.count("order_id").alias("n_orders"),
                          F.sum("order_payments").alias("revenue")))
     per_zip = (c.customers.join(per_customer, "customer_id", "left")
                .groupBy("customer_zip_code_prefix")
@@ -190,7 +191,9 @@ def customer_region_profile(c: CommerceTables) -> DataFrame:
                     F.count("n_orders").alias("buyers"),
                     F.sum("n_orders").alias("n_orders"),
                     F.sum("revenue").alias("revenue")))
-    g = c.geolocation
+    place = F.struct("geolocation_state", "geolocation_city")        # a zip with several rows: the first by name
+    g = (c.geolocation.groupBy("geolocation_zip_code_prefix").agg(F.min(place).alias("p"))
+         .select("geolocation_zip_code_prefix", "p.geolocation_state", "p.geolocation_city"))
     j = per_zip.join(g, F.col("customer_zip_code_prefix") == g.geolocation_zip_code_prefix, "left")
     return (j.groupBy(F.col("geolocation_state").alias("customer_state"),
                       F.col("geolocation_city").alias("customer_city"))

@@ -53,9 +53,10 @@ def _pct(num, den) -> F.Column:
     return F.round(num.cast("decimal(20,0)") * 100 / den.cast("decimal(20,0)"), 2).cast("double")
 
 
-def batch_progress(ids: DataFrame, per_batch: int = COUNT_PER_BATCH) -> DataFrame:
-    """Per requested id (in id order): batch, position, running count, percent."""
-    idx = with_row_index(ids.select("submission_id").distinct(), ["submission_id"], "processed_total",
+def batch_progress(ids: DataFrame, per_batch: int = COUNT_PER_BATCH, order_by: tuple[str, ...] = ("position",)) -> DataFrame:
+    """Per requested id, in the order of the request (``order_by``) and with its
+    repeats: batch, position, running count, percent."""
+    idx = with_row_index(ids.select("submission_id", *order_by), list(order_by), "processed_total",
                          total="total_submissions")
     n, tot = F.col("processed_total"), F.col("total_submissions")
     batch = F.floor((n - 1) / per_batch).cast("long") + 1

@@ -114,7 +114,7 @@ def tombstone(spark, organization_id: str, report_id: str) -> DataFrame:
     """A one-row ``delete`` event for appending to the status log."""
     return spark.range(1).select(
         F.lit(organization_id).alias("organization_id"), F.lit(report_id).alias("report_id"),
-        F.localtimestamp().alias("ts"),
+        F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.localtimestamp()).alias("ts"),
         (F.unix_micros(F.current_timestamp()) * 1000).cast("bigint").alias("seq"),
         F.lit("delete").alias("op"), F.lit(None).cast("double").alias("num"),
         F.lit(None).cast("string").alias("text"))

@@ -47,7 +47,7 @@ def status_events(summary: DataFrame, run_ts: str, organization_id: str, report_
     """Status events of a finished run, ordered by ``seq``: create; with
     ``progress_df`` (from ``batch_progress``) a processed-count and a percent
     event per submission in processing order; the final count; completion."""
-    ts = F.to_timestamp(F.lit(run_ts)).cast("timestamp_ntz")
+    ts = F.to_timestamp_ntz(F.lit(run_ts))                   # UTC, as the tombstones' clock
     base = (F.unix_micros(F.current_timestamp()) * 1000).cast("bigint")
     end = F.lit(1 << 40)
 
@@ -74,7 +74,7 @@ def run_audit_report(spark: SparkSession, a: AuditTables, organization_id: str,
                      status_log_dir: str | None = None, run_ts: str | None = None,
                      report_id: str | None = None) -> AuditRun:
     report_id = report_id or str(uuid.uuid4())          # made once, on the driver
-    run_ts = run_ts or dt.datetime.now().strftime("%Y-%m-%d %H:%M:%S")
+    run_ts = run_ts or dt.datetime.now(dt.timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
     root = f"{out_root.rstrip('/')}/{report_id}"
     secs = exports.sections(spark, a, organization_id, ids, materialize_dir=scratch_dir(spark, "audit"))
 
@@ -94,7 +94,8 @@ def run_audit_report(spark: SparkSession, a: AuditTables, organization_id: str,
     # forms distinct over every form row.
     coverage = progress.submission_coverage(ids, *exports.submissions_with_rows(a, organization_id, ids))
     coverage.write.mode("overwrite").parquet(f"{root}/coverage")
-    progress.batch_progress(ids).write.mode("overwrite").parquet(f"{root}/progress")
+    order = ("position",) if "position" in ids.columns else ("submission_id",)
+    progress.batch_progress(ids, order_by=order).write.mode("overwrite").parquet(f"{root}/progress")
     progress_df = spark.read.parquet(f"{root}/progress")
     summary = progress.report_summary(spark.read.parquet(f"{root}/coverage"), organization_id,
                                       report_name, run_ts=run_ts, report_id=report_id)

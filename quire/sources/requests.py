@@ -20,10 +20,11 @@ def read_request_documents(spark: SparkSession, path: str, one_per_file: bool =
 
 
 def _as_id_array(ids_json: Column) -> Column:
-    """A JSON list stays a list; a scalar becomes a one-element list."""
+    """A JSON list stays a list; a scalar becomes a one-element list.  Items are
+    text here (``[1, "2"]`` -> 1, 2), so numbers may be written as strings."""
     t = F.trim(ids_json)
-    listed = F.when(t.startswith("["), t).otherwise(F.concat(F.lit("["), t, F.lit("]")))
-    return F.from_json(listed, "array<bigint>")
+    listed = F.when(t.startswith("["), t).otherwise(F.concat(F.lit('["'), F.replace(t, F.lit('"'), F.lit('')), F.lit('"]')))
+    return F.from_json(listed, "array<string>")
 
 
 REQUEST_SCHEMA = "organization_id string, report_name string, submission_ids string"
@@ -31,25 +32,33 @@ REQUEST_SCHEMA = "organization_id string, report_name string, submission_ids str
 
 def parse_requests(docs: DataFrame, doc_col: str = "doc") -> DataFrame:
     """One parse per document; ``submission_ids`` is first taken as JSON text
-    (a list or a scalar) and then normalised to ``array<bigint>``."""
+    (a list or a scalar) and then normalised to ``array<string>``."""
     r = F.from_json(F.col(doc_col), REQUEST_SCHEMA)
     return docs.select(r.alias("r")).select(
         "r.organization_id", "r.report_name",
         _as_id_array(F.col("r.submission_ids")).alias("submission_ids"))
 
 
-def request_ids(requests: DataFrame) -> DataFrame:
-    """One row per (organization, report, requested submission id).
+def _items(requests: DataFrame) -> DataFrame:
+    """``posexplode_outer``: a plain explode makes Catalyst infer ``size(ids) > 0``
+    filters that it pushes below the projection, re-running the JSON parse."""
+    return requests.select("organization_id", "report_name", F.posexplode_outer("submission_ids").alias("position", "text"))
 
-    ``explode_outer`` + a filter on the generated id: a plain ``explode``
-    makes Catalyst infer ``size(ids) > 0`` filters that it pushes below the
-    projection, re-running the JSON parse once per inferred predicate.
-    """
-    return (requests.select("organization_id", "report_name",
-                            F.explode_outer("submission_ids").alias("submission_id"))
+
+def request_ids(requests: DataFrame) -> DataFrame:
+    """One row per (organization, report, position, requested submission id), in
+    the order of the request and with its repeats; see ``invalid_ids``."""
+    return (_items(requests).select("organization_id", "report_name", "position",
+                                    F.trim("text").try_cast("bigint").alias("submission_id"))
             .where(F.col("submission_id").isNotNull()))
 
 
+def invalid_ids(requests: DataFrame) -> DataFrame:
+    """(organization_id, report_name, position, text) of what is not an id: to be
+    reported, never dropped in silence.  A request without any id is one row."""
+    return _items(requests).where(F.trim("text").try_cast("bigint").isNull())
+
+
 def requests_from_orders(orders: DataFrame, org: str, report_name: str) -> DataFrame:
     """Request documents derived from an order table, one per order.
 

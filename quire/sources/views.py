@@ -27,14 +27,14 @@ def _org(c: Column) -> Column:
 
 @dataclass
 class AuditTables:
-    answers: DataFrame        # response_field_value
-    fields: DataFrame         # form_field
-    options: DataFrame        # form_field_option
-    contexts: DataFrame       # response_context
-    users: DataFrame          # ms_smmuser
-    history: DataFrame        # submission_history
-    history_mail: DataFrame   # ms_submissionhistory
-    files: DataFrame          # files_file
+    answers: DataFrame        # submitted values
+    fields: DataFrame         # form definitions
+    options: DataFrame        # choices of a field
+    contexts: DataFrame       # who answered when
+    users: DataFrame          # accounts
+    history: DataFrame        # what happened when
+    history_mail: DataFrame   # mails of the history
+    files: DataFrame          # uploaded files
 
 
 def answers(t: Tables) -> DataFrame:

@@ -2,10 +2,9 @@
 plus property tests on random strings)."""
 
 import os.path
+import random
 import re
 
-from hypothesis import given, settings
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quire.functions import paths, scalars
@@ -48,9 +47,15 @@ def test_csv_path_cases(spark):
     assert got == list(cases.values())
 
 
-@settings(max_examples=1, deadline=None)
-@given(st.lists(st.text(alphabet="ab./", max_size=8), min_size=300, max_size=300))
-def test_csv_path_matches_splitext(spark, paths_):
+def _strings(alphabet, longest, n=2000, seed=11):
+    rng = random.Random(seed)
+    out = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, longest))) for _ in range(n)]
+    assert len(set(out)) > n / 3
+    return out
+
+
+def test_csv_path_matches_splitext(spark):
+    paths_ = _strings("ab./", 8)
     got = _one(spark, [(p,) for p in paths_], "p string", scalars.csv_path("p"))
     assert got == [os.path.splitext(p)[0] + ".csv" for p in paths_]
 
@@ -81,9 +86,8 @@ def test_multi_replace_single_pass(spark):
     assert got == ["1 c a b", None]
 
 
-@settings(max_examples=1, deadline=None)
-@given(st.lists(st.text(alphabet="ab .\n(*", max_size=12), min_size=300, max_size=300))
-def test_multi_replace_matches_python(spark, texts):
+def test_multi_replace_matches_python(spark):
+    texts = _strings("ab .\n(*", 12)
     pairs = [("ab", "X"), ("a", "b"), (".", "(*"), ("b ", ""), ("\n(", "N")]
     got = _one(spark, [(t,) for t in texts], "s string", scalars.multi_replace("s", pairs))
     assert got == [_py_multi_replace(t, pairs) for t in texts]

@@ -37,8 +37,9 @@ def test_fold(spark):
 
 
 def test_batches_of_two(spark):
-    ids = spark.createDataFrame([(i,) for i in (50, 10, 40, 20, 30)], "submission_id long")
-    rows = progress.batch_progress(ids).orderBy("submission_id").collect()
+    ids = spark.createDataFrame(list(enumerate((50, 10, 40, 20, 50))), "position int, submission_id long")
+    rows = progress.batch_progress(ids).orderBy("processed_total").collect()
+    assert [r.submission_id for r in rows] == [50, 10, 40, 20, 50]        # the request's order, with its repeat
     assert [r.batch_index for r in rows] == [1, 1, 2, 2, 3]
     assert [r.batch_size for r in rows] == [2, 2, 2, 2, 1]
     assert [r.percent_processed for r in rows] == [20.0, 40.0, 60.0, 80.0, 100.0]
@@ -51,3 +52,19 @@ def test_row_index_matches_sort(spark):
     got = df.transform(lambda d: progress.with_row_index(d, ["k"], "i", total="t")).collect()
     assert sorted((r.k, r.i) for r in got) == [(k, k + 1) for k in range(n)]
     assert {r.t for r in got} == {n}
+
+
+def test_delete_follows_a_run_in_any_time_zone(spark):
+    from quire.plans.audit import LOG_COLUMNS, status_events
+
+    before = spark.conf.get("spark.sql.session.timeZone")
+    now = dt.datetime.now(dt.timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
+    item = spark.createDataFrame([("R", 2, "f.zip")], "report_name string, processed_submissions long, s3_filename string")
+    try:
+        for zone in ("Asia/Tokyo", "America/Los_Angeles", "UTC"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            log = status_events(item, now, "o", "r")
+            assert status.latest_status(log).collect()[0].status == "completed"
+            assert status.latest_status(log.unionByName(status.tombstone(spark, "o", "r").select(*LOG_COLUMNS))).count() == 0
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
