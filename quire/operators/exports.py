@@ -58,11 +58,9 @@ def scope(df: DataFrame, org: str | None = None, ids: DataFrame | None = None,
 def _contexts_with_users(a: AuditTables, contexts: DataFrame | None = None,
                          hot: DataFrame | None = None) -> DataFrame:
     """Contexts ⟕ users on the creator; ``hot`` (hot creators, e.g. a service
-    account that creates most contexts) salts the join; by default they are
-    counted on the contexts."""
+    account that creates most contexts; counted by the caller) salts the join."""
     ctx = a.contexts if contexts is None else contexts
     u = a.users.select("userid", "email")
-    hot = hot if hot is not None else skew.hot_keys(ctx, ["created_by"])
     return skew.salted_join(ctx, u, [("created_by", "userid")], "left", hot).drop("userid")
 
 
@@ -108,7 +106,10 @@ def forms_data(a: AuditTables, org: str | None, ids: DataFrame | None, hot: dict
                                     hot.get(("field_id", "sub_field_id")))
     else:   # for callers that need only the set of rows' other columns (a left join adds none)
         with_opt = base.withColumn("option_label", F.lit(None).cast("string"))
-    ctx = _contexts_with_users(a).select(
+    # only contexts of the request: the join key holds the submission id
+    ctx_hot = skew.hot_keys_many(a.contexts, [["submission_id"], ["created_by"]])
+    requested = scope(a.contexts, None, ids, hot=ctx_hot[("submission_id",)])
+    ctx = _contexts_with_users(a, requested, hot=ctx_hot[("created_by",)]).select(
         *[F.col(k).alias("ctx_" + k) for k in _CTX_KEYS], "completed_at", "created_at",
         F.col("email").alias("created_user_email"))
     j = skew.salted_join(with_opt, ctx, [(k, "ctx_" + k) for k in _CTX_KEYS], "left",
@@ -221,8 +222,8 @@ def review_stage_export(a: AuditTables, org: str | None, ids: DataFrame | None,
         "review_stage_id", "review_stage_name", "review_stage_type", "created_by", "completed_at",
         F.col("email").alias("reviewer_email"))
     hot = hot if hot is not None else answer_hot_keys(
-        a, org, [_REVIEW_KEYS, ["field_id"], ["field_id", "sub_field_id"]])
-    rfv = scope(a.answers, org).select("submission_id", "form_id", "response_id", "field_id",
+        a, org, [_REVIEW_KEYS, ["field_id"], ["field_id", "sub_field_id"], ["submission_id"]])
+    rfv = scope(a.answers, org, ids, hot=hot.get(("submission_id",))).select("submission_id", "form_id", "response_id", "field_id",
                                        "sub_field_id", "value")
     j = skew.salted_join(rfv, rr, [(k, "rr_" + k) for k in _REVIEW_KEYS], "inner",
                          hot.get(tuple(_REVIEW_KEYS)))

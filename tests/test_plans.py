@@ -82,3 +82,15 @@ def test_no_cross_or_nested_loop_join(spark, name):
         pytest.skip("writes or checkpoints while being built; covered elsewhere")
     p = _plan(queries()[name](spark, SF_SMALL))
     assert "CartesianProduct" not in p and "NestedLoopJoin" not in p
+
+
+def test_request_reaches_every_fact_scan(spark):
+    """A request of one id limits answers and contexts before they are joined."""
+    from quire.operators import exports
+    from quire.sources import tables, views
+
+    a = views.audit_tables(tables.load(spark, SF_SMALL))
+    ids = spark.createDataFrame([(3,)], "submission_id long")
+    for export in (exports.forms_data, exports.review_stage_export):
+        text = export(a, "1", ids)._jdf.queryExecution().optimizedPlan().toString()
+        assert text.count("LeftSemi") == 2, text
