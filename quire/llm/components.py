@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.session import ensure_checkpoint_dir
+from quire.llm.tables import at_rest
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -23,14 +23,15 @@ def _state(edges: DataFrame) -> tuple:
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m")).checkpoint()
+    least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
+    least = at_rest(least)
     return (both.where("b > a").join(least, F.col("a") == F.col("n"))
             .select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     # here every link points from the larger node a to the smaller node b
-    least = edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), "m").checkpoint()
+    least = at_rest(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), "m"))
     return (edges.join(least, F.col("a") == F.col("n"))
             .select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
             .select("e.a", "e.b").where("a <> b").distinct())
@@ -40,12 +41,10 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b: bigint, not null);
     a component's name is its smallest node.  A link of a node with itself is
     ignored; no links give no rows."""
-    ensure_checkpoint_dir(edges.sparkSession)
-    edges = (edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-             .distinct().checkpoint())
+    edges = at_rest(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = _state(edges)
     while state[0]:
-        edges = _small_star(_large_star(edges).checkpoint()).checkpoint()
+        edges = at_rest(_small_star(at_rest(_large_star(edges))))
         after = _state(edges)
         if after == state:
             break

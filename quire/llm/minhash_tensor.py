@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from quire.llm import shared_keys, wordhash
 from quire.llm.components import components
-from quire.session import ensure_checkpoint_dir
+from quire.llm.tables import at_rest
 
 SHINGLE = 2
 PERCENT = 80
@@ -157,11 +157,11 @@ def _confirm(batches, percent: int):
 def confirm(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int,
             salt_rows: int = SALT_ROWS, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
     """``pairs`` (a, b), a table at rest, with ``linked``: confirmed on full sets."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().checkpoint()
+    ids = at_rest(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     wanted = F.broadcast(ids) if ids.count() <= broadcast_ids else ids
     sets = docs.join(wanted, "doc_id", "left_semi").mapInArrow(lambda it: _sets(it, shingle), _SETS)
-    salts = (pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
-             .select(F.col("a").alias("c"), F.ceil(F.col("n") / salt_rows).cast("int").alias("salts")).checkpoint())
+    salts = at_rest(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+                    .select(F.col("a").alias("c"), F.ceil(F.col("n") / salt_rows).cast("int").alias("salts")))
     salted = (pairs.join(salts, pairs["a"] == salts["c"])
               .select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role"), "b"))
     centres = salts.select(F.col("c").alias("a"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"),
@@ -186,15 +186,14 @@ def across(members: DataFrame, docs: DataFrame, shingle: int, percent: int, broa
             .mapInArrow(lambda it: _shingle_rows(it, shingle), "doc_id bigint, component bigint, n bigint, shingles array<bigint>")
             .checkpoint())
     rows = sets.select("doc_id", "component", "n", F.explode("shingles").alias("s"))
-    shared = (rows.groupBy("s").agg(F.count(F.lit(1)).alias("df"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-              .where("lo < hi").select(F.col("s").alias("t"), "df").checkpoint())
-    prefix = (rows.join(shared, F.col("s") == F.col("t")).groupBy("doc_id", "component", "n")
+    shared = at_rest(rows.groupBy("s").agg(F.count(F.lit(1)).alias("df"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+              .where("lo < hi").select(F.col("s").alias("t"), "df"))
+    prefix = at_rest(rows.join(shared, F.col("s") == F.col("t")).groupBy("doc_id", "component", "n")
               .agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("l"))
               .withColumn("take", F.expr(f"int(n - (n * {percent} + 99) div 100 + 1 - (n - size(l)))")).where("take > 0")
               .select("doc_id", "component", "n", (F.col("n") - F.size("l")).alias("before"),
                       F.posexplode(F.expr("slice(l, 1, take)")).alias("i", "e"))
-              .select("doc_id", "component", "n", (F.col("n") - F.col("before") - F.col("i")).alias("left"), F.col("e.s").alias("s"))
-              .checkpoint())
+              .select("doc_id", "component", "n", (F.col("n") - F.col("before") - F.col("i")).alias("left"), F.col("e.s").alias("s")))
     other = prefix.select(F.col("doc_id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("left").alias("lb"), "s")
     # where a pair's first common shingle stands, what is left of either document bounds what they share
     return (prefix.join(other, "s").where(f"component < cb and 100 * least(n, nb) >= {percent} * greatest(n, nb)"
@@ -211,34 +210,34 @@ def _labelled(nodes: DataFrame, comps: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, rows: int = ROWS,
                     halves: int = HALVES, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
     """One row (doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id bigint, text string)."""
-    ensure_checkpoint_dir(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    signed = docs.mapInArrow(lambda it: _sign(it, shingle, rows, halves), _SIGNED).checkpoint()
+    signed = at_rest(docs.mapInArrow(lambda it: _sign(it, shingle, rows, halves), _SIGNED), 20_000)
     linkable = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = (linkable.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")).checkpoint())
+    classes = at_rest(linkable.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")))
     reps = (linkable.join(classes.select("rep", F.col("h1").alias("c1"), F.col("h2").alias("c2")),
                           (F.col("doc_id") == F.col("rep")) & (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")), "left_semi")
             .select("doc_id", "n_shingles", "halves").dropDuplicates(["doc_id"]))
     texts = docs.where("doc_id is not null and text is not null")
 
     shared = shared_keys.recurring(shared_keys.combined(reps, lambda batch: _emit(batch, halves), text=None))
-    pairs = (shared.where("doc <> first").select(F.col("first").alias("a"), F.col("doc").alias("b")).distinct().checkpoint())
-    tested = confirm(pairs, texts, shingle, percent, broadcast_ids=broadcast_ids).checkpoint()
-    comps = components(tested.where("linked").select("a", "b")).checkpoint()
+    pairs = at_rest(shared.where("doc <> first").select(F.col("first").alias("a"), F.col("doc").alias("b")).distinct())
+    tested = at_rest(confirm(pairs, texts, shingle, percent, broadcast_ids=broadcast_ids))
+    comps = at_rest(components(tested.where("linked").select("a", "b")))
 
     # Tables in which a pair failed between two components: test what else they hold across components.
     ends = _labelled(_labelled(tested.where("not linked").withColumnRenamed("a", "doc_id"), comps)
                      .withColumnRenamed("doc_id", "a").withColumnRenamed("component", "ca").withColumnRenamed("b", "doc_id"), comps)
-    open_centres = ends.where("ca <> component").select("a").distinct().checkpoint()
+    open_centres = at_rest(ends.where("ca <> component").select("a").distinct())
     if open_centres.count():
         members = (tested.select("a", "b").join(open_centres, "a", "left_semi")
                    .select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-        members = _labelled(reps.select("doc_id", "n_shingles").join(members, "doc_id", "left_semi"), comps).checkpoint()
-        more = (across(members, texts, shingle, percent, broadcast_ids).join(tested.select("a", "b"), ["a", "b"], "left_anti").checkpoint())
+        members = at_rest(_labelled(reps.select("doc_id", "n_shingles").join(members, "doc_id", "left_semi"), comps))
+        more = at_rest(across(members, texts, shingle, percent, broadcast_ids).join(tested.select("a", "b"), ["a", "b"], "left_anti"))
         again = confirm(more, texts, shingle, percent, broadcast_ids=broadcast_ids).where("linked").select("a", "b")
-        comps = components(tested.where("linked").select("a", "b").unionAll(again)).checkpoint()
+        comps = at_rest(components(tested.where("linked").select("a", "b").unionAll(again)))
 
-    reached = _labelled(classes.withColumnRenamed("rep", "doc_id"), comps).select("h1", "h2", F.col("component").alias("c")).checkpoint()
+    reached = _labelled(classes.withColumnRenamed("rep", "doc_id"), comps).select("h1", "h2", F.col("component").alias("c"))
+    reached = at_rest(reached)
     out = signed.select("doc_id", "n_shingles", "h1", "h2").join(reached, ["h1", "h2"], "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("c")).otherwise(F.col("doc_id"))
     return (out.select("doc_id", "n_shingles", component.alias("component_id"))
