@@ -63,26 +63,33 @@ def _byte_of() -> dict[str, int]:
 
 
 @functools.lru_cache(maxsize=2)
-def _encoders(path: str):
-    """(fast encoder, reference encoder, special strings) of a vocabulary file."""
+def _reference(path: str):
+    """The vocabulary file's own tokenizer; loaded only where a text needs it."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    import tiktoken
     from tokenizers import Tokenizer
 
+    return Tokenizer.from_file(path)
+
+
+@functools.lru_cache(maxsize=2)
+def _fast(path: str):
+    """(fast encoder, special strings) of a vocabulary file."""
+    import tiktoken
+
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     byte_of, special = _byte_of(), [t["content"] for t in spec["added_tokens"]]
     ranks = {bytes(byte_of[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
     fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return fast, Tokenizer.from_file(path), special
+    return fast, special
 
 
 def encode(text: str | None, path: str) -> np.ndarray:
     """The ids of a document, with the closing id, as little-endian unsigned 32-bit numbers."""
-    fast, reference, special = _encoders(path)
+    fast, special = _fast(path)
     text = text or ""
     if any(s in text for s in special) or (len(text) >= 2000 and _LONG.search(text)):
-        ids = reference.encode(text, add_special_tokens=False).ids
+        ids = _reference(path).encode(text, add_special_tokens=False).ids
     else:
         ids = fast.encode_ordinary(text)
     return np.array([*ids, END], dtype="<u4")

@@ -26,7 +26,7 @@ _SHARED = pa.schema([("doc", pa.int64()), ("key", pa.int64()), ("first", pa.int6
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text",
-           max_bytes: int = 4 << 20, max_rows: int = 4096) -> Iterator[pa.RecordBatch]:
+           max_bytes: int = 2 << 20, max_rows: int = 4096) -> Iterator[pa.RecordBatch]:
     """The batches cut into pieces of about ``max_bytes`` of text (one row at least)."""
     for batch in batches:
         column = batch.column(text)
