@@ -191,3 +191,38 @@ def test_language_models_bear_odd_rows(spark):
     alike = lm.cross_entropy_difference(docs, F.lit(False)).collect()
     assert all(r["difference"] in (None, 0.0) for r in alike)
     assert lm.cross_entropy_difference(spark.createDataFrame([], DOCS), F.lit(True)).count() == 0
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_language_models_keep_all_ngrams_apart(spark, small):
+    rng = random.Random(11)                                 # more words and bigrams than tables of 2^18 and 2^21 slots keep apart
+    texts = [" ".join(["the", *[f"w{k}x{i}" for k in rng.sample(range(10**6), 1000)], "the", "end"]) for i in range(400)]
+    docs = docs_of(spark, [*texts, texts[0], None], ids=[*range(400), None, None]).repartition(7).withColumn("goal", F.col("doc_id") < 40)
+    sizes = {"chunk": 5_000, "range_tokens": 20_000} if small else {}       # many chunks and ranges
+    got = lm.cross_entropy_difference(docs, F.col("goal"), **sizes).collect()
+    one, two, goals = Counter(), Counter(), (Counter(), Counter())
+    for i, t in enumerate([*texts, texts[0]]):
+        w = t.split()
+        for a, b in [(one, two)] + [goals] * (i < 40):
+            a.update(w)
+            b.update(zip([None, *w], w))
+    words = max(lm.VOCABULARY, len(one))
+    assert words > lm.VOCABULARY
+
+    def loss(w, a, b, starts, by):
+        n, out = by * sum(a.values()), []
+        for h, x in zip([None, *w], w):
+            p = (by * a[x] + 1) / (n + words)
+            out.append(-math.log((by * b[h, x] + lm.MASS * p) / (by * (starts if h is None else a[h]) + lm.MASS)))
+        return sum(out) / len(out)
+
+    assert sorted(str(r["doc_id"]) for r in got) == sorted(map(str, [*range(400), None, None]))
+    scale = sum(goals[0].values()) / sum(one.values())
+    for r in got:
+        if r["n_tokens"] == 0:
+            assert r["doc_id"] is None and r["difference"] is None
+        else:
+            w = texts[r["doc_id"] or 0].split()
+            assert r["n_tokens"] == len(w)
+            assert math.isclose(r["target_loss"], loss(w, *goals, 40, 1.0), rel_tol=1e-9)
+            assert math.isclose(r["background_loss"], loss(w, one, two, 401, scale), rel_tol=1e-9)
