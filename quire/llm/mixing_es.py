@@ -42,18 +42,19 @@ GOOD = 2.0
 POOR = 0.5
 
 
-def sizes(docs: DataFrame, quality: DataFrame | None = None, seed: str = SEED) -> DataFrame:
-    """(doc_id, source, size, key) for each row of ``docs`` (doc_id, text, source);
-    ``quality``: (doc_id, weight double > 0), distinct doc_ids."""
+def sizes(docs: DataFrame, quality: DataFrame | None = None, seed: str = SEED, whole: bool = False) -> DataFrame:
+    """(doc_id, source, size, key) for each row of ``docs`` (doc_id, text, source), if
+    ``whole`` with the row itself as ``row``; ``quality``: (doc_id, weight double > 0), distinct doc_ids."""
+    row = [F.struct(*docs.columns).alias("row")] if whole else []
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "source",
-                       F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint").alias("size"))
+                       F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint").alias("size"), *row)
     digest = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 1) / float(1 << 52)
     if quality is None:
         rows = rows.withColumn("weight", F.lit(1.0))
     else:
         rows = rows.join(quality.select("doc_id", "weight"), "doc_id", "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
-    return rows.select("doc_id", "source", "size", (-F.log(u) / F.col("weight")).alias("key"))
+    return rows.select("doc_id", "source", "size", (-F.log(u) / F.col("weight")).alias("key"), *(["row"] if whole else []))
 
 
 def targets(sized: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -79,19 +80,23 @@ def targets(sized: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) ->
 
 
 def mix(docs: DataFrame, quality: DataFrame | None = None, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS,
-        buckets: int = BUCKETS, seed: str = SEED) -> DataFrame:
+        buckets: int = BUCKETS, seed: str = SEED, whole: bool = False) -> DataFrame:
     """(doc_id, size, source_size, target, epochs, extra, taken) for each row of ``docs``.
 
     ``epochs``: whole copies that the mix takes; ``extra``: first words of one more;
-    taken = epochs * size + extra.
+    taken = epochs * size + extra.  If ``whole``, ``row`` is the row of ``docs`` (doc_ids may be null or repeat).
     """
     ensure_checkpoint_dir(docs.sparkSession)
     sized = sizes(docs, quality, seed).checkpoint()                       # a few numbers a row
     aims = broadcast_if_small(targets(sized, weights, max_epochs).select(F.col("source").alias("s"), "source_size", "target"), SOURCES)
-    rows = (sized.join(aims, sized["source"].eqNullSafe(aims["s"])).drop("s")
-            .withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("bigint"))
-            .withColumn("rest", F.round(F.col("target")).cast("bigint") - F.col("epochs") * F.col("source_size"))
-            .withColumn("bucket", F.least(F.lit(buckets - 1), F.floor((1 - F.exp(-F.col("key"))) * buckets)).cast("int")))
+
+    def aimed(sized: DataFrame) -> DataFrame:
+        return (sized.join(aims, sized["source"].eqNullSafe(aims["s"])).drop("s")
+                .withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("bigint"))
+                .withColumn("rest", F.round(F.col("target")).cast("bigint") - F.col("epochs") * F.col("source_size"))
+                .withColumn("bucket", F.least(F.lit(buckets - 1), F.floor((1 - F.exp(-F.col("key"))) * buckets)).cast("int")))
+
+    rows = aimed(sized)
     running = Window.partitionBy("source").orderBy("bucket")
     ranges = (rows.groupBy("source", "bucket", "rest").agg(F.sum("size").alias("words"))
               .withColumn("upto", F.sum("words").over(running)).withColumn("before", F.col("upto") - F.col("words"))
@@ -103,14 +108,16 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, weights=WEIGHTS, max_
     last = ranges.where("part = 1").groupBy(F.col("s").alias("s1")).agg(F.max("b").alias("full"))
     edge = last.join(border, F.col("s1").eqNullSafe(F.col("s")), "full").select(
         F.coalesce("s", "s1").alias("s"), F.coalesce("full", F.lit(-1)).alias("full"), "border", "before")
+    if whole:                                                            # sized anew, so that texts are not checkpointed
+        rows = aimed(sizes(docs, quality, seed, whole))
     placed = rows.join(broadcast_if_small(edge, SOURCES), rows["source"].eqNullSafe(edge["s"]), "left").drop("s")
     inside = F.col("border").isNotNull() & (F.col("bucket") == F.col("border"))
     sorted_ = Window.partitionBy("source", "bucket").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     cut = (placed.where(inside).withColumn("ahead", F.col("before") + F.coalesce(F.sum("size").over(sorted_), F.lit(0)))
            .withColumn("extra", F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("ahead")))).drop("ahead"))
-    whole = placed.where(~inside).withColumn("extra", F.when(F.col("bucket") <= F.col("full"), F.col("size")).otherwise(F.lit(0)))
-    return (cut.unionByName(whole)
-            .select("doc_id", "size", "source_size", "target", "epochs", F.col("extra").cast("bigint").alias("extra"))
+    others = placed.where(~inside).withColumn("extra", F.when(F.col("bucket") <= F.col("full"), F.col("size")).otherwise(F.lit(0)))
+    return (cut.unionByName(others)
+            .select("doc_id", "size", "source_size", "target", "epochs", F.col("extra").cast("bigint").alias("extra"), *(["row"] if whole else []))
             .withColumn("taken", F.col("epochs") * F.col("size") + F.col("extra")))
 
 

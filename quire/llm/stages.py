@@ -67,9 +67,8 @@ def _copies(batches, names: list[str]):
 
 def mixed(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The mix: each source's documents as often as its target takes them, the last one's first words."""
-    part = mixing_es.mix(docs, broadcast_if_small(mixing_es.quality_weights(labels)))
-    part = (part.where("taken > 0").groupBy("doc_id").agg(F.max("epochs").alias("_epochs"), F.max("extra").alias("_extra")))
+    part = mixing_es.mix(docs, broadcast_if_small(mixing_es.quality_weights(labels)), whole=True).where("taken > 0")
     names = list(docs.columns)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    rows = docs.join(broadcast_if_small(part), "doc_id").select(*names, "_epochs", "_extra")
+    rows = part.select(*[F.col("row")[c].alias(c) for c in names], F.col("epochs").alias("_epochs"), F.col("extra").alias("_extra"))
     return _with_length(rows.mapInArrow(lambda it: _copies(it, names), schema)).select(*names)

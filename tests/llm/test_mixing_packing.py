@@ -178,3 +178,22 @@ def test_ids_are_those_of_tokenizers():
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 80))) for _ in range(500)] + ["x" * 5000, " " * 300 + "a"]
     for t in texts:
         assert packing.encode(t, path).tolist() == [*tokenizer.encode(t, add_special_tokens=False).ids, 0]
+
+
+def test_mixed_stage_keeps_rows_without_an_id_and_rows_that_share_one(spark):
+    rng = random.Random(5)
+    texts = [" ".join(f"t{i}w{k}" for k in range(rng.randint(1, 60))) for i in range(240)]
+    ids = [None if i % 3 == 0 else i // 8 for i in range(240)]                # a third has none, the others share theirs across sources
+    sources = [("a", "b", "c", None)[i % 4] for i in range(240)]
+    docs = docs_of(spark, [*texts, *texts[:5]], [*ids, *ids[:5]], [*sources, *sources[:5]]).repartition(3)
+    size = Counter()
+    for t, s in zip([*texts, *texts[:5]], [*sources, *sources[:5]]):
+        size[s] += len(words(t))
+    order = ["a", "b", "c", None]
+    target = dict(zip(order, reshared([size[s] for s in order], [5, 2, 1, 5])))
+    got, origin = Counter(), {t.split(" ")[0]: (i, t) for i, t in enumerate(texts)}
+    for r in stages.mixed(docs, labels_of(spark, [])).collect():
+        i, text = origin[r["text"].split(" ")[0]]
+        assert (r["doc_id"], r["source"]) == (ids[i], sources[i]) and text.startswith(r["text"]) and r["n_chars"] == len(r["text"])
+        got[r["source"]] += len(words(r["text"]))
+    assert all(abs(got[s] - target[s]) <= 1 for s in order)
