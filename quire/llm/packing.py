@@ -45,7 +45,9 @@ BUCKET_ROWS = 50_000
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _LONG = re.compile(r"\S{2000}")
 _PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
-_PLACED = _PIECES + ", sequence_id bigint, slot bigint, at bigint, cuts boolean"
+#: With the hash of the row that a piece is of: doc_ids may be null or repeat.
+_KEYED = _PIECES + ", row_key bigint"
+_PLACED = _KEYED + ", sequence_id bigint, slot bigint, at bigint, cuts boolean"
 
 
 def vocabulary_path() -> str:
@@ -98,12 +100,12 @@ def encode(text: str | None, path: str) -> np.ndarray:
 def _cut(batches, path: str, capacity: int):
     for part in shared_keys.slices(batches):
         out = []
-        for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
+        for doc, text, key in zip(*[part.column(c).to_pylist() for c in ("doc_id", "text", "row_key")]):
             ids = encode(text, path)
             n = len(ids)
-            out += [(doc, a, min(capacity, n - a), zlib.crc32(ids[a:a + capacity].tobytes()), n) for a in range(0, n, capacity)]
+            out += [(doc, a, min(capacity, n - a), zlib.crc32(ids[a:a + capacity].tobytes()), n, key) for a in range(0, n, capacity)]
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)],
-                                         names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                                         names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "row_key"])
 
 
 class _Places:
@@ -182,9 +184,9 @@ def _place(batches, places: _Places):
             sequence[group], slot[group], at[group] = places.of(int(length[group[0]]), rank[group])
         cuts = (at >= 0) & (at // places.capacity != (at + length - 1) // places.capacity)
         yield pa.RecordBatch.from_arrays(
-            [*[batch.column(c) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")],
+            [*[batch.column(c) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "row_key")],
              pa.array(sequence), pa.array(slot), pa.array(at), pa.array(cuts)],
-            names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "slot", "at", "cuts"])
+            names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "row_key", "sequence_id", "slot", "at", "cuts"])
 
 
 def _cut_again(batches, path: str, capacity: int):
@@ -195,7 +197,7 @@ def _cut_again(batches, path: str, capacity: int):
         for doc, start, length, crc, n, sequence, at, text in rows:
             ids = encode(text, path)
             if len(ids) != n or zlib.crc32(ids[start:start + length].tobytes()) != crc:
-                continue                                      # another row of the same doc_id
+                continue                                      # another row of the same hash
             head = capacity - at % capacity
             for s, size, q, slot in ((start, head, sequence, at % capacity), (start + head, length - head, sequence + 1, 0)):
                 out.append((doc, s, size, zlib.crc32(ids[s:s + size].tobytes()), n, q, slot))
@@ -210,7 +212,8 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, buc
     ensure_checkpoint_dir(spark)
     path = path or vocabulary_path()
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    pieces = docs.mapInArrow(lambda it: _cut(it, path, capacity), _PIECES).checkpoint()            # numbers only
+    docs = docs.withColumn("row_key", F.xxhash64("doc_id", "text"))
+    pieces = docs.mapInArrow(lambda it: _cut(it, path, capacity), _KEYED).checkpoint()            # numbers only
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}   # <= capacity rows
     places = _Places(histogram, capacity)
     buckets = max(1, -(-max(histogram.values(), default=0) // bucket_rows))
@@ -221,12 +224,13 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, buc
     within = Window.partitionBy("length", "bucket").orderBy("doc_id", "start", "ids_crc32")
     ranked = (dealt.withColumn("n", F.row_number().over(within) - 1)
               .join(broadcast_if_small(offsets), (F.col("length") == F.col("l")) & (F.col("bucket") == F.col("b")))
-              .select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("n") + F.col("skip")).cast("bigint").alias("rank")))
+              .select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "row_key", (F.col("n") + F.col("skip")).cast("bigint").alias("rank")))
     held = spark.sparkContext.broadcast(places)
     placed = ranked.mapInArrow(lambda it: _place(it, held.value), _PLACED).checkpoint()
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "slot"]
     cut = broadcast_if_small(placed.where("cuts"))
-    again = (docs.join(cut.drop("slot", "cuts"), "doc_id").mapInArrow(
+    texts = docs.join(cut.select("row_key"), "row_key", "left_semi").select("row_key", "text").distinct()      # equal rows once
+    again = (texts.join(cut.drop("slot", "cuts"), "row_key").mapInArrow(
         lambda it: _cut_again(it, path, capacity), _PIECES + ", sequence_id bigint, slot bigint").dropDuplicates())
     order = Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     return (placed.where("not cuts").select(*columns).unionByName(again.select(*columns))

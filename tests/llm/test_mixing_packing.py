@@ -197,3 +197,13 @@ def test_mixed_stage_keeps_rows_without_an_id_and_rows_that_share_one(spark):
         assert (r["doc_id"], r["source"]) == (ids[i], sources[i]) and text.startswith(r["text"]) and r["n_chars"] == len(r["text"])
         got[r["source"]] += len(words(r["text"]))
     assert all(abs(got[s] - target[s]) <= 1 for s in order)
+
+
+def test_packing_keeps_cut_pieces_of_rows_without_an_id(spark):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(rng.choice([300, 700, 800, 900, 1500]) + rng.randint(0, 90))) for _ in range(90)]
+    docs = docs_of(spark, [*texts, *texts[:20]], [None] * 100 + [7] * 10).repartition(3)
+    pieces = packing.pack(docs, bucket_rows=7).collect()
+    whole = [-(-n // packing.CAPACITY) for n in (len(packing.encode(r["text"], packing.vocabulary_path())) for r in docs.collect())]
+    assert len(pieces) > sum(whole)                                           # some are cut by a sequence's end
+    _check_pieces(docs, pieces, packing.vocabulary_path())
