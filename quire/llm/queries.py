@@ -5,6 +5,7 @@ from __future__ import annotations
 from quire.llm import (
     chat_template,
     embedding_passes,
+    fill_in_middle,
     lm_cross_entropy,
     minhash_tensor,
     mixing_es,
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_chat_template": chat_template.op8_chat_template,
     "op9_weak_supervision": weak_supervision.op9_weak_supervision,
     "op10_minhash_tensor": minhash_tensor.op10_minhash_tensor,
+    "op11_fill_in_middle": fill_in_middle.op11_fill_in_middle,
 }
 
 ORACLE_SQL = {
@@ -34,4 +36,5 @@ ORACLE_SQL = {
     "op7_embedding_passes": embedding_passes.OP7_SQL,
     "op8_chat_template": chat_template.OP8_SQL,
     "op10_minhash_tensor": minhash_tensor.OP10_SQL,
+    "op11_fill_in_middle": fill_in_middle.OP11_SQL,
 }
