@@ -12,6 +12,7 @@ from quire.llm import (
     packing,
     quality_ordinal,
     repeated_phrases,
+    suffix_dedup,
     toxicity_counterfactual,
     weak_supervision,
 )
@@ -28,6 +29,7 @@ QUERIES = {
     "op9_weak_supervision": weak_supervision.op9_weak_supervision,
     "op10_minhash_tensor": minhash_tensor.op10_minhash_tensor,
     "op11_fill_in_middle": fill_in_middle.op11_fill_in_middle,
+    "op12_suffix_dedup": suffix_dedup.op12_suffix_dedup,
 }
 
 ORACLE_SQL = {
@@ -37,4 +39,5 @@ ORACLE_SQL = {
     "op8_chat_template": chat_template.OP8_SQL,
     "op10_minhash_tensor": minhash_tensor.OP10_SQL,
     "op11_fill_in_middle": fill_in_middle.OP11_SQL,
+    "op12_suffix_dedup": suffix_dedup.OP12_SQL,
 }
