@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quire.llm import (
+    best_position,
     chat_template,
     embedding_passes,
     fill_in_middle,
@@ -30,6 +31,7 @@ QUERIES = {
     "op10_minhash_tensor": minhash_tensor.op10_minhash_tensor,
     "op11_fill_in_middle": fill_in_middle.op11_fill_in_middle,
     "op12_suffix_dedup": suffix_dedup.op12_suffix_dedup,
+    "op13_best_position": best_position.op13_best_position,
 }
 
 ORACLE_SQL = {
@@ -40,4 +42,5 @@ ORACLE_SQL = {
     "op10_minhash_tensor": minhash_tensor.OP10_SQL,
     "op11_fill_in_middle": fill_in_middle.OP11_SQL,
     "op12_suffix_dedup": suffix_dedup.OP12_SQL,
+    "op13_best_position": best_position.OP13_SQL,
 }

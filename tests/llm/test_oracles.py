@@ -32,5 +32,5 @@ def test_entry_registers_them():
     import __spark_entry__
 
     queries = __spark_entry__.queries()
-    assert {f"op{n}" for n in range(1, 11)} <= {k.split("_")[0] for k in queries} and "pipeline" in queries
+    assert {f"op{n}" for n in range(1, 14)} <= {k.split("_")[0] for k in queries} and "pipeline" in queries
     assert set(ORACLE_SQL) <= set(__spark_entry__.oracle_sql())
