@@ -191,9 +191,7 @@ def customer_region_profile(c: CommerceTables) -> DataFrame:
                     F.count("n_orders").alias("buyers"),
                     F.sum("n_orders").alias("n_orders"),
                     F.sum("revenue").alias("revenue")))
-    place = F.struct("geolocation_state", "geolocation_city")        # a zip with several rows: the first by name
-    g = (c.geolocation.groupBy("geolocation_zip_code_prefix").agg(F.min(place).alias("p"))
-         .select("geolocation_zip_code_prefix", "p.geolocation_state", "p.geolocation_city"))
+    g = _places(c)
     j = per_zip.join(g, F.col("customer_zip_code_prefix") == g.geolocation_zip_code_prefix, "left")
     return (j.groupBy(F.col("geolocation_state").alias("customer_state"),
                       F.col("geolocation_city").alias("customer_city"))
@@ -203,13 +201,56 @@ def customer_region_profile(c: CommerceTables) -> DataFrame:
                  F.coalesce(F.sum("revenue"), F.lit(0)).cast("decimal(28,2)").alias("revenue_usd")))
 
 
-def delivery_lag(c: CommerceTables) -> DataFrame:
-    """Days from purchase to the last shipped item, summarised per month."""
+def _places(c: CommerceTables) -> DataFrame:
+    """One (state, city) for each zip prefix: a zip with several rows has the first by name."""
+    place = F.struct("geolocation_state", "geolocation_city")
+    return (c.geolocation.groupBy("geolocation_zip_code_prefix").agg(F.min(place).alias("p"))
+            .select("geolocation_zip_code_prefix", "p.geolocation_state", "p.geolocation_city"))
+
+
+def _lag_histogram(c: CommerceTables) -> DataFrame:
+    """Orders by (customer_state, order_month, lag_days): days from purchase to the last shipped item.
+
+    Orders are counted per (zip, month, lag) before the geolocation join, so what goes on has the size
+    of the calendar, not of the orders."""
     shipped = c.items.groupBy("order_id").agg(F.max("shipping_date").alias("delivered_at"))
     lag = F.datediff(F.to_date("delivered_at"), F.to_date("order_purchase_timestamp"))
-    j = c.orders.join(shipped, "order_id").withColumn("lag_days", lag)
-    return (j.groupBy(purchase_month("order_purchase_timestamp").alias("order_month"))
-            .agg(F.count(F.lit(1)).alias("delivered_orders"),
-                 F.round(F.avg("lag_days"), 4).alias("avg_delivery_days"),
-                 F.min("lag_days").alias("min_delivery_days"),
-                 F.max("lag_days").alias("max_delivery_days")))
+    delivered = c.orders.join(shipped, "order_id").select("customer_id", purchase_month("order_purchase_timestamp").alias("order_month"), lag.alias("lag_days"))
+    cust = c.customers.select(F.col("customer_id").alias("c_customer_id"), "customer_zip_code_prefix")
+    per_zip = (skew.salted_join(delivered, cust, [("customer_id", "c_customer_id")], "left", skew.hot_keys(c.orders, ["customer_id"]))
+               .groupBy("customer_zip_code_prefix", "order_month", "lag_days").agg(F.count(F.lit(1)).alias("n")))
+    g = _places(c)
+    return (per_zip.join(g, F.col("customer_zip_code_prefix") == g.geolocation_zip_code_prefix, "left")
+            .groupBy(F.col("geolocation_state").alias("customer_state"), "order_month", "lag_days").agg(F.sum("n").alias("n")))
+
+
+def _estimated(c: CommerceTables) -> DataFrame:
+    """The histogram with ``estimated_days``: the exact median of the state's earlier months, null in its first one.
+
+    The median runs over counted lags (``percentile`` with a frequency), over a range of months that ends
+    before the current one; its state has one entry per different lag."""
+    earlier = (Window.partitionBy("customer_state").orderBy(F.year("order_month") * 12 + F.month("order_month"))
+               .rangeBetween(Window.unboundedPreceding, -1))
+    known = _lag_histogram(c).where("lag_days is not null")
+    return known.withColumn("estimated_days", F.percentile("lag_days", 0.5, F.col("n")).over(earlier))
+
+
+def _against_estimate() -> list[Column]:
+    lag, est = F.col("lag_days"), F.col("estimated_days")
+    return [F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0)).cast("bigint").alias(name)
+            for test, name in ((lag < est, "early_orders"), (lag == est, "on_time_orders"), (lag > est, "late_orders"))]
+
+
+def delivery_estimate(c: CommerceTables) -> DataFrame:
+    """Per customer state and month: the delivery estimate (median days of the state's earlier months), and how many
+    orders came earlier, on the day, or later."""
+    return (_estimated(c).groupBy("customer_state", "order_month")
+            .agg(F.sum("n").alias("delivered_orders"), F.max("estimated_days").alias("estimated_days"), *_against_estimate()))
+
+
+def delivery_lag(c: CommerceTables) -> DataFrame:
+    """Days from purchase to the last shipped item, summarised per month, and against the states' estimates."""
+    days = F.sum(F.col("lag_days") * F.col("n")) / F.sum("n")
+    return (_estimated(c).groupBy("order_month")
+            .agg(F.sum("n").alias("delivered_orders"), F.round(days, 4).alias("avg_delivery_days"),
+                 F.min("lag_days").alias("min_delivery_days"), F.max("lag_days").alias("max_delivery_days"), *_against_estimate()))

@@ -42,19 +42,55 @@ FORM_COLUMNS = ["submission_id", "form_type", "form_name", "field_type", "field_
                 "folder_directory"]
 
 
+#: What tells reports apart; a request of several reports has these columns beside ``submission_id``.
+REPORT = ["organization_id", "report_name"]
+
+
+def _tags(df: DataFrame) -> list[str]:
+    """The report columns, where rows belong to reports (a request of one report leaves them out)."""
+    return REPORT if "report_name" in df.columns else []
+
+
 def scope(df: DataFrame, org: str | None = None, ids: DataFrame | None = None,
           org_col: str = "organization_id", id_col: str = "submission_id",
           hot: DataFrame | None = None) -> DataFrame:
     """Organization equality filter and request-id semi-join; ``hot`` (hot
-    submission ids of ``df`` from ``skew.hot_keys``) salts the semi-join."""
+    submission ids of ``df`` from ``skew.hot_keys``) salts the semi-join.
+
+    ``ids`` with ``REPORT`` columns is the request of several reports, of any organizations: rows are
+    joined to the reports that ask for them, once for all reports, and tagged with ``report_name``.  The
+    request's side (submission ids are positive numbers) is small beside the facts, so Spark builds a Bloom filter of
+    its ids at run time and applies it in the scan.  ``hot`` is then keyed by organization and submission."""
     if org is not None:
         df = df.where(F.col(org_col) == F.lit(org))
+    if ids is not None and _tags(ids):
+        wanted = ids.where(F.col("submission_id") > 0).select(
+            F.col("organization_id").alias("_req_org"), "report_name", F.col("submission_id").alias("_req_id")).distinct()
+        return skew.salted_join(df, wanted, [(org_col, "_req_org"), (id_col, "_req_id")], "inner", hot).drop("_req_org", "_req_id")
     if ids is not None:
         req = ids.select(F.col("submission_id").alias("_req_id"))
         df = skew.salted_join(df, req, [(id_col, "_req_id")], "left_semi", hot)
     return df
 
 
+def _submissions(ids: DataFrame | None) -> DataFrame | None:
+    """The ids of a request, whichever report asks for them."""
+    return ids if ids is None or not _tags(ids) else ids.select("submission_id").distinct()
+
+
+def _request_key(ids: DataFrame | None) -> list[str]:
+    return ["organization_id", "submission_id"] if ids is not None and _tags(ids) else ["submission_id"]
+
+
+def _of_org(side: DataFrame, name: str, tags: list[str], *columns) -> DataFrame:
+    """A dimension's columns, with its organization as ``name`` where reports of several organizations are made."""
+    return side.select(*columns, *([F.col("organization_id").alias(name)] if tags else []))
+
+
+def _org_pair(name: str, tags: list[str]) -> list[tuple[str, str]]:
+    return [("organization_id", name)] if tags else []
+
+
 def _contexts_with_users(a: AuditTables, contexts: DataFrame | None = None,
                          hot: DataFrame | None = None) -> DataFrame:
     """Contexts ⟕ users on the creator; ``hot`` (hot creators, e.g. a service
@@ -68,10 +104,9 @@ _CTX_KEYS = ["request_id", "response_id", "submission_id"]
 _OPTION_KEYS = [("field_id", "ffo_field_id"), ("sub_field_id", "ffo_option_id")]
 
 
-def _options(a: AuditTables, org: str | None) -> DataFrame:
-    o = scope(a.options, org)
-    return o.select(F.col("field_id").alias("ffo_field_id"), F.col("option_id").alias("ffo_option_id"),
-                    F.col("option_label"))
+def _options(a: AuditTables, org: str | None, tags: list[str] = ()) -> DataFrame:
+    return _of_org(scope(a.options, org), "ffo_org", tags, F.col("field_id").alias("ffo_field_id"),
+                   F.col("option_id").alias("ffo_option_id"), F.col("option_label"))
 
 
 _REVIEW_KEYS = ["form_id", "response_id", "submission_id"]
@@ -79,9 +114,15 @@ ANSWER_KEY_SETS = [_CTX_KEYS, ["field_id", "sub_field_id"], _REVIEW_KEYS, ["fiel
                    ["submission_id"]]
 
 
-def answer_hot_keys(a: AuditTables, org: str | None, key_sets=None) -> dict:
-    """Hot keys of the organization's answers for every salted join, in one job."""
-    return skew.hot_keys_many(scope(a.answers, org), key_sets or ANSWER_KEY_SETS)
+def answer_hot_keys(a: AuditTables, org: str | None, key_sets=None, ids: DataFrame | None = None) -> dict:
+    """Hot keys of the organization's answers for every salted join, in one job; for the request ``ids`` of several
+    reports the joins that meet another table of an organization are keyed by it as well."""
+    sets = [tuple(k) for k in key_sets or ANSWER_KEY_SETS]
+    by_org = ids is not None and _tags(ids)
+    plain = {("sub_field_id",), tuple(_CTX_KEYS)}
+    keys = {k: (*k, "organization_id") if by_org and k not in plain else k for k in sets}
+    found = skew.hot_keys_many(scope(a.answers, org), [list(k) for k in keys.values()])
+    return {k: found[w] for k, w in keys.items()}
 
 
 def forms_data(a: AuditTables, org: str | None, ids: DataFrame | None, hot: dict | None = None,
@@ -94,28 +135,29 @@ def forms_data(a: AuditTables, org: str | None, ids: DataFrame | None, hot: dict
     keys are salted (``skew.salted_join``).
     """
     hot = hot if hot is not None else answer_hot_keys(
-        a, org, [_CTX_KEYS, ["field_id", "sub_field_id"], ["field_id"], ["submission_id"]])
+        a, org, [_CTX_KEYS, ["field_id", "sub_field_id"], ["field_id"], ["submission_id"]], ids)
     rfv = scope(a.answers, org, ids, hot=hot.get(("submission_id",)))
-    ff = scope(a.fields, org).select(F.col("field_id").alias("ff_field_id"), "form_type", "form_name",
-                                    "field_type", "field_label")
+    tags = _tags(rfv)
+    ff = _of_org(scope(a.fields, org), "ff_org", tags, F.col("field_id").alias("ff_field_id"), "form_type", "form_name",
+                 "field_type", "field_label")
     base = skew.salted_join(
-        rfv.select("submission_id", "request_id", "response_id", "field_id", "sub_field_id", "value"),
-        ff, [("field_id", "ff_field_id")], "inner", hot.get(("field_id",))).drop("ff_field_id")
+        rfv.select(*tags, "submission_id", "request_id", "response_id", "field_id", "sub_field_id", "value"),
+        ff, [("field_id", "ff_field_id"), *_org_pair("ff_org", tags)], "inner", hot.get(("field_id",))).drop("ff_field_id", "ff_org")
     if with_options:
-        with_opt = skew.salted_join(base, _options(a, org), _OPTION_KEYS, "left",
+        with_opt = skew.salted_join(base, _options(a, org, tags), [*_OPTION_KEYS, *_org_pair("ffo_org", tags)], "left",
                                     hot.get(("field_id", "sub_field_id")))
     else:   # for callers that need only the set of rows' other columns (a left join adds none)
         with_opt = base.withColumn("option_label", F.lit(None).cast("string"))
     # only contexts of the request: the join key holds the submission id
     ctx_hot = skew.hot_keys_many(a.contexts, [["submission_id"], ["created_by"]])
-    requested = scope(a.contexts, None, ids, hot=ctx_hot[("submission_id",)])
+    requested = scope(a.contexts, None, _submissions(ids), hot=ctx_hot[("submission_id",)])
     ctx = _contexts_with_users(a, requested, hot=ctx_hot[("created_by",)]).select(
         *[F.col(k).alias("ctx_" + k) for k in _CTX_KEYS], "completed_at", "created_at",
         F.col("email").alias("created_user_email"))
     j = skew.salted_join(with_opt, ctx, [(k, "ctx_" + k) for k in _CTX_KEYS], "left",
                          hot.get(tuple(_CTX_KEYS)))
     return j.select(
-        "submission_id", "form_type", "form_name", "field_type", "field_label", "sub_field_id",
+        *tags, "submission_id", "form_type", "form_name", "field_type", "field_label", "sub_field_id",
         resolve_value(F.col("option_label"), F.col("value")).alias("value"),
         "completed_at", "created_at", "created_user_email", "response_id",
     )
@@ -144,9 +186,10 @@ def forms_export_from(forms_data_df: DataFrame, consistent_paths: bool = False)
     """``forms_export`` over an already computed ``forms_data``."""
     fd = with_form_path(forms_data_df)
     c = F.col
-    data = F.struct(*[c(n) for n in FORM_COLUMNS])
+    tags = [c(n) for n in _tags(fd)]
+    data = F.struct(*tags, *[c(n) for n in FORM_COLUMNS])
     pointer = F.struct(
-        c("submission_id"), c("form_type"), c("form_name"), c("field_type"),
+        *tags, c("submission_id"), c("form_type"), c("form_name"), c("field_type"),
         F.lit(paths.POINTER_LABEL).alias("field_label"),
         F.lit(paths.POINTER_SUB_FIELD).alias("sub_field_id"),
         paths.pointer_value(c("submission_id"), c("form_type"), c("form_name"),
@@ -179,7 +222,7 @@ def form_rows(forms: DataFrame) -> DataFrame:
 def table_question_rows(forms: DataFrame) -> DataFrame:
     """Table-question answers, submission id recovered from the path and first."""
     tq = forms.where(F.col("field_label") == paths.TABLE_QUESTION)
-    return tq.select(submission_id_from_path("folder_directory").alias("submission_id"),
+    return tq.select(*_tags(tq), submission_id_from_path("folder_directory").alias("submission_id"),
                      "sub_field_id", "value", "folder_directory")
 
 
@@ -190,21 +233,29 @@ def table_questions_from(forms_data_df: DataFrame) -> DataFrame:
     rows.  The label filter reaches the field scan (or the materialized join
     tree), so only table-question answers are joined and deduplicated."""
     tq = with_form_path(forms_data_df.where(F.col("field_label") == paths.TABLE_QUESTION))
-    return table_question_rows(tq.select(*FORM_COLUMNS).distinct())
+    return table_question_rows(tq.select(*_tags(tq), *FORM_COLUMNS).distinct())
 
 
-def table_question_items(tq: DataFrame) -> DataFrame:
-    """Split a table-question answer into its items.
+COST = "decimal(18,2)"
+
 
-    Definition (the upstream step is not specified): ``value`` holding a JSON
-    array gives one row per element, ``item_index`` 0-based and ``item`` the
-    element's JSON text; any other value (plain text, object, bad JSON, an
-    empty array) keeps a single row with null index and item.
+def table_question_items(tq: DataFrame) -> DataFrame:
+    """The items of a table-question answer and their costs.
+
+    Definition (the upstream step, which splits items and costs, is not specified): ``value``
+    is parsed once, as a variant.  A JSON array gives one row per element, ``item_index`` from
+    0; an object is one item, index 0; any other value (plain text, bad JSON, an empty array, null)
+    keeps a single row without item.  ``item`` is an element's JSON text (keys in order);
+    ``item_name`` and ``cost`` are its ``item`` and ``cost`` where it has them, the cost as a decimal
+    whether it is written as a number or as text, null where it is neither.
     """
-    n = F.json_array_length("value")
-    items = F.when(n > 0, F.from_json("value", "array<string>"))
-    return tq.select("submission_id", "sub_field_id", "value", "folder_directory",
-                     F.posexplode_outer(items).alias("item_index", "item"))
+    parsed = F.try_parse_json("value")
+    listed = F.try_variant_get(parsed, "$", "array<variant>")
+    single = F.when(F.startswith(F.schema_of_variant(parsed), F.lit("OBJECT")), F.array(parsed))
+    kept = [*_tags(tq), "submission_id", "sub_field_id", "value", "folder_directory"]
+    items = tq.select(*kept, F.posexplode_outer(F.coalesce(listed, single)).alias("item_index", "_item"))
+    return items.select(*kept, "item_index", F.to_json("_item").alias("item"),
+                        F.try_variant_get("_item", "$.item", "string").alias("item_name"), F.try_variant_get("_item", "$.cost", COST).alias("cost"))
 
 
 def review_stage_export(a: AuditTables, org: str | None, ids: DataFrame | None,
@@ -215,24 +266,31 @@ def review_stage_export(a: AuditTables, org: str | None, ids: DataFrame | None,
     first is salted on its hot keys (see ``skew``).
     """
     reviewed = scope(a.contexts.where(F.col("review_stage_id").isNotNull()), org)
-    ctx_hot = skew.hot_keys_many(reviewed, [["submission_id"], ["created_by"]])
-    rr = scope(reviewed, None, ids, hot=ctx_hot[("submission_id",)])
+    request_key = _request_key(ids)
+    ctx_hot = skew.hot_keys_many(reviewed, [request_key, ["created_by"]])
+    rr = scope(reviewed, None, ids, hot=ctx_hot[tuple(request_key)])
+    tags = _tags(rr)
     rr = _contexts_with_users(a, rr, hot=ctx_hot[("created_by",)]).select(
-        *[F.col(k).alias("rr_" + k) for k in ("form_id", "response_id", "submission_id")],
+        *[F.col(k).alias("rr_" + k) for k in ("form_id", "response_id", "submission_id", *tags)],
         "review_stage_id", "review_stage_name", "review_stage_type", "created_by", "completed_at",
         F.col("email").alias("reviewer_email"))
     hot = hot if hot is not None else answer_hot_keys(
-        a, org, [_REVIEW_KEYS, ["field_id"], ["field_id", "sub_field_id"], ["submission_id"]])
-    rfv = scope(a.answers, org, ids, hot=hot.get(("submission_id",))).select("submission_id", "form_id", "response_id", "field_id",
-                                       "sub_field_id", "value")
-    j = skew.salted_join(rfv, rr, [(k, "rr_" + k) for k in _REVIEW_KEYS], "inner",
-                         hot.get(tuple(_REVIEW_KEYS)))
-    ff = scope(a.fields, org).select(F.col("field_id").alias("ff_field_id"), "form_type", "form_name",
-                                    "field_label")
-    j = skew.salted_join(j, ff, [("field_id", "ff_field_id")], "inner", hot.get(("field_id",)))
-    j = skew.salted_join(j, _options(a, org), _OPTION_KEYS, "inner", hot.get(("field_id", "sub_field_id")))
+        a, org, [_REVIEW_KEYS, ["field_id"], ["field_id", "sub_field_id"], ["submission_id"]], ids)
+    # the request reaches the answers by a semi-join; the contexts bring the report
+    asked = ids if not tags else ids.select("organization_id", "submission_id").distinct()
+    answers = scope(a.answers, org, None if tags else asked, hot=hot.get(("submission_id",)))
+    if tags:
+        answers = skew.salted_join(answers, asked.select(*[F.col(k).alias("_req_" + k) for k in request_key]),
+                                   [(k, "_req_" + k) for k in request_key], "left_semi", hot.get(("submission_id",)))
+    rfv = answers.select(*tags[:1], "submission_id", "form_id", "response_id", "field_id", "sub_field_id", "value")
+    hot_review = hot.get(tuple(_REVIEW_KEYS))
+    j = skew.salted_join(rfv, rr, [*[(k, "rr_" + k) for k in _REVIEW_KEYS], *[(k, "rr_" + k) for k in tags[:1]]], "inner", hot_review)
+    ff = _of_org(scope(a.fields, org), "ff_org", tags, F.col("field_id").alias("ff_field_id"), "form_type", "form_name", "field_label")
+    j = skew.salted_join(j, ff, [("field_id", "ff_field_id"), *_org_pair("ff_org", tags)], "inner", hot.get(("field_id",)))
+    j = skew.salted_join(j, _options(a, org, tags), [*_OPTION_KEYS, *_org_pair("ffo_org", tags)], "inner", hot.get(("field_id", "sub_field_id")))
     c = F.col
     return j.select(
+        *[c(n) for n in tags[:1]], *[c("rr_" + n).alias(n) for n in tags[1:]],
         c("submission_id"),
         c("review_stage_id").alias("stage_id"),
         c("review_stage_name").alias("stage_name"),
@@ -250,18 +308,18 @@ def review_stage_export(a: AuditTables, org: str | None, ids: DataFrame | None,
 def chronology_export(a: AuditTables, org: str | None, ids: DataFrame | None) -> DataFrame:
     """History entries of the requested submissions with their e-mail detail."""
     hist = scope(a.history, org)
-    s = scope(hist, None, ids, hot=skew.hot_keys(hist, ["submission_id"]) if ids is not None else None)
+    s = scope(hist, None, ids, hot=skew.hot_keys(hist, _request_key(ids)) if ids is not None else None)
     m = a.history_mail
     j = s.join(m, s.submission_history_id == m.submissionhistoryid)
     return j.select(
-        s.submission_id, s.activity_date.alias("timestamp"), s.description, s.note,
+        *[s[n] for n in _tags(s)], s.submission_id, s.activity_date.alias("timestamp"), s.description, s.note,
         m.emailmessage.alias("message"), m.emailrecipients,
         paths.chronology_path(s.submission_id).alias("folder_directory"))
 
 
 def files_manifest(a: AuditTables, org: str | None, ids: DataFrame | None) -> DataFrame:
     """Files referenced by answers (file id = answer's sub-field id)."""
-    hot = answer_hot_keys(a, org)
+    hot = answer_hot_keys(a, org, ids=ids)
     return files_manifest_from(forms_data(a, org, ids, hot), a.files, hot.get(("sub_field_id",)))
 
 
@@ -269,20 +327,46 @@ def files_manifest_from(forms_data_df: DataFrame, files: DataFrame,
                         hot: DataFrame | None = None) -> DataFrame:
     """``files_manifest`` over an already computed ``forms_data``; ``hot``
     (hot sub-field ids of the answers) salts the join."""
-    fd = forms_data_df.select("submission_id", "sub_field_id", "form_type", "form_name",
+    tags = _tags(forms_data_df)
+    fd = forms_data_df.select(*tags, "submission_id", "sub_field_id", "form_type", "form_name",
                               "created_user_email", "completed_at")
     f = files.select(F.col("id").cast("string").alias("f_key"), F.col("id").alias("file_id"), "file_name",
                      "file_size_bytes", "bucket_name", "storage_key")
     j = skew.salted_join(fd, f, [("sub_field_id", "f_key")], "inner", hot)
     c = F.col
     return j.select(
-        "submission_id", "file_id", "file_name", "file_size_bytes", "bucket_name", "storage_key",
+        *tags, "submission_id", "file_id", "file_name", "file_size_bytes", "bucket_name", "storage_key",
         "form_type", "form_name", "created_user_email", "completed_at",
         paths.file_path(c("submission_id"), c("form_type"), c("form_name"),
                         c("created_user_email"), c("completed_at"), c("file_name"))
         .alias("folder_directory"))
 
 
+def file_references(a: AuditTables, org: str | None, ids: DataFrame | None) -> DataFrame:
+    """Every answer as a reference to the file it may name: ``status`` is ``ok`` with the file's
+    place, or ``missing`` where no file has that id.  ``destination_path`` is where it is saved."""
+    hot = answer_hot_keys(a, org)
+    fd = forms_data(a, org, ids, hot, with_options=False)
+    f = a.files.select(F.col("id").cast("string").alias("f_key"), F.col("id").alias("file_id"), "file_name", "bucket_name", "storage_key")
+    j = skew.salted_join(fd, f, [("sub_field_id", "f_key")], "left", hot.get(("sub_field_id",)))
+    c = F.col
+    path = paths.file_path(c("submission_id"), c("form_type"), c("form_name"), c("created_user_email"), c("completed_at"), c("file_name"))
+    return j.select("submission_id", "sub_field_id", "file_id", "bucket_name", "storage_key", path.alias("destination_path"),
+                    F.when(c("f_key").isNull(), F.lit("missing")).otherwise(F.lit("ok")).alias("status"))
+
+
+def attachments(manifest: DataFrame, contents: DataFrame) -> DataFrame:
+    """(submission_id, destination_path, object_path, content) of a file manifest: the bytes of every file
+    it names, null where ``contents`` (file_id, content) lacks them.  A file that several answers of
+    one submission name under one path is fetched once."""
+    named = manifest.select(*_tags(manifest), "submission_id", F.col("folder_directory").alias("destination_path"),
+                            F.concat_ws("/", "bucket_name", "storage_key").alias("object_path"), "file_id").distinct()
+    hot = skew.hot_keys(manifest, ["file_id"])
+    held = contents.select(F.col("file_id").alias("_file_id"), "content")
+    return skew.salted_join(named, held, [("file_id", "_file_id")], "left", hot).select(
+        *_tags(manifest), "submission_id", "destination_path", "object_path", "content")
+
+
 def submissions_with_rows(a: AuditTables, org: str | None,
                           ids: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """Submission ids that have form rows, and those that have files.
@@ -307,21 +391,26 @@ def submissions_with_rows(a: AuditTables, org: str | None,
 
 def readme(spark: SparkSession) -> DataFrame:
     """The one-row readme section."""
-    return spark.range(1).select(F.lit(README_TEXT).alias("summary"),
-                                 F.lit(paths.README_PATH).alias("folder_directory"))
+    return spark.range(1).select(*_readme_columns())
+
+
+def _readme_columns() -> list:
+    return [F.lit(README_TEXT).alias("summary"), F.lit(paths.README_PATH).alias("folder_directory")]
 
 
 def sections(spark: SparkSession, a: AuditTables, org: str | None,
              ids: DataFrame | None, materialize_dir: str | None = None,
              consistent_paths: bool = False) -> dict[str, DataFrame]:
-    """The six sections of one audit report, keyed by section name.
+    """The six sections of one audit report, keyed by section name; or, with the
+    request of several reports (see ``scope``) as ``ids``, those of all of them, each row
+    tagged with its report: the tables are read and joined once, whatever their number.
 
     Three sections (forms, table questions, files) derive from the same
     answer join tree.  With ``materialize_dir`` (a folder under the shared
     checkpoint location) that tree is computed once and written as parquet,
     and the sections read it back; otherwise each section plans it anew.
     """
-    hot = answer_hot_keys(a, org)
+    hot = answer_hot_keys(a, org, ids=ids)
     fd = forms_data(a, org, ids, hot)
     if materialize_dir:
         path = f"{materialize_dir.rstrip('/')}/forms_data"
@@ -329,7 +418,7 @@ def sections(spark: SparkSession, a: AuditTables, org: str | None,
         fd = spark.read.parquet(path)
     forms = forms_export_from(fd, consistent_paths)
     return {
-        "readme": readme(spark),
+        "readme": readme(spark) if not _tags(fd) else ids.select(*REPORT).distinct().select(*REPORT, *_readme_columns()),
         "forms": form_rows(forms),
         "review_stage": review_stage_export(a, org, ids, hot),
         "chronology": chronology_export(a, org, ids),

@@ -9,8 +9,6 @@ from a global window that would pull every id into one task.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,35 +85,38 @@ def submission_coverage(ids: DataFrame, forms: DataFrame, files: DataFrame) -> D
                     F.coalesce("has_files", F.lit(False)).alias("has_files")))
 
 
-def report_summary(coverage: DataFrame, organization_id: str, report_name: str,
-                   run_ts: str | None = None, report_id: str | None = None,
-                   created_by: str | None = None) -> DataFrame:
-    """The report's status item after a run (one row).
+REPORT = ["organization_id", "report_name"]
+
+
+def report_summary(asked: DataFrame, visited: DataFrame, coverage: DataFrame, run_ts: str | None = None,
+                   report_id: str | None = None, created_by: str | None = None) -> DataFrame:
+    """The status item of each report after a run.
 
-    Every requested id is visited, so processed == total and the status is
-    ``completed`` (ids without form rows still count as processed; see
-    ``submissions_with_forms`` for the real coverage).  ``report_id`` is made
-    once on the driver when not given; ``run_ts`` defaults to now.
+    ``asked`` (organization_id, report_name, position, submission_id) is the request, in its order and with its
+    repeats; ``visited`` has the (organization_id, report_name, position) that the run came to; ``coverage`` has one
+    row per submission id.  The total is the length of the request; an id asked for twice is visited twice.  A
+    report is ``completed`` when as many places were visited as were asked for, else ``incomplete``, with an
+    empty archive name.  Ids without form rows are visited as well; ``submissions_with_forms`` and
+    ``submissions_with_files`` count the different ids that had any.  ``report_id`` is for a single report; otherwise it is
+    a digest of organization, name and ``run_ts`` (default: now).
     """
-    rid = report_id or str(uuid.uuid4())
     ts = F.to_timestamp(F.lit(run_ts)) if run_ts else F.current_timestamp()
     stamp = F.date_format(ts, REPORT_STAMP_FORMAT)
-    agg = coverage.agg(F.count(F.lit(1)).alias("total_submissions"),
-                       F.count_if("has_form_rows").alias("submissions_with_forms"),
-                       F.count_if("has_files").alias("submissions_with_files"))
-    processed = F.col("total_submissions")
+    came = visited.select(*[F.col(c).alias(f"_{c}") for c in (*REPORT, "position")]).distinct().withColumn("_came", F.lit(True))
+    here = [asked[c].eqNullSafe(came[f"_{c}"]) for c in (*REPORT, "position")]
+    seen = asked.join(came, here, "left").select(*REPORT, "submission_id", F.coalesce("_came", F.lit(False)).alias("_came"))
+    ids = (seen.groupBy(*REPORT, "submission_id").agg(F.count(F.lit(1)).alias("_asked"), F.count_if("_came").alias("_visited"))
+           .join(coverage, "submission_id", "left"))
+    agg = ids.groupBy(*REPORT).agg(
+        F.sum("_asked").alias("total_submissions"), F.sum("_visited").alias("processed_submissions"),
+        F.count_if((F.col("_visited") > 0) & F.coalesce("has_form_rows", F.lit(False))).alias("submissions_with_forms"),
+        F.count_if((F.col("_visited") > 0) & F.coalesce("has_files", F.lit(False))).alias("submissions_with_files"))
+    whole = F.col("processed_submissions") == F.col("total_submissions")
+    rid = F.lit(report_id) if report_id else F.md5(F.concat_ws("/", *REPORT, F.date_format(ts, "yyyy-MM-dd HH:mm:ss")))
+    archive = F.concat(F.lit("AuditGrp"), "report_name", stamp, F.lit(".zip"))
     return agg.select(
-        F.lit(organization_id).alias("organization_id"),
-        F.lit(rid).alias("report_id"),
-        F.lit(report_name).alias("report_name"),
-        stamp.alias("created_at"),
-        F.lit(created_by).cast("string").alias("created_by"),
-        F.lit(False).alias("is_deleted"),
-        "total_submissions",
-        processed.alias("processed_submissions"),
-        "submissions_with_forms",
-        "submissions_with_files",
-        F.when(processed == F.col("total_submissions"), F.lit(COMPLETED)).otherwise(F.lit(INCOMPLETE))
-        .alias("status"),
-        F.concat(F.lit("AuditGrp"), F.lit(report_name), stamp, F.lit(".zip")).alias("s3_filename"),
-    )
+        "organization_id", rid.alias("report_id"), "report_name", stamp.alias("created_at"),
+        F.lit(created_by).cast("string").alias("created_by"), F.lit(False).alias("is_deleted"),
+        "total_submissions", "processed_submissions", "submissions_with_forms", "submissions_with_files",
+        F.when(whole, F.lit(COMPLETED)).otherwise(F.lit(INCOMPLETE)).alias("status"),
+        F.when(whole, archive).otherwise(F.lit("")).alias("s3_filename"))

@@ -1,21 +1,26 @@
-"""Report status: an append-only event log folded to the latest state per key.
+"""Report status: an append-only event log folded to the latest item per key.
 
-A key-value status item is updated in place while a report runs (create,
-processed count, percent, completion, deletion).  On Spark the updates are an
-event log — ``(organization_id, report_id, ts, seq, op, num, text)`` — and the
-current item is a fold over it:
+A key-value status item is put when a report begins and updated in place while it runs.  On
+Spark these writes are an event log — ``(organization_id, report_id, ts, seq, op, num, text,
+item)`` — and the current item is a fold over it:
 
-* ``create``   sets report_name (``text``), status ``processing``, processed 0,
-               created_at ``ts``
+* ``create``   puts ``item`` (creator, creation stamp, name, number of ids asked for, archive
+               name): it *replaces* whatever the key had, with status ``processing``,
+               processed 0, not deleted, no percentage and no link
 * ``progress`` sets processed_submissions (``num`` truncated)
 * ``percent``  sets percent_complete (``num``)
-* ``complete`` sets status ``completed`` and s3_filename (``text``)
+* ``complete`` sets status (``text``: ``completed`` or ``incomplete``)
+* ``file``     sets s3_filename (``text``; empty where nothing was delivered)
+* ``link``     sets link (``text``)
 * ``delete``   removes the item; later events rebuild it (an update of a
                missing item creates it, as a key-value store does)
 
-Events are ordered by ``(ts, seq)``.  The fold is one grouped aggregation of
-``max(struct(ts, seq, payload))`` per attribute — associative, so it runs as a
-map-side partial aggregate and a hot key costs one row per partition.
+Events are ordered by ``(ts, seq)``.  An attribute's value is the last one set
+behind the key's last create or delete, else the put item's.  Both are ``max`` of
+a struct that begins with (ts, seq): the last create or delete with its item, and for each
+attribute its last update.  So the fold is one grouped aggregation, associative, a
+map-side partial aggregate in which a hot key costs one row per partition, and
+the state of a streaming aggregation.
 """
 
 from __future__ import annotations
@@ -31,27 +36,29 @@ COMPLETED = "completed"
 INCOMPLETE = "incomplete"
 IN_PROGRESS = "In-Progress"
 
+ITEM = "struct<created_at: string, created_by: string, report_name: string, total_submissions: bigint, s3_filename: string>"
+LOG_SCHEMA = f"organization_id string, report_id string, ts timestamp_ntz, seq bigint, op string, num double, text string, item {ITEM}"
+LOG_COLUMNS = [*KEY, "ts", "seq", "op", "num", "text", "item"]
+#: Attribute -> the event that updates it, and its value there.
+UPDATES = {
+    "processed_submissions": ("progress", F.floor, "num", "bigint"),
+    "percent_complete": ("percent", None, "num", "double"),
+    "status": ("complete", None, "text", "string"),
+    "s3_filename": ("file", None, "text", "string"),
+    "link": ("link", None, "text", "string"),
+}
 
-def _latest(cond: Column, payload: Column) -> Column:
-    return F.max(F.when(cond, F.struct(F.col("ts"), F.col("seq"), payload.alias("v"))))
 
-
-def fold_aggregates(op: Column | None = None) -> list[Column]:
+def fold_aggregates() -> list[Column]:
     """The per-key aggregates of the fold (associative; also usable as the
     state of a streaming aggregation)."""
-    op = F.col("op") if op is None else op
-    return [
-        F.max(F.struct("ts", "seq")).alias("_last"),
-        F.max(F.when(op == "delete", F.struct("ts", "seq"))).alias("_del"),
-        _latest(op == "create", F.col("text")).alias("_name"),
-        _latest(op == "create", F.col("ts")).alias("_created"),
-        _latest(op.isin("create", "complete"),
-                F.when(op == "create", F.lit(PROCESSING)).otherwise(F.lit(COMPLETED))).alias("_status"),
-        _latest(op.isin("create", "progress"),
-                F.when(op == "create", F.lit(0)).otherwise(F.floor("num").cast("int"))).alias("_processed"),
-        _latest(op == "percent", F.col("num")).alias("_percent"),
-        _latest(op == "complete", F.col("text")).alias("_file"),
-    ]
+    op, at = F.col("op"), [F.col("ts"), F.col("seq")]
+    out = [F.max(F.struct(*at)).alias("_last"),
+           F.max(F.when(op.isin("create", "delete"), F.struct(*at, op.alias("op"), F.col("item").alias("item")))).alias("_base")]
+    for name, (event, change, column, kind) in UPDATES.items():
+        value = (change(column) if change else F.col(column)).cast(kind)
+        out.append(F.max(F.when(op == event, F.struct(*at, value.alias("v")))).alias(f"_{name}"))
+    return out
 
 
 def fold(log: DataFrame) -> DataFrame:
@@ -59,35 +66,24 @@ def fold(log: DataFrame) -> DataFrame:
     return log.groupBy(*KEY).agg(*fold_aggregates())
 
 
-def merge_states(states: DataFrame) -> DataFrame:
-    """Combine fold states of the same key (e.g. written at different times).
-
-    Every state column is a ``max`` over the key's events, so the state of a
-    longer log is never smaller; the merge is the column-wise ``max`` (again a
-    map-side partial aggregate)."""
-    cols = [c for c in states.columns if c not in KEY]
-    return states.groupBy(*KEY).agg(*[F.max(c).alias(c) for c in cols])
+def finalize(state: DataFrame) -> DataFrame:
+    """Status items from fold state: keys whose last event is a delete are absent."""
+    base = F.col("_base")
+    put = base.op == "create"
+    begun = {"processed_submissions": F.lit(0).cast("bigint"), "status": F.lit(PROCESSING), "s3_filename": base.item.s3_filename}
 
+    def updated(name: str) -> Column:
+        s = F.col(f"_{name}")
+        later = s.isNotNull() & (base.isNull() | (F.struct(s.ts, s.seq) > F.struct(base.ts, base.seq)))
+        return F.when(later, s.v).when(put, begun.get(name, F.lit(None))).cast(UPDATES[name][3]).alias(name)
 
-def finalize(agg: DataFrame) -> DataFrame:
-    """Status items from fold state: drop keys whose last event is a delete,
-    keep only attribute values set after the last delete."""
-    def after_delete(c: str) -> Column:
-        s = F.col(c)
-        keep = s.isNotNull() & (F.col("_del").isNull() | (F.struct(s.ts, s.seq) > F.col("_del")))
-        return F.when(keep, s.v)
+    def of_item(name: str) -> Column:
+        return F.when(put, base.item[name]).alias(name)
 
-    live = F.col("_del").isNull() | (F.col("_last") > F.col("_del"))
-    return agg.where(live).select(
-        *KEY,
-        after_delete("_name").alias("report_name"),
-        after_delete("_created").alias("created_at"),
-        after_delete("_status").alias("status"),
-        after_delete("_processed").alias("processed_submissions"),
-        after_delete("_percent").alias("percent_complete"),
-        after_delete("_file").alias("s3_filename"),
-        F.col("_last.ts").alias("updated_at"),
-    )
+    gone = (base.op == "delete") & (F.struct("_last.ts", "_last.seq") == F.struct(base.ts, base.seq))
+    return state.where(~F.coalesce(gone, F.lit(False))).select(
+        *KEY, of_item("created_at"), of_item("created_by"), F.when(put, F.lit(False)).alias("is_deleted"), of_item("report_name"),
+        of_item("total_submissions"), *[updated(n) for n in UPDATES], F.col("_last.ts").alias("updated_at"))
 
 
 def latest_status(log: DataFrame) -> DataFrame:
@@ -97,24 +93,30 @@ def latest_status(log: DataFrame) -> DataFrame:
 
 def status_lookup(latest: DataFrame, organization_id: str | None = None,
                   report_id: str | None = None) -> DataFrame:
-    """Items of one organization (optionally one report) with the response a
+    """Items of one organization (optionally one report), whole, with the response a
     caller gets: ``completed`` plus the stored archive key, else ``In-Progress``."""
     df = latest
     if organization_id is not None:
         df = df.where(F.col("organization_id") == organization_id)
     if report_id is not None:
         df = df.where(F.col("report_id") == report_id)
-    done = F.col("status") == COMPLETED
-    return df.select(*KEY, "report_name",
-                     F.when(done, F.lit(COMPLETED)).otherwise(F.lit(IN_PROGRESS)).alias("response_status"),
+    done = F.coalesce(F.col("status") == COMPLETED, F.lit(False))
+    return df.select("*", F.when(done, F.lit(COMPLETED)).otherwise(F.lit(IN_PROGRESS)).alias("response_status"),
                      F.when(done, F.col("s3_filename")).alias("download_key"))
 
 
+def event(df: DataFrame, organization_id: Column, report_id: Column, ts: Column, seq: Column, op: str, num: Column | None = None,
+          text: Column | None = None, item: Column | None = None) -> DataFrame:
+    """One log row for each row of ``df``."""
+    none = F.lit(None)
+    return df.select(organization_id.cast("string").alias("organization_id"), report_id.cast("string").alias("report_id"),
+                     ts.cast("timestamp_ntz").alias("ts"), seq.cast("bigint").alias("seq"), F.lit(op).alias("op"),
+                     (none if num is None else num).cast("double").alias("num"), (none if text is None else text).cast("string").alias("text"),
+                     (none if item is None else item).cast(ITEM).alias("item"))
+
+
 def tombstone(spark, organization_id: str, report_id: str) -> DataFrame:
     """A one-row ``delete`` event for appending to the status log."""
-    return spark.range(1).select(
-        F.lit(organization_id).alias("organization_id"), F.lit(report_id).alias("report_id"),
-        F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.localtimestamp()).alias("ts"),
-        (F.unix_micros(F.current_timestamp()) * 1000).cast("bigint").alias("seq"),
-        F.lit("delete").alias("op"), F.lit(None).cast("double").alias("num"),
-        F.lit(None).cast("string").alias("text"))
+    return event(spark.range(1), F.lit(organization_id), F.lit(report_id),
+                 F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.localtimestamp()),
+                 F.unix_micros(F.current_timestamp()) * 1000, "delete")

@@ -23,11 +23,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import exports, progress, sink
+from ..operators import exports, progress, sink, status
 from ..session import scratch_dir
 from ..sources import objects
 from ..sources.views import AuditTables
-from ..streaming.status_stream import STATUS_LOG_SCHEMA
 
 
 @dataclass
@@ -39,34 +38,35 @@ class AuditRun:
     attachments: DataFrame | None
 
 
-LOG_COLUMNS = [c.split()[0] for c in STATUS_LOG_SCHEMA.split(", ")]
-
-
-def status_events(summary: DataFrame, run_ts: str, organization_id: str, report_id: str,
-                  progress_df: DataFrame | None = None) -> DataFrame:
-    """Status events of a finished run, ordered by ``seq``: create; with
-    ``progress_df`` (from ``batch_progress``) a processed-count and a percent
-    event per submission in processing order; the final count; completion."""
+def status_events(summary: DataFrame, run_ts: str, progress_df: DataFrame | None = None, organization_id: str | None = None,
+                  report_id: str | None = None) -> DataFrame:
+    """Status events of finished runs, ordered by ``seq``: the put of the item; with
+    ``progress_df`` (from ``batch_progress``, of the one report with these ids) a
+    processed-count and a percent event per submission in processing order; the
+    final count; status, archive name and, for a completed report, its link."""
     ts = F.to_timestamp_ntz(F.lit(run_ts))                   # UTC, as the tombstones' clock
     base = (F.unix_micros(F.current_timestamp()) * 1000).cast("bigint")
     end = F.lit(1 << 40)
+    stamp_name = F.concat(F.lit("AuditGrp"), "report_name", "created_at", F.lit(".zip"))
+    item = F.struct("created_at", "created_by", "report_name", "total_submissions", stamp_name.alias("s3_filename"))
 
-    def ev(df, order, op, num, text):
-        return df.select(F.lit(organization_id).alias("organization_id"), F.lit(report_id).alias("report_id"),
-                         ts.alias("ts"), (base + order).alias("seq"), F.lit(op).alias("op"),
-                         num.cast("double").alias("num"), text.cast("string").alias("text"))
+    def ev(df, order, op, num=None, text=None, item=None, key=(F.col("organization_id"), F.col("report_id"))):
+        return status.event(df, *key, ts, base + order, op, num, text, item)
 
-    parts = [ev(summary, F.lit(0), "create", F.lit(None), F.col("report_name"))]
+    parts = [ev(summary, F.lit(0), "create", item=item)]
     if progress_df is not None:
         n = F.col("processed_total")
-        parts.append(ev(progress_df, n * 2 + 1, "progress", n, F.lit(None)))
-        parts.append(ev(progress_df, n * 2 + 2, "percent", F.col("percent_processed"), F.lit(None)))
-    parts.append(ev(summary, end, "progress", F.col("processed_submissions"), F.lit(None)))
-    parts.append(ev(summary, end + 1, "complete", F.lit(None), F.col("s3_filename")))
+        key = (F.lit(organization_id), F.lit(report_id))
+        parts.append(ev(progress_df, n * 2 + 1, "progress", n, key=key))
+        parts.append(ev(progress_df, n * 2 + 2, "percent", F.col("percent_processed"), key=key))
+    parts.append(ev(summary, end, "progress", F.col("processed_submissions")))
+    parts.append(ev(summary, end + 1, "complete", text=F.col("status")))
+    parts.append(ev(summary, end + 2, "file", text=F.col("s3_filename")))
+    parts.append(ev(summary.where(F.col("status") == status.COMPLETED), end + 3, "link", text=F.col("s3_filename")))
     out = parts[0]
     for x in parts[1:]:
         out = out.unionByName(x)
-    return out.select(*LOG_COLUMNS)
+    return out
 
 
 def run_audit_report(spark: SparkSession, a: AuditTables, organization_id: str, report_name: str,
@@ -97,13 +97,13 @@ def run_audit_report(spark: SparkSession, a: AuditTables, organization_id: str,
     order = ("position",) if "position" in ids.columns else ("submission_id",)
     progress.batch_progress(ids, order_by=order).write.mode("overwrite").parquet(f"{root}/progress")
     progress_df = spark.read.parquet(f"{root}/progress")
-    summary = progress.report_summary(spark.read.parquet(f"{root}/coverage"), organization_id,
-                                      report_name, run_ts=run_ts, report_id=report_id)
+    visited = progress_df.select(F.lit(organization_id).alias("organization_id"), F.lit(report_name).alias("report_name"),
+                                 F.col("processed_total").alias("position"), "submission_id")
+    summary = progress.report_summary(visited, visited, spark.read.parquet(f"{root}/coverage"), run_ts=run_ts, report_id=report_id)
     summary.write.mode("overwrite").parquet(f"{root}/summary")
     summary = spark.read.parquet(f"{root}/summary")
     if status_log_dir:
-        (status_events(summary, run_ts, organization_id, report_id, progress_df)
-         .write.mode("append").parquet(status_log_dir))
+        status_events(summary, run_ts, progress_df, organization_id, report_id).write.mode("append").parquet(status_log_dir)
     return AuditRun(report_id, folder, archives, summary, attachments)
 
 

@@ -8,7 +8,6 @@ job that finds hot keys (a bounded list); the two sinks (``csv_fanout``,
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,24 +17,17 @@ from pyspark.sql import functions as F
 from ..functions.scalars import csv_path, multi_replace, submission_id_from_path
 from ..operators import commerce, exports, progress, sink, skew, status
 from ..session import scratch_dir
-from ..sources import objects, requests, tables, views
+from ..sources import requests, tables, views
 from ..streaming import status_stream
 
-# Parameters of the registered audit report (one report over every submission
-# of one organization).
+# Parameters of the registered audit report (over every submission of one
+# organization).
 ORG = "1"
-REPORT_NAME = "all submissions"
 RUN_TS = "2024-01-31 17:05:00"
-REPORT_ID = str(uuid.uuid5(uuid.NAMESPACE_URL, f"quire/{ORG}/{REPORT_NAME}/{RUN_TS}"))
 
 # Literal substitution applied to document texts: overlapping keys (first
 # listed wins at a position) and a replacement that contains another key
 # (never rescanned).
-# Object store of the registered attachment queries: every document text is
-# uploaded as <source>/k/<doc_id>, except documents in this language, which
-# are never uploaded (their attachments come back as missing).
-NOT_UPLOADED_LANG = "de"
-
 SUBSTITUTIONS = [("the", "THE"), ("th", "TH"), ("he", "she"), ("and", "&"), (". ", ".|")]
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,8 +61,8 @@ def scan_org_filter(spark, t, a, org, ids):
 
 @_audit
 def request_ids_semi(spark, t, a, org, ids):
-    docs = requests.requests_from_orders(t.orders, org, "all submissions")
-    req = requests.request_ids(requests.parse_requests(docs))
+    """Answers that some customer's request names: documents of one id or of several, some of which no submission has."""
+    req = requests.request_ids(requests.parse_requests(requests.requests_from_customers(t.customer)))
     keys = ["organization_id", "submission_id"]
     req = req.select(*[F.col(k).alias("req_" + k) for k in keys])
     return skew.salted_join(a.answers, req, [(k, "req_" + k) for k in keys], "left_semi",
@@ -182,8 +174,14 @@ def submission_coverage(spark, t, a, org, ids):
 
 @_audit
 def report_summary(spark, t, a, org, ids):
-    return progress.report_summary(_coverage(a, org, ids), org, REPORT_NAME, run_ts=RUN_TS,
-                                   report_id=REPORT_ID)
+    """One report for each order priority, asking for every tenth id twice; the runs of the urgent ones came to all of their
+    ids, the others stopped short of pending orders."""
+    turns = F.when(F.col("o_orderkey") % 10 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    asked = t.orders.select(F.lit(org).alias("organization_id"), F.col("o_orderpriority").alias("report_name"), F.col("o_orderkey").alias("submission_id"),
+                            F.explode(turns).alias("turn"), F.col("o_orderstatus").alias("state"))
+    asked = asked.withColumn("position", F.col("submission_id") * 2 + F.col("turn"))
+    visited = asked.where((F.col("state") != "P") | F.col("report_name").isin("1-URGENT", "2-HIGH"))
+    return progress.report_summary(asked, visited, _coverage(a, org, ids), run_ts=RUN_TS)
 
 
 def _sections(spark, a, org, ids):
@@ -199,31 +197,29 @@ def csv_fanout(spark, t, a, org, ids):
 
 @_audit
 def submission_archives(spark, t, a, org, ids):
-    """The committed manifest of a real write: one archive per submission, the readme in each."""
-    m = sink.write_archives(spark, _sections(spark, a, org, ids), scratch_dir(spark, "zip"),
-                            readme=("Audit_Folder/readme.csv", exports.README_TEXT))
-    return m.select(F.regexp_extract("file", r"Audit_(\d+)\.zip$", 1).cast("bigint").alias("submission_id"), "entries", "rows")
-
-
-def _object_store(spark: SparkSession, t, uploaded) -> str:
-    root = scratch_dir(spark, "objects")
-    objects.put_objects(spark, objects.documents_as_objects(t.documents, uploaded), root)
-    return root
+    """The committed manifest of a real write: one archive per submission, with the readme and the files its answers name."""
+    sections = _sections(spark, a, org, ids)
+    m = sink.write_archives(spark, sections, scratch_dir(spark, "zip"), readme=("Audit_Folder/readme.csv", exports.README_TEXT),
+                            attachments=exports.attachments(sections["files"], views.file_contents(t)))
+    return m.select(F.regexp_extract("file", r"Audit_(\d+)\.zip$", 1).cast("bigint").alias("submission_id"), "entries", "rows",
+                    "attachments", "attached_bytes")
 
 
 @_audit
 def attachment_fetch(spark, t, a, org, ids):
-    root = _object_store(spark, t, F.col("lang") != NOT_UPLOADED_LANG)
-    fm = exports.files_manifest(a, org, ids).select(
-        "submission_id", "file_id", "bucket_name", "storage_key", "folder_directory")
-    return objects.fetch_attachments(spark, fm, root).select(
-        "submission_id", "file_id", "bucket_name", "storage_key", "destination_path", "status", "length")
+    """Every answer's file: where it is and how long, or that there is none."""
+    refs = exports.file_references(a, org, ids)
+    sizes = views.file_contents(t).select(F.col("file_id").cast("string").alias("_id"), F.octet_length("content").cast("bigint").alias("length"))
+    hot = exports.answer_hot_keys(a, org, [["sub_field_id"]])[("sub_field_id",)]
+    j = skew.salted_join(refs, sizes, [("sub_field_id", "_id")], "left", hot)
+    return j.select("submission_id", "sub_field_id", "file_id", "bucket_name", "storage_key", "destination_path", "status", "length")
 
 
 def object_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every object's place and size, from the metadata of the files and their contents."""
     t = tables.load(spark, sf_dir)
-    root = _object_store(spark, t, F.lit(True))
-    return objects.list_objects(spark, root).select("bucket_name", "storage_key", "length")
+    sizes = views.file_contents(t).select("file_id", F.octet_length("content").cast("bigint").alias("length"))
+    return views.files(t).join(sizes, F.col("id") == F.col("file_id")).select("bucket_name", "storage_key", "length")
 
 
 QUERIES: dict[str, Query] = {
@@ -249,6 +245,7 @@ QUERIES: dict[str, Query] = {
     "missing_items_by_month": _commerce(commerce.missing_items_by_month),
     "customer_region_profile": _commerce(commerce.customer_region_profile),
     "delivery_lag": _commerce(commerce.delivery_lag),
+    "delivery_estimate": _commerce(commerce.delivery_estimate),
     "dictionary_substitute": dictionary_substitute,
     "report_status_latest": report_status_latest,
     "report_status_lookup": report_status_lookup,

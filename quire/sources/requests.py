@@ -59,14 +59,18 @@ def invalid_ids(requests: DataFrame) -> DataFrame:
     return _items(requests).where(F.trim("text").try_cast("bigint").isNull())
 
 
-def requests_from_orders(orders: DataFrame, org: str, report_name: str) -> DataFrame:
-    """Request documents derived from an order table, one per order.
+def requests_from_customers(customers: DataFrame) -> DataFrame:
+    """Request documents derived from a customer table, one per customer.
 
-    Odd keys are written as a scalar, even keys as a one-element list, so both
-    document forms are exercised.
+    Customers of one nation ask for one report of organization ``nation key mod 3``.  Odd
+    customers ask with a scalar, even ones with a list that names an id as text, one
+    twice, and one that no submission has.
     """
-    key = F.col("o_orderkey").cast("string")
-    ids = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("["), key, F.lit("]"))).otherwise(key)
-    head = F.to_json(F.struct(F.lit(org).alias("organization_id"), F.lit(report_name).alias("report_name")))
+    key = F.col("c_custkey")
+    several = F.concat(F.lit("["), (key * 3).cast("string"), F.lit(', "'), (key * 7 + 1).cast("string"), F.lit('", '),
+                       (key + 1_000_000_000).cast("string"), F.lit(", "), (key * 3).cast("string"), F.lit("]"))
+    ids = F.when(key % 2 == 0, several).otherwise((key * 3).cast("string"))
+    report = F.concat(F.lit("nation "), F.col("c_nationkey").cast("string"))
+    head = F.to_json(F.struct((F.col("c_nationkey") % 3).cast("string").alias("organization_id"), report.alias("report_name")))
     doc = F.concat(F.regexp_replace(head, "}$", ""), F.lit(', "submission_ids": '), ids, F.lit("}"))
-    return orders.select(doc.alias("doc"))
+    return customers.select(doc.alias("doc"))

@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import REPORT_STAMP_FORMAT
+from ..operators.status import ITEM
 from .tables import Tables
 
 
@@ -39,11 +41,15 @@ class AuditTables:
 
 def answers(t: Tables) -> DataFrame:
     li = t.lineitem
-    kind = li.l_linenumber % 4
-    value = (F.when(kind == 0, F.concat(F.lit('{"value":"'), li.l_returnflag, F.lit('"}')))
+    kind, amount = li.l_linenumber % 4, li.l_quantity.cast("int").cast("string")
+    items = F.concat(F.lit('[{"cost":'), amount, F.lit(',"item":"'), li.l_returnflag, F.lit('"},{"cost":"'), amount,
+                     F.lit('.25","item":"'), li.l_linestatus, F.lit('"},"loose"]'))
+    value = (F.when(li.l_linenumber == 7, items)
+             .when(li.l_linenumber == 6, F.lit("[]"))
+             .when(kind == 0, F.concat(F.lit('{"value":"'), li.l_returnflag, F.lit('"}')))
              .when(kind == 1, li.l_linestatus)
              .when(kind == 2, F.lit('{"value"'))
-             .otherwise(F.lit('{"other":1}')))
+             .otherwise(F.lit('{"item":"other","cost":1}')))
     return li.select(
         li.l_orderkey.alias("submission_id"),
         _org(li.l_partkey).alias("organization_id"),
@@ -128,9 +134,10 @@ def history_mail(t: Tables) -> DataFrame:
 
 
 def files(t: Tables) -> DataFrame:
+    """One file per document; ids leave gaps, so many answers name no file."""
     d = t.documents
     return d.select(
-        d.doc_id.alias("id"),
+        (d.doc_id * 3).alias("id"),
         F.concat(d.source, F.lit("_"), d.doc_id.cast("string"), F.lit(".pdf")).alias("file_name"),
         d.n_chars.alias("file_size_bytes"),
         d.source.alias("bucket_name"),
@@ -138,6 +145,12 @@ def files(t: Tables) -> DataFrame:
     )
 
 
+def file_contents(t: Tables) -> DataFrame:
+    """(file_id, content): the bytes of each file are its document's text."""
+    d = t.documents
+    return d.select((d.doc_id * 3).alias("file_id"), F.encode(d.text, "UTF-8").alias("content"))
+
+
 def audit_tables(t: Tables) -> AuditTables:
     return AuditTables(answers(t), fields(t), options(t), contexts(t), users(t),
                        history(t), history_mail(t), files(t))
@@ -149,30 +162,37 @@ def all_submission_ids(t: Tables) -> DataFrame:
 
 
 def status_log(t: Tables) -> DataFrame:
-    """Report-status events: one row per change to a report's status item.
+    """Report-status events (see ``quire.operators.status``): one report per user of the event table.
 
-    Key: (organization_id, report_id); order: (ts, seq).  ``op`` is one of
-    create / progress / percent / complete / delete; ``num`` and ``text`` carry
-    the new attribute value (see ``quire.operators.status``).
+    A signup puts the report's item, a click sets its processed count, a view its percentage, an
+    error deletes it.  A purchase ends the run: every third leaves it ``incomplete``, with an empty
+    archive name; the others set status, archive name and link.
     """
     e = t.events
-    op = (F.when(e.event_type == "signup", "create")
-          .when(e.event_type == "click", "progress")
-          .when(e.event_type == "view", "percent")
-          .when(e.event_type == "purchase", "complete")
-          .when(e.event_type == "error", "delete"))
     rid = F.concat(F.lit("r"), e.user_id.cast("string"))
-    text = (F.when(e.event_type == "signup", F.concat(F.lit("Report "), e.user_id.cast("string")))
-            .when(e.event_type == "purchase", F.concat(F.lit("AuditGrp_"), rid, F.lit(".zip"))))
-    return e.select(
-        _org(e.user_id).alias("organization_id"),
-        rid.alias("report_id"),
-        e.ts.alias("ts"),
-        e.event_id.alias("seq"),
-        op.alias("op"),
-        e.value.alias("num"),
-        text.alias("text"),
-    )
+    name = F.concat(F.lit("Report "), e.user_id.cast("string"))
+    stamp = F.date_format(e.ts, REPORT_STAMP_FORMAT)
+    archive = F.concat(F.lit("AuditGrp"), name, stamp, F.lit(".zip"))
+    item = F.struct(stamp.alias("created_at"), F.concat(F.lit("u"), e.user_id.cast("string"), F.lit("@example.com")).alias("created_by"),
+                    name.alias("report_name"), F.floor(e.value).alias("total_submissions"), archive.alias("s3_filename"))
+    none = F.lit(None)
+
+    def ev(order: int, op: str, num=none, text=none, item=none) -> Column:
+        return F.struct(F.lit(order).alias("n"), F.lit(op).alias("op"), num.cast("double").alias("num"), text.cast("string").alias("text"),
+                        item.cast(ITEM).alias("item"))
+
+    failed = e.event_id % 3 == 0
+    ended = F.when(failed, F.array(ev(0, "complete", text=F.lit("incomplete")), ev(1, "file", text=F.lit("")))).otherwise(
+        F.array(ev(0, "complete", text=F.lit("completed")), ev(1, "file", text=archive),
+                ev(2, "link", text=F.concat(F.lit("store/"), archive))))
+    events = (F.when(e.event_type == "signup", F.array(ev(0, "create", item=item)))
+              .when(e.event_type == "click", F.array(ev(0, "progress", num=e.value)))
+              .when(e.event_type == "view", F.array(ev(0, "percent", num=e.value)))
+              .when(e.event_type == "error", F.array(ev(0, "delete")))
+              .when(e.event_type == "purchase", ended))
+    one = e.select(_org(e.user_id).alias("organization_id"), rid.alias("report_id"), e.ts.alias("ts"), e.event_id.alias("_id"),
+                   F.explode(events).alias("e"))
+    return one.select("organization_id", "report_id", "ts", (F.col("_id") * 4 + F.col("e.n")).alias("seq"), "e.op", "e.num", "e.text", "e.item")
 
 
 # ------------------------------------------------------------- commerce model

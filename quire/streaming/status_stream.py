@@ -1,163 +1,54 @@
 """Structured Streaming fold of the report-status log.
 
-Status events arrive as parquet files in a log folder.  A streaming
-aggregation keeps the fold state per (organization_id, report_id) in Spark's
-state store (checkpointed, so a restarted query resumes exactly where it
-stopped), and emits, in update mode, the full fold state of the keys that each
-micro-batch changed.  ``foreachBatch`` appends them to a log-structured table:
-
-    <table>/d=<epoch>/   state of the keys changed by that micro-batch
-    <table>/c=<epoch>/   compacted state of every key as of that epoch
-    <table>/_latest      text file naming the last committed epoch
-    <table>/_compacted   text file naming the last compacted epoch
-
-A micro-batch writes only its changed keys (cost grows with the batch, not
-with the table), then moves ``_latest``.  Replaying an epoch after a failure
-rewrites the same ``d=<epoch>``; readers never look past ``_latest``, so the
-table is exactly-once.  Every ``compact_every`` epochs the deltas are folded
-into ``c=<epoch>`` (then ``_compacted`` moves), which bounds how many deltas a
-reader merges; deltas up to the previous compaction and older compactions
-are then removed, so storage and listings stay bounded.  A reader takes the last compaction plus the later committed
-deltas and merges them per key with ``status.merge_states`` — a column-wise
-``max``, exact because every state column only grows as events arrive.
+Status events arrive as parquet files in a log folder.  A streaming aggregation
+keeps the fold state per (organization_id, report_id) in Spark's state store, under the
+query's checkpoint; a restarted query resumes exactly where it stopped.  The
+state *is* the table of items: ``read_items`` reads it with Spark's state-store
+reader as of the last committed micro-batch, so nothing else is written, and a
+micro-batch costs what its own events cost.
 """
 
 from __future__ import annotations
 
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import status
-from ..sources import fs as qfs
-
-STATUS_LOG_SCHEMA = ("organization_id string, report_id string, ts timestamp_ntz, seq bigint, "
-                     "op string, num double, text string")
-
-COMPACT_EVERY = 20      # micro-batches between compactions
-
-
-def _read_marker(table: str, name: str) -> int | None:
-    fsys, base = qfs.resolve(table)
-    path = f"{base}/{name}"
-    if fsys.get_file_info(path).type.name == "NotFound":
-        return None
-    with fsys.open_input_stream(path) as f:
-        return int(f.read().decode().strip())
-
-
-def _set_marker(table: str, name: str, epoch: int) -> None:
-    fsys, base = qfs.resolve(table)
-    tmp = f"{base}/{name}.tmp"
-    with fsys.open_output_stream(tmp) as f:
-        f.write(str(epoch).encode())
-    fsys.move(tmp, f"{base}/{name}")
-
-
-def _delta_epochs(table: str) -> list[int]:
-    """Epochs that have a delta folder (a listing of the table folder)."""
-    fsys, base = qfs.resolve(table)
-    infos = fsys.get_file_info(pafs.FileSelector(base, allow_not_found=True))
-    names = (i.base_name for i in infos if i.type == pafs.FileType.Directory)
-    return sorted(int(n[2:]) for n in names if n.startswith("d=") and n[2:].isdigit())
-
-
-def _state_schema(spark: SparkSession):
-    empty = spark.createDataFrame([], STATUS_LOG_SCHEMA)
-    return status.fold(empty).schema
-
-
-def _state_as_of(spark: SparkSession, table: str, epoch: int) -> DataFrame:
-    """Merged fold state of every key as of committed ``epoch``."""
-    root = table.rstrip("/")
-    compacted = _read_marker(table, "_compacted")
-    base = -1 if compacted is None or compacted > epoch else compacted
-    paths = ([f"{root}/c={base}"] if base >= 0 else []) + \
-        [f"{root}/d={e}" for e in _delta_epochs(table) if base < e <= epoch]
-    if not paths:
-        return spark.createDataFrame([], _state_schema(spark))
-    parts = spark.read.schema(_state_schema(spark)).parquet(*paths)
-    return status.merge_states(parts)
-
-
-def read_state(spark: SparkSession, table: str) -> DataFrame | None:
-    epoch = _read_marker(table, "_latest")
-    if epoch is None:
-        return None
-    return _state_as_of(spark, table, epoch)
-
-
-def read_status_table(spark: SparkSession, table: str) -> DataFrame:
-    """Current status items (deleted keys absent) from the streamed table."""
-    state = read_state(spark, table)
-    if state is None:
-        raise FileNotFoundError(f"no committed epoch under {table}")
-    return status.finalize(state)
-
-
-def _upsert(table: str, compact_every: int):
-    root = table.rstrip("/")
-
-    def run(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        latest = _read_marker(table, "_latest")
-        if latest is not None and latest >= epoch:
-            return                      # epoch already committed (replay)
-        batch.write.mode("overwrite").parquet(f"{root}/d={epoch}")
-        _set_marker(table, "_latest", epoch)
-        if compact_every and epoch > 0 and epoch % compact_every == 0:
-            prev = _read_marker(table, "_compacted")
-            _state_as_of(spark, table, epoch).write.mode("overwrite").parquet(f"{root}/c={epoch}")
-            _set_marker(table, "_compacted", epoch)
-            if prev is not None:
-                _drop_before(table, prev)
-    return run
-
-
-def _drop_before(table: str, prev: int) -> None:
-    """Retention: deltas up to compaction ``prev`` and compactions older
-    than it.  A reader that took the ``prev`` marker reads only later deltas,
-    so only a reader slower than two compaction intervals could miss data."""
-    fsys, base = qfs.resolve(table)
-    infos = fsys.get_file_info(pafs.FileSelector(base, allow_not_found=True))
-    for i in infos:
-        n = i.base_name
-        if i.type != pafs.FileType.Directory or not n[2:].isdigit():
-            continue
-        e = int(n[2:])
-        if (n.startswith("d=") and e <= prev) or (n.startswith("c=") and e < prev):
-            fsys.delete_dir(f"{base}/{n}")
 
 
-def start_status_fold(spark: SparkSession, log_dir: str, table: str, checkpoint: str,
-                      files_per_batch: int | None = None, available_now: bool = True,
-                      compact_every: int = COMPACT_EVERY):
+def start_status_fold(spark: SparkSession, log_dir: str, checkpoint: str, files_per_batch: int | None = None, available_now: bool = True):
     """Start the streaming fold; returns the StreamingQuery."""
-    reader = spark.readStream.schema(STATUS_LOG_SCHEMA)
+    reader = spark.readStream.schema(status.LOG_SCHEMA)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    events = reader.parquet(log_dir)
-    agg = events.groupBy(*status.KEY).agg(*status.fold_aggregates())
-    w = (agg.writeStream.outputMode("update").foreachBatch(_upsert(table, compact_every))
-         .option("checkpointLocation", checkpoint))
+    state = reader.parquet(log_dir).groupBy(*status.KEY).agg(*status.fold_aggregates())
+    w = state.writeStream.outputMode("update").format("noop").option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
 
 
-def write_log(log: DataFrame, log_dir: str, files: int = 6) -> None:
-    """Append a status log as ``files`` parquet files, ordered by time."""
-    log.repartitionByRange(files, "ts", "seq").write.mode("append").parquet(log_dir)
+def read_items(spark: SparkSession, checkpoint: str, batch: int | None = None) -> DataFrame:
+    """Current status items (deleted keys absent), as of the last committed micro-batch or of ``batch``."""
+    reader = spark.read.format("statestore")
+    if batch is not None:
+        reader = reader.option("batchId", batch)
+    store = reader.load(checkpoint)
+    wanted = status.fold(spark.createDataFrame([], status.LOG_SCHEMA)).schema
+    values = [f for f in wanted.fields if f.name not in status.KEY]
+    # the store names aggregates in its own way; their order is that of the fold
+    names = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in values)
+    named = store.select("key.*", store["value"].cast(f"struct<{names}>").alias("v"))
+    return status.finalize(named.select(*status.KEY, "v.*"))
 
 
-def fold_log_stream(spark: SparkSession, log: DataFrame, root: str, files: int = 6) -> DataFrame:
-    """Write ``log`` as a file stream, fold it with the streaming job (one
-    file per micro-batch) and return the resulting status items."""
+def fold_log_stream(spark: SparkSession, log: DataFrame, root: str) -> DataFrame:
+    """Write ``log`` as files, fold them with the streaming job and return the resulting status items."""
     root = root.rstrip("/")
-    write_log(log, f"{root}/log", files)
-    q = start_status_fold(spark, f"{root}/log", f"{root}/table", f"{root}/checkpoint", files_per_batch=1)
+    log.write.mode("append").parquet(f"{root}/log")
+    q = start_status_fold(spark, f"{root}/log", f"{root}/checkpoint")
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
-    return read_status_table(spark, f"{root}/table")
+    return read_items(spark, f"{root}/checkpoint")
 
 
-__all__ = ["start_status_fold", "read_status_table", "fold_log_stream", "write_log"]
+__all__ = ["start_status_fold", "read_items", "fold_log_stream"]

@@ -1,58 +1,32 @@
 """Streaming status fold: restart from the checkpoint after new log files
 arrive and end with the same items as the batch fold of the whole log."""
 
-import datetime as dt
 import os
 
 from quire.operators import status
 from quire.streaming import status_stream
 
-
-def _log(spark, events):
-    rows = [("o", r, dt.datetime(2024, 1, 1, 0, 0, s), s, op, num, text) for r, s, op, num, text in events]
-    return spark.createDataFrame(rows, status_stream.STATUS_LOG_SCHEMA)
+from .test_status_progress import log_of
 
 
 def _items(df):
-    return sorted(tuple(r) for r in df.collect())
+    return sorted((tuple(r) for r in df.collect()), key=str)
 
 
 def test_incremental_fold_matches_batch(spark, scratch):
-    first = _log(spark, [("a", 1, "create", None, "A"), ("a", 2, "progress", 1.0, None),
-                         ("b", 3, "create", None, "B")])
-    second = _log(spark, [("a", 4, "complete", None, "a.zip"), ("b", 5, "delete", None, None),
-                          ("c", 6, "progress", 2.0, None)])
-    log_dir, table, ckpt = (os.path.join(scratch, x) for x in ("log", "table", "ckpt"))
-    status_stream.write_log(first, log_dir, files=2)
-    q = status_stream.start_status_fold(spark, log_dir, table, ckpt, files_per_batch=1)
-    q.awaitTermination()
-    got1 = _items(status_stream.read_status_table(spark, table))
-    assert got1 == _items(status.latest_status(first))
-    status_stream.write_log(second, log_dir, files=2)
-    q = status_stream.start_status_fold(spark, log_dir, table, ckpt, files_per_batch=1)
-    q.awaitTermination()
-    got2 = _items(status_stream.read_status_table(spark, table))
-    assert got2 == _items(status.latest_status(first.unionByName(second)))
-    assert {r[1] for r in got2} == {"a", "c"}
-
-
-def test_delta_table_compacts_and_matches_batch(spark, scratch):
-    """Micro-batches write only their changed keys; with compaction every 2
-    epochs the merged table still equals the batch fold of the whole log."""
-    events = [("a", 1, "create", None, "A"), ("b", 2, "create", None, "B"),
-              ("a", 3, "progress", 1.0, None), ("c", 4, "create", None, "C"),
-              ("b", 5, "delete", None, None), ("a", 6, "percent", 50.0, None),
-              ("c", 7, "complete", None, "c.zip"), ("b", 8, "progress", 3.0, None)]
-    log = _log(spark, events)
-    log_dir, table, ckpt = (os.path.join(scratch, x) for x in ("log5", "table5", "ckpt5"))
-    status_stream.write_log(log, log_dir, files=5)
-    q = status_stream.start_status_fold(spark, log_dir, table, ckpt, files_per_batch=1, compact_every=2)
-    q.awaitTermination()
-    names = set(os.listdir(table))
-    # compactions at epochs 2 and 4; retention dropped deltas 0-2 (covered by c=2)
-    assert {"c=2", "c=4", "_compacted", "_latest"} <= names
-    assert sorted(n for n in names if n.startswith("d=")) == ["d=3", "d=4"]
-    # a delta holds only the keys its micro-batch touched
-    assert spark.read.parquet(os.path.join(table, "d=3")).count() < 3
-    got = _items(status_stream.read_status_table(spark, table))
-    assert got == _items(status.latest_status(log))
+    first = log_of(spark, [("a", 1, "create", None, None, "A"), ("a", 2, "progress", 1.0), ("b", 3, "create", None, None, "B")])
+    second = log_of(spark, [("a", 4, "complete", None, "completed"), ("a", 4, "file", None, "a.zip"), ("b", 5, "delete"), ("c", 6, "progress", 2.0)])
+    third = log_of(spark, [("a", 7, "create", None, None, "A2"), ("d", 8, "percent", 3.0)])
+    log_dir, ckpt = (os.path.join(scratch, x) for x in ("log", "ckpt"))
+    whole, seen = None, []
+    for part in (first, second, third):
+        part.repartition(2).write.mode("append").parquet(log_dir)
+        q = status_stream.start_status_fold(spark, log_dir, ckpt, files_per_batch=1)
+        q.awaitTermination()
+        assert q.exception() is None
+        whole = part if whole is None else whole.unionByName(part)
+        seen.append(_items(status_stream.read_items(spark, ckpt)))
+        assert seen[-1] == _items(status.latest_status(whole))
+    assert {r[1] for r in seen[1]} == {"a", "c"} and {r[1] for r in seen[2]} == {"a", "c", "d"}
+    assert _items(status_stream.read_items(spark, ckpt, batch=q.lastProgress["batchId"])) == seen[2]
+    assert sorted(os.listdir(scratch)) == ["ckpt", "log"]        # the state store is the only table
