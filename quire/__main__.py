@@ -57,9 +57,7 @@ def main(argv: list[str] | None = None) -> int:
             df.write.format("noop").mode("overwrite").save()
         return 0
     if args.cmd == "audit":
-        from pyspark.sql import functions as F
-
-        from .plans.audit import run_audit_report
+        from .plans.audit import run_audit_reports
         from .sources import requests, tables, views
 
         t = tables.load(spark, args.data)
@@ -68,14 +66,10 @@ def main(argv: list[str] | None = None) -> int:
         if wrong:
             print("not submission ids:", *[f"{r.report_name}[{r.position}]={r.text!r}" for r in wrong], file=sys.stderr)
             return 1
-        # one report for each request document: the documents are the command's arguments
-        for head in req.select("organization_id", "report_name").distinct().collect():
-            same = [F.col(c).eqNullSafe(head[c]) for c in ("organization_id", "report_name")]
-            ids = requests.request_ids(req).where(same[0] & same[1]).select("position", "submission_id")
-            run = run_audit_report(spark, views.audit_tables(t), head.organization_id, head.report_name, ids,
-                                   args.out, objects_root=args.objects, status_log_dir=args.status_log)
-            run.summary.show(truncate=False)
-            print(f"report {run.report_id}: {run.folder.count()} csv files, {run.archives.count()} archives")
+        run = run_audit_reports(spark, views.audit_tables(t), requests.request_ids(req), args.out, objects_root=args.objects,
+                                status_log_dir=args.status_log)
+        run.summary.show(truncate=False)
+        print(f"run {run.report_id}: {run.folder.count()} csv files, {run.archives.count()} archives")
         return 0
     if args.cmd == "delete":
         from .operators import status

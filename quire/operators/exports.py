@@ -57,16 +57,19 @@ def scope(df: DataFrame, org: str | None = None, ids: DataFrame | None = None,
     """Organization equality filter and request-id semi-join; ``hot`` (hot
     submission ids of ``df`` from ``skew.hot_keys``) salts the semi-join.
 
-    ``ids`` with ``REPORT`` columns is the request of several reports, of any organizations: rows are
-    joined to the reports that ask for them, once for all reports, and tagged with ``report_name``.  The
-    request's side (submission ids are positive numbers) is small beside the facts, so Spark builds a Bloom filter of
-    its ids at run time and applies it in the scan.  ``hot`` is then keyed by organization and submission."""
+    ``ids`` with ``REPORT`` columns is the request of several reports, of any organizations: rows that any
+    report asks for are kept, once for all reports, and then joined to the reports that ask for them (on the
+    same keys, so nothing is shuffled again) and tagged with ``report_name``.  Requests at rest
+    (``requests.at_rest``) are small beside the facts: Spark builds a Bloom filter of their ids at run time and
+    applies it to the scan, so that few facts are shuffled.  ``hot`` is then keyed by organization and submission."""
     if org is not None:
         df = df.where(F.col(org_col) == F.lit(org))
     if ids is not None and _tags(ids):
-        wanted = ids.where(F.col("submission_id") > 0).select(
-            F.col("organization_id").alias("_req_org"), "report_name", F.col("submission_id").alias("_req_id")).distinct()
-        return skew.salted_join(df, wanted, [(org_col, "_req_org"), (id_col, "_req_id")], "inner", hot).drop("_req_org", "_req_id")
+        asked = ids.select(F.col("organization_id").alias("_req_org"), F.col("submission_id").alias("_req_id"))
+        pairs = [(org_col, "_req_org"), (id_col, "_req_id")]
+        df = skew.salted_join(df, asked, pairs, "left_semi", hot)
+        wanted = ids.select(F.col("organization_id").alias("_req_org"), "report_name", F.col("submission_id").alias("_req_id")).distinct()
+        return skew.salted_join(df, wanted, pairs, "inner", hot).drop("_req_org", "_req_id")
     if ids is not None:
         req = ids.select(F.col("submission_id").alias("_req_id"))
         df = skew.salted_join(df, req, [(id_col, "_req_id")], "left_semi", hot)
@@ -377,16 +380,17 @@ def submissions_with_rows(a: AuditTables, org: str | None,
     answers ⋉ fields; "has files" is that ⋉ files on the sub-field id.  Both
     semi-joins are salted on hot keys like the export joins.
     """
-    hot = answer_hot_keys(a, org, [["field_id"], ["sub_field_id"], ["submission_id"]])
-    rfv = scope(a.answers, org, ids, hot=hot.get(("submission_id",))).select(
-        "submission_id", "field_id", "sub_field_id")
-    ff = scope(a.fields, org).select(F.col("field_id").alias("ff_field_id"))
-    with_field = skew.salted_join(rfv, ff, [("field_id", "ff_field_id")], "left_semi",
+    hot = answer_hot_keys(a, org, [["field_id"], ["sub_field_id"], ["submission_id"]], ids)
+    rfv = scope(a.answers, org, ids, hot=hot.get(("submission_id",)))
+    tags = _tags(rfv)
+    rfv = rfv.select(*tags, "submission_id", "field_id", "sub_field_id")
+    ff = _of_org(scope(a.fields, org), "ff_org", tags, F.col("field_id").alias("ff_field_id"))
+    with_field = skew.salted_join(rfv, ff, [("field_id", "ff_field_id"), *_org_pair("ff_org", tags)], "left_semi",
                                   hot.get(("field_id",)))
     f = a.files.select(F.col("id").cast("string").alias("f_key"))
     with_file = skew.salted_join(with_field, f, [("sub_field_id", "f_key")], "left_semi",
                                  hot.get(("sub_field_id",)))
-    return with_field.select("submission_id"), with_file.select("submission_id")
+    return with_field.select(*tags, "submission_id"), with_file.select(*tags, "submission_id")
 
 
 def readme(spark: SparkSession) -> DataFrame:

@@ -51,18 +51,30 @@ def _pct(num, den) -> F.Column:
     return F.round(num.cast("decimal(20,0)") * 100 / den.cast("decimal(20,0)"), 2).cast("double")
 
 
+REPORT = ["organization_id", "report_name"]
+#: Reports whose totals are broadcast (a few values each); beyond that they are joined by a shuffle.
+BROADCAST_REPORTS = 100_000
+
+
 def batch_progress(ids: DataFrame, per_batch: int = COUNT_PER_BATCH, order_by: tuple[str, ...] = ("position",)) -> DataFrame:
     """Per requested id, in the order of the request (``order_by``) and with its
-    repeats: batch, position, running count, percent."""
-    idx = with_row_index(ids.select("submission_id", *order_by), list(order_by), "processed_total",
+    repeats: batch, position, running count, percent.  With ``REPORT`` columns, for each report by itself:
+    one index over all requests, less what precedes the report."""
+    tags = REPORT if "report_name" in ids.columns else []
+    idx = with_row_index(ids.select(*tags, "submission_id", *order_by), [*tags, *order_by], "processed_total",
                          total="total_submissions")
+    if tags:
+        sizes = idx.groupBy(*[F.col(c).alias(f"_{c}") for c in tags]).agg(F.min("processed_total").alias("_first"), F.count(F.lit(1)).alias("_n"))
+        sizes = F.broadcast(sizes) if sizes.count() <= BROADCAST_REPORTS else sizes
+        idx = idx.join(sizes, [idx[c].eqNullSafe(sizes[f"_{c}"]) for c in tags]).withColumns(
+            {"processed_total": F.col("processed_total") - F.col("_first") + 1, "total_submissions": F.col("_n")})
     n, tot = F.col("processed_total"), F.col("total_submissions")
     batch = F.floor((n - 1) / per_batch).cast("long") + 1
     size = F.least(F.lit(per_batch).cast("long"), tot - (batch - 1) * per_batch)
     pos = (n - 1) % per_batch + 1
     pct = _pct(n, tot)
     return idx.select(
-        "submission_id",
+        *tags, "submission_id",
         batch.alias("batch_index"),
         pos.alias("position_in_batch"),
         size.alias("batch_size"),
@@ -75,26 +87,24 @@ def batch_progress(ids: DataFrame, per_batch: int = COUNT_PER_BATCH, order_by: t
 
 
 def submission_coverage(ids: DataFrame, forms: DataFrame, files: DataFrame) -> DataFrame:
-    """Each requested id with flags: has form rows, has files."""
-    req = ids.select("submission_id").distinct()
-    f = forms.select("submission_id").distinct().withColumn("has_form_rows", F.lit(True))
-    a = files.select("submission_id").distinct().withColumn("has_files", F.lit(True))
-    return (req.join(f, "submission_id", "left").join(a, "submission_id", "left")
-            .select("submission_id",
+    """Each requested id (of each report, with ``REPORT`` columns) with flags: has form rows, has files."""
+    key = [*(REPORT if "report_name" in ids.columns else []), "submission_id"]
+    req = ids.select(*key).distinct()
+    f = forms.select(*key).distinct().withColumn("has_form_rows", F.lit(True))
+    a = files.select(*key).distinct().withColumn("has_files", F.lit(True))
+    return (req.join(f, key, "left").join(a, key, "left")
+            .select(*key,
                     F.coalesce("has_form_rows", F.lit(False)).alias("has_form_rows"),
                     F.coalesce("has_files", F.lit(False)).alias("has_files")))
 
 
-REPORT = ["organization_id", "report_name"]
-
-
 def report_summary(asked: DataFrame, visited: DataFrame, coverage: DataFrame, run_ts: str | None = None,
                    report_id: str | None = None, created_by: str | None = None) -> DataFrame:
     """The status item of each report after a run.
 
     ``asked`` (organization_id, report_name, position, submission_id) is the request, in its order and with its
     repeats; ``visited`` has the (organization_id, report_name, position) that the run came to; ``coverage`` has one
-    row per submission id.  The total is the length of the request; an id asked for twice is visited twice.  A
+    row per submission id, or per report and submission id.  The total is the length of the request; an id asked for twice is visited twice.  A
     report is ``completed`` when as many places were visited as were asked for, else ``incomplete``, with an
     empty archive name.  Ids without form rows are visited as well; ``submissions_with_forms`` and
     ``submissions_with_files`` count the different ids that had any.  ``report_id`` is for a single report; otherwise it is
@@ -106,7 +116,7 @@ def report_summary(asked: DataFrame, visited: DataFrame, coverage: DataFrame, ru
     here = [asked[c].eqNullSafe(came[f"_{c}"]) for c in (*REPORT, "position")]
     seen = asked.join(came, here, "left").select(*REPORT, "submission_id", F.coalesce("_came", F.lit(False)).alias("_came"))
     ids = (seen.groupBy(*REPORT, "submission_id").agg(F.count(F.lit(1)).alias("_asked"), F.count_if("_came").alias("_visited"))
-           .join(coverage, "submission_id", "left"))
+           .join(coverage, [c for c in (*REPORT, "submission_id") if c in coverage.columns], "left"))
     agg = ids.groupBy(*REPORT).agg(
         F.sum("_asked").alias("total_submissions"), F.sum("_visited").alias("processed_submissions"),
         F.count_if((F.col("_visited") > 0) & F.coalesce("has_form_rows", F.lit(False))).alias("submissions_with_forms"),

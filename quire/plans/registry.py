@@ -54,6 +54,12 @@ def _audit(fn):
     return run
 
 
+def _customer_requests(t):
+    """Reports that customers ask for, one of each nation: (organization_id, report_name, position, submission_id)."""
+    ids = requests.request_ids(requests.parse_requests(requests.requests_from_customers(t.customer)))
+    return requests.at_rest(ids, scratch_dir(t.spark, "requests"))
+
+
 @_audit
 def scan_org_filter(spark, t, a, org, ids):
     return exports.scope(a.answers, org)
@@ -62,7 +68,7 @@ def scan_org_filter(spark, t, a, org, ids):
 @_audit
 def request_ids_semi(spark, t, a, org, ids):
     """Answers that some customer's request names: documents of one id or of several, some of which no submission has."""
-    req = requests.request_ids(requests.parse_requests(requests.requests_from_customers(t.customer)))
+    req = _customer_requests(t)
     keys = ["organization_id", "submission_id"]
     req = req.select(*[F.col(k).alias("req_" + k) for k in keys])
     return skew.salted_join(a.answers, req, [(k, "req_" + k) for k in keys], "left_semi",
@@ -184,6 +190,22 @@ def report_summary(spark, t, a, org, ids):
     return progress.report_summary(asked, visited, _coverage(a, org, ids), run_ts=RUN_TS)
 
 
+def reports_forms_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The forms of all reports that customers ask for, of three organizations, in one pass over the answers."""
+    t = tables.load(spark, sf_dir)
+    return exports.forms_export(views.audit_tables(t), None, _customer_requests(t))
+
+
+def reports_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The status items of these reports, when all their ids have been visited."""
+    t = tables.load(spark, sf_dir)
+    asked = _customer_requests(t)
+    coverage = progress.submission_coverage(asked, *exports.submissions_with_rows(views.audit_tables(t), None, asked))
+    visits = progress.batch_progress(asked, order_by=("submission_id", "position")).select(
+        *exports.REPORT, F.col("processed_total").alias("position"), "submission_id")
+    return progress.report_summary(visits, visits, coverage, run_ts=RUN_TS)
+
+
 def _sections(spark, a, org, ids):
     return exports.sections(spark, a, org, ids, materialize_dir=scratch_dir(spark, "sections"))
 
@@ -253,6 +275,8 @@ QUERIES: dict[str, Query] = {
     "batch_progress": batch_progress,
     "submission_coverage": submission_coverage,
     "report_summary": report_summary,
+    "reports_forms_export": reports_forms_export,
+    "reports_summary": reports_summary,
     "csv_fanout": csv_fanout,
     "submission_archives": submission_archives,
     "attachment_fetch": attachment_fetch,

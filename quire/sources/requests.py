@@ -45,18 +45,28 @@ def _items(requests: DataFrame) -> DataFrame:
     return requests.select("organization_id", "report_name", F.posexplode_outer("submission_ids").alias("position", "text"))
 
 
+def _id() -> Column:
+    return F.trim("text").try_cast("bigint")
+
+
 def request_ids(requests: DataFrame) -> DataFrame:
     """One row per (organization, report, position, requested submission id), in
-    the order of the request and with its repeats; see ``invalid_ids``."""
-    return (_items(requests).select("organization_id", "report_name", "position",
-                                    F.trim("text").try_cast("bigint").alias("submission_id"))
-            .where(F.col("submission_id").isNotNull()))
+    the order of the request and with its repeats.  Ids are whole numbers from 0; see ``invalid_ids``."""
+    return (_items(requests).select("organization_id", "report_name", "position", _id().alias("submission_id"))
+            .where(F.col("submission_id") >= 0))
+
+
+def at_rest(ids: DataFrame, folder: str) -> DataFrame:
+    """``request_ids`` written to ``folder`` and read again.  Parsing has no statistics; a plain filter over a
+    scan of known size is what Spark makes a runtime filter of."""
+    ids.write.mode("overwrite").parquet(folder)
+    return ids.sparkSession.read.schema(ids.schema).parquet(folder).where(F.col("submission_id") >= 0)
 
 
 def invalid_ids(requests: DataFrame) -> DataFrame:
     """(organization_id, report_name, position, text) of what is not an id: to be
     reported, never dropped in silence.  A request without any id is one row."""
-    return _items(requests).where(F.trim("text").try_cast("bigint").isNull())
+    return _items(requests).where(~F.coalesce(_id() >= 0, F.lit(False)))
 
 
 def requests_from_customers(customers: DataFrame) -> DataFrame:
@@ -74,3 +84,16 @@ def requests_from_customers(customers: DataFrame) -> DataFrame:
     head = F.to_json(F.struct((F.col("c_nationkey") % 3).cast("string").alias("organization_id"), report.alias("report_name")))
     doc = F.concat(F.regexp_replace(head, "}$", ""), F.lit(', "submission_ids": '), ids, F.lit("}"))
     return customers.select(doc.alias("doc"))
+
+
+def requests_from_orders(orders: DataFrame, org: str, report_name: str) -> DataFrame:
+    """Request documents derived from an order table, one per order.
+
+    Odd keys are written as a scalar, even keys as a one-element list, so both
+    document forms are exercised.
+    """
+    key = F.col("o_orderkey").cast("string")
+    ids = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("["), key, F.lit("]"))).otherwise(key)
+    head = F.to_json(F.struct(F.lit(org).alias("organization_id"), F.lit(report_name).alias("report_name")))
+    doc = F.concat(F.regexp_replace(head, "}$", ""), F.lit(', "submission_ids": '), ids, F.lit("}"))
+    return orders.select(doc.alias("doc"))
