@@ -2,7 +2,8 @@
 
     python -m quire list
     python -m quire query NAME --data DIR [--out PATH] [--show N]
-    python -m quire audit --data DIR --request FILE --out DIR [--objects DIR] [--status-log DIR]
+    python -m quire store --data DIR --model DIR [--buckets N]
+    python -m quire audit (--data DIR | --model DIR) --request FILE --out DIR [--objects DIR] [--status-log DIR]
     python -m quire status --status-log DIR [--org ORG] [--report ID]
     python -m quire delete --status-log DIR --org ORG --report ID
 """
@@ -22,8 +23,14 @@ def main(argv: list[str] | None = None) -> int:
     q.add_argument("--data", required=True)
     q.add_argument("--out")
     q.add_argument("--show", type=int, default=0)
+    st = sub.add_parser("store", help="store the audit model of a data folder, partitioned and bucketed")
+    st.add_argument("--data", required=True)
+    st.add_argument("--model", required=True)
+    st.add_argument("--buckets", type=int)
     a = sub.add_parser("audit")
-    a.add_argument("--data", required=True)
+    source = a.add_mutually_exclusive_group(required=True)
+    source.add_argument("--data")
+    source.add_argument("--model", help="stored model tables")
     a.add_argument("--request", required=True)
     a.add_argument("--out", required=True)
     a.add_argument("--objects")
@@ -56,17 +63,22 @@ def main(argv: list[str] | None = None) -> int:
         if not args.out and not args.show:
             df.write.format("noop").mode("overwrite").save()
         return 0
+    if args.cmd == "store":
+        from .sources import layout, tables, views
+
+        layout.write_model(spark, views.audit_tables(tables.load(spark, args.data)), args.model, args.buckets or layout.BUCKETS)
+        return 0
     if args.cmd == "audit":
         from .plans.audit import run_audit_reports
-        from .sources import requests, tables, views
+        from .sources import layout, requests, tables, views
 
-        t = tables.load(spark, args.data)
+        model = layout.read_model(spark, args.model) if args.model else views.audit_tables(tables.load(spark, args.data))
         req = requests.parse_requests(requests.read_request_documents(spark, args.request))
         wrong = requests.invalid_ids(req).limit(20).collect()
         if wrong:
             print("not submission ids:", *[f"{r.report_name}[{r.position}]={r.text!r}" for r in wrong], file=sys.stderr)
             return 1
-        run = run_audit_reports(spark, views.audit_tables(t), requests.request_ids(req), args.out, objects_root=args.objects,
+        run = run_audit_reports(spark, model, requests.request_ids(req), args.out, objects_root=args.objects,
                                 status_log_dir=args.status_log)
         run.summary.show(truncate=False)
         print(f"run {run.report_id}: {run.folder.count()} csv files, {run.archives.count()} archives")

@@ -141,24 +141,22 @@ def forms_data(a: AuditTables, org: str | None, ids: DataFrame | None, hot: dict
         a, org, [_CTX_KEYS, ["field_id", "sub_field_id"], ["field_id"], ["submission_id"]], ids)
     rfv = scope(a.answers, org, ids, hot=hot.get(("submission_id",)))
     tags = _tags(rfv)
-    ff = _of_org(scope(a.fields, org), "ff_org", tags, F.col("field_id").alias("ff_field_id"), "form_type", "form_name",
-                 "field_type", "field_label")
-    base = skew.salted_join(
-        rfv.select(*tags, "submission_id", "request_id", "response_id", "field_id", "sub_field_id", "value"),
-        ff, [("field_id", "ff_field_id"), *_org_pair("ff_org", tags)], "inner", hot.get(("field_id",))).drop("ff_field_id", "ff_org")
-    if with_options:
-        with_opt = skew.salted_join(base, _options(a, org, tags), [*_OPTION_KEYS, *_org_pair("ffo_org", tags)], "left",
-                                    hot.get(("field_id", "sub_field_id")))
-    else:   # for callers that need only the set of rows' other columns (a left join adds none)
-        with_opt = base.withColumn("option_label", F.lit(None).cast("string"))
-    # only contexts of the request: the join key holds the submission id
+    rfv = rfv.select(*tags, "submission_id", "request_id", "response_id", "field_id", "sub_field_id", "value")
+    # only contexts of the request: the join key holds the submission id, by which the answers lie already
     ctx_hot = skew.hot_keys_many(a.contexts, [["submission_id"], ["created_by"]])
     requested = scope(a.contexts, None, _submissions(ids), hot=ctx_hot[("submission_id",)])
     ctx = _contexts_with_users(a, requested, hot=ctx_hot[("created_by",)]).select(
         *[F.col(k).alias("ctx_" + k) for k in _CTX_KEYS], "completed_at", "created_at",
         F.col("email").alias("created_user_email"))
-    j = skew.salted_join(with_opt, ctx, [(k, "ctx_" + k) for k in _CTX_KEYS], "left",
-                         hot.get(tuple(_CTX_KEYS)))
+    placed = skew.salted_join(rfv, ctx, [(k, "ctx_" + k) for k in _CTX_KEYS], "left", hot.get(tuple(_CTX_KEYS)))
+    ff = _of_org(scope(a.fields, org), "ff_org", tags, F.col("field_id").alias("ff_field_id"), "form_type", "form_name",
+                 "field_type", "field_label")
+    j = skew.salted_join(placed, ff, [("field_id", "ff_field_id"), *_org_pair("ff_org", tags)], "inner", hot.get(("field_id",))).drop("ff_field_id", "ff_org")
+    if with_options:
+        j = skew.salted_join(j, _options(a, org, tags), [*_OPTION_KEYS, *_org_pair("ffo_org", tags)], "left",
+                             hot.get(("field_id", "sub_field_id")))
+    else:   # for callers that need only the set of rows' other columns (a left join adds none)
+        j = j.withColumn("option_label", F.lit(None).cast("string"))
     return j.select(
         *tags, "submission_id", "form_type", "form_name", "field_type", "field_label", "sub_field_id",
         resolve_value(F.col("option_label"), F.col("value")).alias("value"),
