@@ -6,10 +6,18 @@ Ordered by that key, vectors at a small angle mostly stand near each other, so e
 is compared with a bounded window of neighbours.  Passes are independent, and links
 found by any pass are joined.
 
-A pair at the threshold's angle agrees in a hyperplane with probability a = 1 - angle / pi;
-it stands in one window when it agrees in about log2(rows / window) of them.  The number
-of passes follows from that, so that a pair at the threshold is missed by all
-passes with probability ``MISS``; closer pairs are missed far less.
+A pair at the threshold's angle agrees in a hyperplane with probability a = 1 - angle / pi.
+The number of passes follows from the rows as if hyperplanes halved them, so that such a pair is
+missed by all passes with probability ``MISS``.  Where many vectors lie in a narrow cone they
+hardly split it, so each pass also measures how well it has served each vector: with b - 1 the longer
+of the key prefixes that the vector shares with the two ends of what it was compared with, all
+vectors that share b bits with it are among these, and a threshold pair is with probability
+a ** b.  A vector whose pairs would be missed by all passes with a probability over ``LACK`` (in
+cones, and where partitions end) is *dense*.  A link that is missed with more than that
+probability has two dense ends, so dense vectors are compared with each other exactly, in tiles
+of ``DENSE_TILE`` rows that tasks hold two of at a time.  The work of that grows with the square
+of the dense vectors, the price of losing no link; on vectors that hyperplanes do split
+there are next to none.
 
 Dense groups do not depend on the window: the passes only need to connect them (each
 block of neighbours sends a spanning forest of its links, never all pairs).  Direct
@@ -40,7 +48,11 @@ BLOCK = 1024
 TILE = 1024
 BITS = 48
 MISS = 1e-4
+LACK = 0.01
+DENSE_TILE = 8192
+_COMPARED = "a bigint, b bigint, lack double"
 _LINKS = "a bigint, b bigint"
+_TILES = "dim int, tile bigint, ids binary, vectors binary"
 
 
 def passes_for(rows: int, threshold: float = THRESHOLD, window: int = WINDOW, miss: float = MISS) -> int:
@@ -109,44 +121,115 @@ def _links(ids: np.ndarray, x: np.ndarray, threshold: float) -> list[tuple[np.nd
     return _forest(ids, near)
 
 
+def _shared_bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Length of the common prefix of keys."""
+    return BITS - np.frexp((a ^ b).astype(np.float64))[1]
+
+
 def _compare(batches, threshold: float, window: int, block: int):
-    """Rows sorted by (pass, dim, key): blocks of neighbours, each with the last ``window`` rows before it."""
-    group, ids, rows = None, [], []
+    """Rows sorted by (pass, dim, key): blocks of neighbours, each with the last ``window`` rows before it.
+
+    Gives links (a, b, null), and for each row (a, null, log of the probability that this pass misses a
+    threshold pair of it)."""
+    agree = 1 - math.acos(threshold) / math.pi
+    group, ids, rows, keys, ends = None, [], [], [], []
+    out: list[pa.RecordBatch] = []
 
     def flush(keep: int):
-        nonlocal ids, rows
-        all_ids, x = np.concatenate(ids), np.concatenate(rows)
-        found = _links(all_ids, x, threshold) if len(all_ids) > 1 else []
-        ids, rows = ([all_ids[-keep:]], [x[-keep:]]) if keep else ([], [])
-        return found
+        nonlocal ids, rows, keys, ends
+        all_ids, x, key = np.concatenate(ids), np.concatenate(rows), np.concatenate(keys)
+        end = np.concatenate([*ends, np.full(len(key) - sum(map(len, ends)), key[0])])     # first of what each row has met
+        if len(all_ids) > 1:
+            for a, b in _links(all_ids, x, threshold):
+                out.append(pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.float64())], names=["a", "b", "lack"]))
+        n = len(key) - keep                                    # the others meet the next block as well
+        bits = 1 + np.maximum(_shared_bits(key[:n], end[:n]), _shared_bits(key[:n], key[-1:]))
+        out.append(pa.RecordBatch.from_arrays([pa.array(all_ids[:n]), pa.nulls(n, pa.int64()), pa.array(np.log1p(-agree ** bits))], names=["a", "b", "lack"]))
+        ids, rows, keys, ends = ([c[n:]] if keep else [] for c in (all_ids, x, key, end))
 
-    out: list[tuple[np.ndarray, np.ndarray]] = []
     for batch in batches:
         number, dims = batch.column("pass").to_numpy(), batch.column("dim").to_numpy()
         edges = np.append(0, np.flatnonzero((number[1:] != number[:-1]) | (dims[1:] != dims[:-1])) + 1) if len(number) else ()
         for a, b in zip(edges, np.append(edges[1:], len(number))):
             if group != (number[a], dims[a]):
                 if ids:
-                    out += flush(0)
+                    flush(0)
                 group = (number[a], dims[a])
             part = batch.slice(a, b - a)
-            x, these = _unit(part.column("embedding"), int(dims[a])), part.column("id").to_numpy()
+            x, these, key = _unit(part.column("embedding"), int(dims[a])), part.column("id").to_numpy(), part.column("key").to_numpy()
             at = 0
             while at < len(x):
                 have = sum(map(len, ids))
                 to = min(len(x), at + max(1, block + window - have))
                 ids.append(these[at:to])
                 rows.append(x[at:to])
+                keys.append(key[at:to])
                 at = to
                 if sum(map(len, ids)) >= block + window:
-                    out += flush(window)
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[k] for o in out])) for k in (0, 1)], names=["a", "b"])
-            out = []
+                    flush(window)
+        yield from out
+        out.clear()
     if ids:
-        out = flush(0)
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[k] for o in out])) for k in (0, 1)], names=["a", "b"])
+        flush(0)
+        yield from out
+
+
+def _tiles(batches, tile: int):
+    """Sorted dense vectors -> rows of up to ``tile`` packed unit vectors."""
+    from pyspark import TaskContext
+
+    number = TaskContext.get().partitionId() << 32
+    held: dict[int, list] = {}
+
+    def packed(dim: int) -> pa.RecordBatch:
+        nonlocal number
+        ids, x = (np.concatenate(c) for c in zip(*held.pop(dim)))
+        number += 1
+        return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([number], pa.int64()), pa.array([ids.tobytes()], pa.binary()),
+                                           pa.array([x.tobytes()], pa.binary())], names=["dim", "tile", "ids", "vectors"])
+
+    for batch in batches:
+        for dim, part in _by_dim(batch):
+            x, ids = _unit(part.column("embedding"), dim), part.column("id").to_numpy()
+            for a in range(0, len(x), tile):
+                held.setdefault(dim, []).append((ids[a:a + tile], x[a:a + tile]))
+                if sum(len(i) for i, _ in held[dim]) >= tile:
+                    yield packed(dim)
+    for dim in list(held):
+        yield packed(dim)
+
+
+def _compare_tiles(batches, threshold: float, block: int):
+    """Rows (dim, to, role, ids, vectors) sorted by (dim, to, role): the tile ``to`` itself (role 0), then tiles before it."""
+    own = None
+    for batch in batches:
+        for i in range(batch.num_rows):
+            dim, role = batch.column("dim")[i].as_py(), batch.column("role")[i].as_py()
+            ids = np.frombuffer(batch.column("ids")[i].as_buffer(), np.int64)
+            x = np.frombuffer(batch.column("vectors")[i].as_buffer(), np.float64).reshape(-1, dim)
+            if role == 0:
+                own = ids.copy(), x.copy()
+            out = []
+            for a in range(0, len(x), block):
+                for b in range(a if role == 0 else 0, len(own[0]), block):
+                    if role == 0 and a == b:
+                        out += _links(ids[a:a + block], x[a:a + block], threshold)
+                    else:
+                        out += _links(np.concatenate([ids[a:a + block], own[0][b:b + block]]), np.concatenate([x[a:a + block], own[1][b:b + block]]), threshold)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[k] for o in out])) for k in (0, 1)], names=["a", "b"])
+
+
+def _dense_links(dense: DataFrame, threshold: float, block: int, tile: int) -> DataFrame:
+    """Links (connecting what is linked) among ``dense`` (id, embedding), exactly: every tile meets itself and those before it."""
+    tiles = (dense.select("id", "embedding").mapInArrow(lambda it: _keys(it, 1), "pass int, dim int, key bigint, id bigint, embedding array<double>")
+             .repartitionByRange("dim", "key", "id").sortWithinPartitions("dim", "key", "id")
+             .mapInArrow(lambda it: _tiles(it, tile), _TILES).checkpoint())
+    places = tiles.select(F.col("dim").alias("_dim"), F.col("tile").alias("to"))          # a number for each tile of rows
+    own = tiles.select("dim", F.col("tile").alias("to"), F.lit(0).alias("role"), "ids", "vectors")
+    earlier = tiles.join(places, (F.col("dim") == F.col("_dim")) & (F.col("tile") < F.col("to"))).select("dim", "to", F.lit(1).alias("role"), "ids", "vectors")
+    return (own.unionAll(earlier).repartition("dim", "to").sortWithinPartitions("dim", "to", "role")
+            .mapInArrow(lambda it: _compare_tiles(it, threshold, block), _LINKS))
 
 
 def _count(batches, threshold: float):
@@ -185,7 +268,7 @@ def _count(batches, threshold: float):
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, window: int = WINDOW, block: int = BLOCK, tile: int = TILE,
-                    miss: float = MISS) -> DataFrame:
+                    miss: float = MISS, lack: float = LACK, dense_tile: int = DENSE_TILE) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of ``vectors`` (vec_id, embedding array<float or double>)."""
     ensure_checkpoint_dir(vectors.sparkSession)
     usable = ("vec_id is not null and embedding is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) "
@@ -202,7 +285,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, window: in
     sorted_rows = (nodes.select("id", "embedding")
                    .mapInArrow(lambda it: _keys(it, passes), "pass int, dim int, key bigint, id bigint, embedding array<double>")
                    .repartitionByRange("pass", "dim", "key", "id").sortWithinPartitions("pass", "dim", "key", "id"))
-    links = sorted_rows.mapInArrow(lambda it: _compare(it, threshold, window, block), _LINKS).distinct().checkpoint()
+    compared = sorted_rows.mapInArrow(lambda it: _compare(it, threshold, window, block), _COMPARED).checkpoint()
+    lacking = compared.where("b is null").groupBy("a").agg(F.sum("lack").alias("lack")).where(F.col("lack") > math.log(lack)).select(F.col("a").alias("_a"))
+    dense = nodes.join(lacking, F.col("id") == F.col("_a"), "left_semi")
+    links = (compared.where("b is not null").select("a", "b").distinct()
+             .unionAll(_dense_links(dense, threshold, block, dense_tile)).checkpoint())
     comps = components(links).checkpoint()
 
     # direct links: every component in tiles of its blocks, each vector against each block

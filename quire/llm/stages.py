@@ -1,9 +1,9 @@
 """Operators as stages of a pipeline: documents in, documents out.
 
 A stage takes a documents table (doc_id, text, lang, source, n_chars; extra columns
-pass through) and returns what it keeps, with the same columns; where it changes a
-text, n_chars follows.  Nulls, empty texts, ties and empty tables are those of the
-operators.
+pass through, whatever their names) and returns what it keeps, with the same columns;
+where it changes a text, n_chars follows.  Nulls, empty texts, ties and empty tables are
+those of the operators.
 """
 
 from __future__ import annotations
@@ -21,15 +21,31 @@ def _with_length(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else docs
 
 
+#: Words in a shingle, and percent of shared shingles, of the near-dedup stage.
+STAGE_SHINGLE = 5
+STAGE_PERCENT = 80
+
+
+def _aside(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with its columns, but doc_id and text, under names that no operator uses; and these names."""
+    names = {c: f"_user_{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    return docs.withColumnsRenamed(names), names
+
+
+def _back(docs: DataFrame, like: DataFrame, names: dict[str, str]) -> DataFrame:
+    return docs.select(*[F.col(names.get(c, c)).alias(c) for c in like.columns])
+
+
 def good_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the quality classifier, fitted on the rated ones among them, does not reject."""
-    return quality_ordinal.rate(docs, docs, labels).where("kept").select(*docs.columns)
+    renamed, names = _aside(docs)
+    return _back(quality_ordinal.rate(renamed, renamed, labels).where("kept"), docs, names)
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """One document (the smallest doc_id) of each group of near duplicates; of rows that
-    share a doc_id, the first by text.  Rows without doc_id stay."""
-    verdicts = minhash_tensor.near_duplicates(docs)
+    """One document (the smallest doc_id) of each group of near duplicates (``STAGE_PERCENT`` of their
+    ``STAGE_SHINGLE``-word shingles); of rows that share a doc_id, the first by text.  Rows without doc_id stay."""
+    verdicts = minhash_tensor.near_duplicates(docs, shingle=STAGE_SHINGLE, percent=STAGE_PERCENT)
     dropped = broadcast_if_small(verdicts.where("not kept").select("doc_id").distinct())
     kept = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
     repeated = (docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"))
@@ -43,11 +59,12 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """All documents, without the passages that documents with smaller doc_ids have."""
-    cut = repeated_phrases.remove_repeats(docs)
-    changed = F.col("n_removed") > 0
-    if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.when(changed, F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
-    return cut.select(*docs.columns)
+    renamed, names = _aside(docs)
+    cut = repeated_phrases.remove_repeats(renamed)
+    if "n_chars" in names:
+        length = names["n_chars"]
+        cut = cut.withColumn(length, F.when(F.col("n_removed") > 0, F.length("text").cast("bigint")).otherwise(F.col(length)))
+    return _back(cut, docs, names)
 
 
 def _copies(batches, names: list[str]):

@@ -13,9 +13,9 @@ def shingles(text, size=2):
     return {tuple(w[i:i + size]) for i in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} - {()}
 
 
-def brute(rows, percent=80):
+def brute(rows, percent=80, size=2):
     """(doc_id, set size, component) of (doc_id, text) rows with distinct doc_ids."""
-    sets = {d: shingles(t) for d, t in rows}
+    sets = {d: shingles(t, size) for d, t in rows}
     parent = {d: d for d in sets}
 
     def find(x):

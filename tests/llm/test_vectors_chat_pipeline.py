@@ -51,6 +51,40 @@ def test_vectors_match_brute_force(spark, small):
     assert all(r["kept"] for r in got if r["vec_id"] is None or r["vec_id"] == r["component_id"])
 
 
+def _cone(rng, n, dim, cosine):
+    """Unit vectors with this mean cosine to each other."""
+    centre = np.zeros(dim)
+    centre[0] = 1
+    r = rng.standard_normal((n, dim))
+    r[:, 0] = 0
+    return np.sqrt(cosine) * centre + np.sqrt(1 - cosine) * r / np.linalg.norm(r, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("cosine", [0.7, 0.9, 0.94])
+def test_links_in_narrow_cones_are_found(spark, cosine):
+    """A third of the vectors in a cone below the threshold, with planted pairs at a cosine of 0.95 to 0.96."""
+    rng = np.random.default_rng(7)
+    dim = 32
+    cone, rest = _cone(rng, 3000, dim, cosine), rng.standard_normal((6000, dim))
+    x = np.concatenate([cone, rest / np.linalg.norm(rest, axis=1, keepdims=True)])
+    twins = x[:400]
+    side = rng.standard_normal(twins.shape)
+    side -= (side * twins).sum(axis=1, keepdims=True) * twins
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    angle = np.arccos(rng.uniform(0.951, 0.96, 400))[:, None]
+    x = np.concatenate([x, np.cos(angle) * twins + np.sin(angle) * side])
+    rows = [(int(i), v.tolist()) for i, v in zip(rng.permutation(len(x)), x)]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(4)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in ep.near_duplicates(table, window=16, block=64, dense_tile=700).collect()}
+    ids = np.array([i for i, _ in rows])
+    near = x @ x.T >= 0.95
+    np.fill_diagonal(near, False)
+    want = {int(i): int(n) for i, n in zip(ids, near.sum(axis=1))}
+    missed = sum(want[i] - got[i][0] for i in want)
+    assert all(got[i][0] <= want[i] for i in want)
+    assert missed <= 0.01 * sum(want.values())
+
+
 def test_no_vectors(spark):
     assert ep.near_duplicates(_vectors(spark, [])).count() == 0
     assert [tuple(r) for r in ep.near_duplicates(_vectors(spark, [(3, None)])).collect()] == [(3, 0, 3, True)]
@@ -121,7 +155,7 @@ def test_pipeline_stages_match_brute_force(spark, scratch):
         if n == 0:
             assert all(before[r["doc_id"]] == r for r in rows) and 0.7 * len(before) < len(rows) < len(before)
         elif n == 1:
-            groups = near_brute([(i, r["text"]) for i, r in before.items()])
+            groups = near_brute([(i, r["text"]) for i, r in before.items()], size=5)
             assert sorted(r["doc_id"] for r in rows) == sorted({c for _, _, c in groups})
         elif n == 2:
             want = {d: (total, gone) for d, total, gone, _ in cut_brute([(i, r["text"]) for i, r in before.items()])}
@@ -142,7 +176,7 @@ def test_stages_bear_odd_rows(spark):
     for stage in (lambda d: stages.good_quality(d, labels), stages.one_of_each, stages.without_repeats, lambda d: stages.mixed(d, labels)):
         got = stage(docs)
         assert got.columns == docs.columns
-        got.collect()
+        assert all(r["kept"] == r["tail_probability"] == r["n_words"] == r["n_removed"] == r["component_id"] == "x" for r in got.collect())
         empty = stage(docs.limit(0))
         assert empty.columns == docs.columns and empty.count() == 0
     one = [r["doc_id"] for r in stages.one_of_each(docs).collect()]
