@@ -13,7 +13,7 @@ starts from an empty context.  Every occurrence in every document is counted, by
 64-bit hashes of words and of (word before, word): no n-gram shares a count with
 another, however many there are.
 
-    p(w)     = (c(w) + 1) / (N + V)        V: distinct words, at least ``VOCABULARY``
+    p(w)     = (c(w) + 1) / (N + V)        V: distinct words
     p(w | h) = (c(h, w) + MASS * p(w)) / (c(h) + MASS)
 
 *Steps.*  Map tasks cut the documents into chunks of about ``CHUNK`` tokens.  A chunk
@@ -46,7 +46,6 @@ from quire.llm import hashed_features as hf
 from quire.llm import shared_keys, wordhash
 from quire.llm.tables import broadcast_if_small
 
-VOCABULARY = 1 << 18
 MASS = 50.0
 #: Tokens of a chunk, about (a text is never cut).
 CHUNK = 1 << 21
@@ -195,7 +194,7 @@ def _answer(batches):
 
 def _score(batches, totals: Totals):
     """Rows sorted by (chunk, part) -> its documents' scores."""
-    words = max(VOCABULARY, totals.words)
+    words = max(1, totals.words)
     scale = totals.target / totals.background if totals.target else 1.0
 
     def scored(texts, answers):

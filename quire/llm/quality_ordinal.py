@@ -134,12 +134,13 @@ def score(docs: DataFrame, model: Model, keep_grade: int = KEEP_GRADE) -> DataFr
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS) -> DataFrame:
-    """(doc_id, text, y) of the sampled rated documents."""
+    """(doc_id, text, y) of the sampled rated documents: of rows that share an id, the first text."""
     grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).otherwise(2)
     known = (labels.where("quality is not null and doc_id is not null")
              .groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.min(grade).cast("int").alias("y")))
     sample = hf.sample_labelled(known, limit, SEED)
-    return docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")      # at most ``limit`` rows of 12 bytes
+    rated = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")     # at most ``limit`` rows of 12 bytes
+    return rated.groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("doc_id", "text", "y")
 
 
 def rate(docs: DataFrame, train_docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -143,11 +143,12 @@ def held_out() -> F.Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS) -> DataFrame:
-    """(doc_id, text, y) of the sampled labelled documents that aren't held out."""
+    """(doc_id, text, y) of the sampled labelled documents that aren't held out: of rows that share an id, the first text."""
     known = (labels.where("toxic is not null and doc_id is not null").where(~held_out())
              .groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg((F.max("toxic") > 0).cast("int").alias("y")))
     sample = hf.sample_labelled(known, limit, SEED)
-    return docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")      # at most ``limit`` rows of 12 bytes
+    rated = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")     # at most ``limit`` rows of 12 bytes
+    return rated.groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("doc_id", "text", "y")
 
 
 def op2_toxicity_counterfactual(spark, sf_dir: str) -> DataFrame:

@@ -170,7 +170,7 @@ def test_cross_entropy_difference_matches_a_dictionary_model(spark):
         one, two, starts = model
         total, out = by * sum(one.values()), []
         for h, w in zip([None, *t], t):
-            p = (by * one[w] + 1) / (total + lm.VOCABULARY)
+            p = (by * one[w] + 1) / (total + len(models[1][0]))     # distinct words of the corpus
             context = by * (starts if h is None else one[h])
             out.append(-math.log((by * two[h, w] + lm.MASS * p) / (context + lm.MASS)))
         return sum(out) / len(out)
@@ -206,8 +206,8 @@ def test_language_models_keep_all_ngrams_apart(spark, small):
         for a, b in [(one, two)] + [goals] * (i < 40):
             a.update(w)
             b.update(zip([None, *w], w))
-    words = max(lm.VOCABULARY, len(one))
-    assert words > lm.VOCABULARY
+    words = len(one)
+    assert words > 1 << 18
 
     def loss(w, a, b, starts, by):
         n, out = by * sum(a.values()), []
@@ -226,3 +226,13 @@ def test_language_models_keep_all_ngrams_apart(spark, small):
             assert r["n_tokens"] == len(w)
             assert math.isclose(r["target_loss"], loss(w, *goals, 40, 1.0), rel_tol=1e-9)
             assert math.isclose(r["background_loss"], loss(w, one, two, 401, scale), rel_tol=1e-9)
+
+
+def test_fits_take_one_row_of_an_id(spark):
+    """The bound of a fit holds for rows, however many rows share a rated id."""
+    docs = docs_of(spark, [f"text {k:04d}" for k in range(3000)], ids=[k if k < 10 else 0 for k in range(3000)])
+    labels = labels_of(spark, [(i, i % 2, 0) for i in range(10)])
+    for module in (qo, tc):
+        rows = module.training_rows(docs, labels, limit=8).collect()
+        assert len(rows) <= 8 and len({r["doc_id"] for r in rows}) == len(rows)
+        assert all(r["text"] == f"text {r['doc_id']:04d}" for r in rows)
