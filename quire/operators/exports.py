@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..functions.scalars import not_equal_keep_null, resolve_value, submission_id_from_path
+from ..sources.objects import destination
 from ..sources.views import AuditTables
 from . import skew
 
@@ -345,14 +346,16 @@ def files_manifest_from(forms_data_df: DataFrame, files: DataFrame,
 
 def file_references(a: AuditTables, org: str | None, ids: DataFrame | None) -> DataFrame:
     """Every answer as a reference to the file it may name: ``status`` is ``ok`` with the file's
-    place, or ``missing`` where no file has that id.  ``destination_path`` is where it is saved."""
+    place, or ``missing`` where no file has that id.  ``destination_path`` is where it is saved: under the
+    file's ``save_as`` where it has one."""
     hot = answer_hot_keys(a, org)
     fd = forms_data(a, org, ids, hot, with_options=False)
-    f = a.files.select(F.col("id").cast("string").alias("f_key"), F.col("id").alias("file_id"), "file_name", "bucket_name", "storage_key")
+    f = a.files.select(F.col("id").cast("string").alias("f_key"), F.col("id").alias("file_id"), "file_name", "save_as", "bucket_name",
+                       "storage_key")
     j = skew.salted_join(fd, f, [("sub_field_id", "f_key")], "left", hot.get(("sub_field_id",)))
     c = F.col
     path = paths.file_path(c("submission_id"), c("form_type"), c("form_name"), c("created_user_email"), c("completed_at"), c("file_name"))
-    return j.select("submission_id", "sub_field_id", "file_id", "bucket_name", "storage_key", path.alias("destination_path"),
+    return j.select("submission_id", "sub_field_id", "file_id", "bucket_name", "storage_key", destination(path, c("save_as")).alias("destination_path"),
                     F.when(c("f_key").isNull(), F.lit("missing")).otherwise(F.lit("ok")).alias("status"))
 
 

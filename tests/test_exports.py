@@ -3,8 +3,11 @@
 import datetime as dt
 
 from quire.operators import exports
+from quire.sources import tables, views
 from quire.sources.views import AuditTables
 
+from .conftest import SF_SMALL
+
 TS = dt.datetime(2024, 1, 2, 3, 4, 5, 120000)
 
 
@@ -147,3 +150,21 @@ def test_export_paths_equal_export_directories(spark):
         want = {r[0] for r in ex.forms_export(a, "1", ids, consistent).select("folder_directory").distinct().collect()}
         got = [r[0] for r in ex.export_paths(ex.forms_data(a, "1", ids, with_options=False), consistent).collect()]
         assert len(got) == len(set(got)) and set(got) == want and None in want
+
+
+def test_file_references_are_saved_under_their_own_name(spark):
+    """A name to save under replaces the file's own, an empty one does not; an id without file is missing."""
+    t = tables.load(spark, SF_SMALL)
+    a = views.audit_tables(t)
+    ids = views.all_submission_ids(t)
+    rows = exports.file_references(a, "1", ids).collect()
+    assert len(rows) == exports.forms_data(a, "1", ids).count()
+    names = {r.id: r for r in a.files.collect()}
+    seen = set()
+    for r in rows:
+        f = names.get(int(r.sub_field_id))
+        assert (r.status, r.file_id) == (("missing", None) if f is None else ("ok", f.id))
+        if f is not None and r.destination_path is not None:
+            assert r.destination_path.rsplit("/", 1)[1] == (f.save_as or f.file_name)
+            seen.add(f.save_as and "copy")
+    assert seen == {"copy", "", None}
