@@ -20,8 +20,10 @@ the one that holds the border, and only its documents are sorted.
 Quality weights: a document rated good counts ``GOOD``, one rated poor ``POOR``, else 1.
 
 Defined results: null and empty texts have size 0 and take 0; a source of size 0 has
-target 0; null is a source of its own; repeated rows are documents of their own with
-equal keys, in a fixed but arbitrary order; extra columns are ignored.
+target 0; null is a source of its own; repeated rows, and rows without doc_id, are
+documents of their own with equal keys, taken in the order of a hash of their texts (rows
+with equal texts are alike); an empty table gives an empty mix; texts of any length are
+counted whole; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -43,18 +45,19 @@ POOR = 0.5
 
 
 def sizes(docs: DataFrame, quality: DataFrame | None = None, seed: str = SEED, whole: bool = False) -> DataFrame:
-    """(doc_id, source, size, key) for each row of ``docs`` (doc_id, text, source), if
+    """(doc_id, source, size, key, tie) for each row of ``docs`` (doc_id, text, source), if
     ``whole`` with the row itself as ``row``; ``quality``: (doc_id, weight double > 0), distinct doc_ids."""
     row = [F.struct(*docs.columns).alias("row")] if whole else []
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "source",
-                       F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint").alias("size"), *row)
+                       F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint").alias("size"),
+                       F.xxhash64("text").alias("tie"), *row)
     digest = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 1) / float(1 << 52)
     if quality is None:
         rows = rows.withColumn("weight", F.lit(1.0))
     else:
         rows = rows.join(quality.select("doc_id", "weight"), "doc_id", "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
-    return rows.select("doc_id", "source", "size", (-F.log(u) / F.col("weight")).alias("key"), *(["row"] if whole else []))
+    return rows.select("doc_id", "source", "size", (-F.log(u) / F.col("weight")).alias("key"), "tie", *(["row"] if whole else []))
 
 
 def targets(sized: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -112,7 +115,7 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, weights=WEIGHTS, max_
         rows = aimed(sizes(docs, quality, seed, whole))
     placed = rows.join(broadcast_if_small(edge, SOURCES), rows["source"].eqNullSafe(edge["s"]), "left").drop("s")
     inside = F.col("border").isNotNull() & (F.col("bucket") == F.col("border"))
-    sorted_ = Window.partitionBy("source", "bucket").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    sorted_ = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, -1)
     cut = (placed.where(inside).withColumn("ahead", F.col("before") + F.coalesce(F.sum("size").over(sorted_), F.lit(0)))
            .withColumn("extra", F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("ahead")))).drop("ahead"))
     others = placed.where(~inside).withColumn("extra", F.when(F.col("bucket") <= F.col("full"), F.col("size")).otherwise(F.lit(0)))

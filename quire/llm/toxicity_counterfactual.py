@@ -2,9 +2,13 @@
 
 Logistic regression on hashed words (lower-cased, without punctuation) and word
 beginnings; each is a yes/no feature of the whole text.  To keep neutral
-mentions of groups from raising scores, identity terms are swapped within the
-labelled sentences that hold them, and the fit penalises the squared change of
-the score: ``penalty * mean (w.x - w.x')**2`` over the swapped sentences.
+mentions of groups from raising scores, every sentence of the labelled texts that
+holds an identity term is written again with each other term of its group in
+that term's place, and the fit penalises the squared change of the
+score: ``penalty * mean (w.x - w.x')**2`` over these pairs of sentences, x and x' being
+the features that the two sentences really have.  Pairs are built and compared in
+Spark tasks; those with the same difference x - x' are counted together, so the
+driver gets a few rows for each pair of terms.
 
 The fit uses a bounded sample of ``FIT_ROWS`` labelled documents (a fixed hash
 order); features are counted and gathered by Spark, restricted to the
@@ -19,6 +23,8 @@ a ``doc_id`` count once, as toxic if any says so; extra columns are ignored.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -48,10 +54,16 @@ IDENTITY_TERMS = (
 )
 
 
+_SENTENCE = re.compile(r"[^.!?\n]+")
+#: A word, as ``extract`` takes it: without the ASCII blanks and punctuation.
+_WORD = re.compile(r"[^\x09-\x0D\x20-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]+")
+
+
 class Model(NamedTuple):
     table: np.ndarray      # sorted feature hashes
     weights: np.ndarray
     intercept: float
+    swapped: int = 0       # pairs of sentences whose change of score was penalised
 
 
 def extract(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -66,14 +78,44 @@ def extract(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(ids)
 
 
-def swap_counts(labelled: DataFrame, groups=IDENTITY_TERMS) -> list[tuple[str, str, int]]:
-    """(term, term it is swapped for, labelled sentences): at most one row for each ordered pair of a group."""
-    terms = [t for g in groups for t in g]
-    sentence = F.explode(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[.!?\n]+")).alias("s")
-    held = F.array_intersect(F.split("s", r"[^\p{L}\p{N}]+"), F.array(*[F.lit(t) for t in terms]))
-    found = (labelled.select(sentence).select(F.explode(held).alias("t")).groupBy("t").count().collect())   # <= number of terms
-    seen = {r["t"]: r["count"] for r in found}
-    return [(a, b, seen[a]) for g in groups for a in g if a in seen for b in g if b != a]
+def swaps_of(text: str | None, groups=IDENTITY_TERMS) -> Iterator[tuple[str, str, str, str]]:
+    """(term, other term, sentence, the sentence with the other term in its place) for all sentences that hold terms."""
+    group_of = {t: g for g in groups for t in g}
+    for sentence in _SENTENCE.findall(text or ""):
+        found = [(m.start(), m.end(), m[0].lower()) for m in _WORD.finditer(sentence)]
+        for term in sorted({w for _, _, w in found if w in group_of}):
+            places = [(a, b) for a, b, w in found if w == term]
+            for other in group_of[term]:
+                if other != term:
+                    ends = [0, *[b for _, b in places]]
+                    yield term, other, sentence, "".join(sentence[e:a] + other for e, (a, _) in zip(ends, places)) + sentence[ends[-1]:]
+
+
+def _differences(batches, table: np.ndarray, groups) -> Iterator[pa.RecordBatch]:
+    """Labelled texts -> features (positions in the table) that a sentence gains and loses by a swap, one row for each swap."""
+    lookup = hf.Lookup(table)
+    any_term = re.compile("|".join(re.escape(t) for g in groups for t in g) or r"(?!)", re.IGNORECASE)
+    for part in shared_keys.slices(batches):
+        pairs = [(s, t) for text in part.column("text").to_pylist() if text and any_term.search(text) for _, _, s, t in swaps_of(text, groups)]
+        for a in range(0, len(pairs), 4096):
+            some = pairs[a:a + 4096]
+            sets = []
+            for side in (0, 1):
+                rows, at = lookup.find(*extract(pa.array([p[side] for p in some], pa.string())))
+                sets.append(np.unique(rows * len(table) + at))
+            out = []
+            for mine, theirs in ((0, 1), (1, 0)):
+                only = np.setdiff1d(sets[mine], sets[theirs], assume_unique=True)
+                edges = np.searchsorted(only, np.arange(len(some) + 1) * len(table))
+                out.append(pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array((only % max(1, len(table))).astype(np.int32))))
+            yield pa.RecordBatch.from_arrays(out, names=["lost", "gained"])
+
+
+def score_changes(labelled: DataFrame, table: np.ndarray, groups=IDENTITY_TERMS) -> list[tuple[list[int], list[int], int]]:
+    """(features that only the sentence has, that only its swap has, pairs): one row for each different difference, of which a
+    pair of terms has a few (which of their features the rest of the sentence has as well)."""
+    pairs = labelled.select("text").mapInArrow(lambda it: _differences(it, table, groups), "lost array<int>, gained array<int>")
+    return [(r["lost"], r["gained"], r["count"]) for r in pairs.groupBy("lost", "gained").count().orderBy("lost", "gained").collect()]
 
 
 def fit(labelled: DataFrame, features: int = FEATURES, penalty: float = PENALTY, ridge: float = RIDGE,
@@ -86,23 +128,17 @@ def fit(labelled: DataFrame, features: int = FEATURES, penalty: float = PENALTY,
     if not all(totals):
         share = totals[1] / max(1, sum(totals))
         return Model(empty, np.zeros(0), float(np.log(share + 1e-9) - np.log(1 - share + 1e-9)))
-    swaps = swap_counts(labelled, groups)
-    terms = sorted({t for a, b, _ in swaps for t in (a, b)})
-    term_rows, term_ids = extract(pa.array(terms, pa.string()))
+    _, term_ids = extract(pa.array([t for g in groups for t in g], pa.string()))
     table = np.union1d(hf.choose(labelled, extract, totals, features), term_ids)
     y, edges, at = hf.gather(labelled, extract, table)
     rows = np.repeat(np.arange(len(y)), np.diff(edges))
-    # a swap's change of the score: + the features of one term, - those of the other
-    where = {t: np.searchsorted(table, term_ids[term_rows == i]) for i, t in enumerate(terms)}
-    swap, place, sign = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
-    for k, (a, b, _) in enumerate(swaps):
-        for term, s in ((a, 1.0), (b, -1.0)):
-            swap.append(np.full(len(where[term]), k))
-            place.append(where[term])
-            sign.append(np.full(len(where[term]), s))
-    swap, place, sign = np.concatenate(swap), np.concatenate(place), np.concatenate(sign)
-    force = np.array([n for _, _, n in swaps], dtype=float)
-    force = 2 * penalty * len(y) * force / max(1.0, force.sum())          # of a swap, by its share of the swapped sentences
+    # a swap's change of the score: the weights it loses less those it gains
+    changes = score_changes(labelled, table, groups)
+    sides = [(k, place, s) for k, (lost, gained, _) in enumerate(changes) for places, s in ((lost, 1.0), (gained, -1.0)) for place in places]
+    swap, place = (np.array([x[i] for x in sides], dtype=np.int64) for i in (0, 1))
+    sign = np.array([x[2] for x in sides], dtype=float)
+    pairs = np.array([n for _, _, n in changes], dtype=float)
+    force = 2 * penalty * len(y) * pairs / max(1.0, pairs.sum())          # of a difference, by its share of the pairs
 
     def gradient(w: np.ndarray, c: float) -> tuple[np.ndarray, float]:
         p = hf.sigmoid(c + np.bincount(rows, weights=w[at], minlength=len(y)))
@@ -123,7 +159,7 @@ def fit(labelled: DataFrame, features: int = FEATURES, penalty: float = PENALTY,
         vw = 0.9 * vw - 0.1 * g / curve
         vc = 0.9 * vc - 0.1 * gc / (0.1 * len(y))
         w, c = w + vw, c + vc
-    return Model(table, w, c)
+    return Model(table, w, c, int(pairs.sum()))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

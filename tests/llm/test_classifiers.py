@@ -236,3 +236,27 @@ def test_fits_take_one_row_of_an_id(spark):
         rows = module.training_rows(docs, labels, limit=8).collect()
         assert len(rows) <= 8 and len({r["doc_id"] for r in rows}) == len(rows)
         assert all(r["text"] == f"text {r['doc_id']:04d}" for r in rows)
+
+
+def test_swapped_sentences_and_their_score_changes(spark):
+    groups = (("red", "green", "reddish"), ("old", "young"))
+    texts = ["A red boat. The Old man saw red; red! Nothing here", "green and red and reddish", "no terms", None, "", "old\nyoung", "boldly red-old"] * 3
+    got = [x for t in texts for x in tc.swaps_of(t, groups)]
+    assert ("red", "green", "A red boat", "A green boat") in got and ("old", "young", " The Old man saw red; red", " The young man saw red; red") in got
+    assert ("red", "reddish", " The Old man saw red; red", " The Old man saw reddish; reddish") in got
+    assert ("red", "green", "boldly red-old", "boldly green-old") in got and len(got) == 3 * 16
+
+    table = np.unique(tc.extract(pa.array(["red green reddish old young boat man saw boldly"]))[1])
+
+    def features(sentence):
+        return set(np.searchsorted(table, [f for f in tc.extract(pa.array([sentence]))[1] if f in table]).tolist())
+
+    want = Counter((tuple(sorted(features(s) - features(t))), tuple(sorted(features(t) - features(s)))) for _, _, s, t in got)
+    docs = docs_of(spark, texts).repartition(4)
+    counted = {(tuple(a), tuple(b)): n for a, b, n in tc.score_changes(docs, table, groups)}
+    assert counted == dict(want)
+    # the penalty is the mean squared change of the scores of these pairs
+    w = np.random.default_rng(1).standard_normal(len(table))
+    change = [sum(w[i] for i in features(s)) - sum(w[i] for i in features(t)) for _, _, s, t in got]
+    by_rows = sum(n * (w[list(a)].sum() - w[list(b)].sum()) ** 2 for (a, b), n in counted.items()) / len(got)
+    assert math.isclose(by_rows, float(np.mean(np.square(change))))

@@ -207,3 +207,15 @@ def test_packing_keeps_cut_pieces_of_rows_without_an_id(spark):
     whole = [-(-n // packing.CAPACITY) for n in (len(packing.encode(r["text"], packing.vocabulary_path())) for r in docs.collect())]
     assert len(pieces) > sum(whole)                                           # some are cut by a sequence's end
     _check_pieces(docs, pieces, packing.vocabulary_path())
+
+
+def test_ties_are_mixed_alike_on_every_run(spark):
+    """Rows without id, and rows that share one, have one key; which of them the mix takes does not hang on partitions."""
+    texts = [" ".join(["w"] * (1 + i % 37)) + f" t{i}" for i in range(400)]
+    ids = [None if i % 2 else 7 for i in range(400)]
+    docs = docs_of(spark, texts, ids, ["a" if i % 5 else "b" for i in range(400)])
+    runs = []
+    for parts in (1, 3, 8):
+        got = mixing_es.mix(docs.repartition(parts, "text"), whole=True).select("row.text", "taken", "epochs", "extra").collect()
+        runs.append(sorted(map(tuple, got)))
+    assert runs[0] == runs[1] == runs[2] and any(r[3] for r in runs[0])
