@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm import packing, stages
-from quire.session import scratch_dir
+from quire.session import drop_scratch, scratch_dir
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,9 +57,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for n, (_, stage) in enumerate(STAGES):
         out = scratch_dir(spark, f"pipeline-{n}")
         stage(spark, docs, sf_dir).write.parquet(out)
         docs = spark.read.parquet(out)
+        if before:                                # what the stage has read is not needed any more
+            drop_scratch(spark, before)
+        before = out
     return docs
