@@ -246,18 +246,19 @@ def table_question_items(tq: DataFrame) -> DataFrame:
 
     Definition (the upstream step, which splits items and costs, is not specified): ``value``
     is parsed once, as a variant.  A JSON array gives one row per element, ``item_index`` from
-    0; an object is one item, index 0; any other value (plain text, bad JSON, an empty array, null)
-    keeps a single row without item.  ``item`` is an element's JSON text (keys in order);
-    ``item_name`` and ``cost`` are its ``item`` and ``cost`` where it has them, the cost as a decimal
-    whether it is written as a number or as text, null where it is neither.
+    0 and ``item`` its JSON text (keys in order); any other value (an object, plain text, bad JSON, an
+    empty array, null) keeps a single row without them.  ``item_name`` and ``cost`` are the ``item`` and
+    ``cost`` of the element, or of a value that is an object itself; the cost is a decimal, whether
+    it is written as a number or as text, and null where it is neither.
     """
     parsed = F.try_parse_json("value")
     listed = F.try_variant_get(parsed, "$", "array<variant>")
-    single = F.when(F.startswith(F.schema_of_variant(parsed), F.lit("OBJECT")), F.array(parsed))
+    own = F.when(F.startswith(F.schema_of_variant(parsed), F.lit("OBJECT")), parsed)
     kept = [*_tags(tq), "submission_id", "sub_field_id", "value", "folder_directory"]
-    items = tq.select(*kept, F.posexplode_outer(F.coalesce(listed, single)).alias("item_index", "_item"))
+    items = tq.select(*kept, own.alias("_own"), F.posexplode_outer(listed).alias("item_index", "_item"))
+    held = F.coalesce("_item", "_own")
     return items.select(*kept, "item_index", F.to_json("_item").alias("item"),
-                        F.try_variant_get("_item", "$.item", "string").alias("item_name"), F.try_variant_get("_item", "$.cost", COST).alias("cost"))
+                        F.try_variant_get(held, "$.item", "string").alias("item_name"), F.try_variant_get(held, "$.cost", COST).alias("cost"))
 
 
 def review_stage_export(a: AuditTables, org: str | None, ids: DataFrame | None,
