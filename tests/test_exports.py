@@ -168,3 +168,17 @@ def test_file_references_are_saved_under_their_own_name(spark):
             assert r.destination_path.rsplit("/", 1)[1] == (f.save_as or f.file_name)
             seen.add(f.save_as and "copy")
     assert seen == {"copy", "", None}
+
+
+def test_items_and_costs_are_typed(spark):
+    import decimal
+
+    values = ['[{"cost":3,"item":"a"},{"cost":"2.5","item":"b"},"loose",{"item":4,"cost":"x"},null]', '{"item":"own","cost":1.005}', "[]", "[1", None]
+    tq = spark.createDataFrame([(i, "s", v, "p") for i, v in enumerate(values)], "submission_id long, sub_field_id string, value string, folder_directory string")
+    got = {}
+    for r in exports.table_question_items(tq).orderBy("submission_id", "item_index").collect():
+        got.setdefault(r.submission_id, []).append((r.item_index, r.item_name, r.cost))
+    d = decimal.Decimal
+    assert got[0] == [(0, "a", d("3.00")), (1, "b", d("2.50")), (2, None, None), (3, "4", None), (4, None, None)]
+    assert got[1][0][:2] == (None, "own") and got[1][0][2] in (d("1.00"), d("1.01"))
+    assert got[2] == got[3] == got[4] == [(None, None, None)]
