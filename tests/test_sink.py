@@ -157,3 +157,40 @@ def test_objects_of_one_name_are_all_packed_and_gone_ones_listed(spark, scratch)
         assert r.missing == ["b/k/404"]
         z = zipfile.ZipFile(os.path.join(out, r.file))
         assert {n: z.read(n) for n in z.namelist() if "files_" in n} == {"A/files_/a.pdf": b"one", "A/files_/a.2.pdf": b"two"}
+
+
+def _model_tables(spark, at):
+    """Two submissions of organization 1 that meet a field, a context, a user and a file each."""
+    made = {
+        "customer": ("c_custkey long, c_name string, c_nationkey int", [(1, "Ann", 0), (2, "Bo", 0)]),
+        "supplier": ("s_suppkey long, s_name string, s_acctbal double", [(3, "S3", 9000.0), (6, "S6", 1.0)]),
+        "part": ("p_partkey long, p_name string, p_type string, p_brand string, p_size int", [(1, "a b", "SMALL", "Brand#3", 1), (4, "c d", "LARGE", "Brand#1", 2)]),
+        "orders": ("o_orderkey long, o_custkey long, o_orderstatus string, o_orderdate timestamp_ntz, o_orderpriority string",
+                   [(10, 1, "F", None, "2-HIGH"), (11, 2, "O", None, "1-URGENT")]),
+        "lineitem": ("l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_returnflag string, l_linestatus string",
+                     [(10, 1, 3, 1, "R", "F"), (11, 4, 6, 7, "N", "O")]),
+        "events": ("event_id long, user_id long, ts timestamp_ntz, event_type string, value double, props string", [(1, 10, None, "click", 1.0, "{}")]),
+        "documents": ("doc_id long, text string, lang string, source string, n_chars long", [(1, "one", "en", "web", 3), (2, "two", "en", "web", 3)]),
+    }
+    for name, (schema, rows) in made.items():
+        df = spark.createDataFrame(rows, schema)
+        for c, kind in df.dtypes:
+            if kind == "timestamp_ntz":
+                df = df.withColumn(c, F.lit("2024-01-02 03:04:05").cast("timestamp_ntz"))
+        df.write.parquet(f"{at}/{name}.parquet")
+    return at
+
+
+def _check_sink_query(spark, scratch, name):
+    from quire.plans import registry
+    from quire.session import ensure_checkpoint_dir
+
+    root = ensure_checkpoint_dir(spark).removeprefix("file:")
+    before = set(os.listdir(root))
+    rows = registry.QUERIES[name](spark, _model_tables(spark, f"{scratch}/tables")).collect()
+    return rows, {f.rsplit("-", 1)[0] for f in set(os.listdir(root)) - before}
+
+
+def test_csv_fanout_leaves_nothing_but_its_files(spark, scratch):
+    rows, left = _check_sink_query(spark, scratch, "csv_fanout")
+    assert {r.section for r in rows} >= {"forms", "files", "chronology", "readme"} and left == {"quire-csv"}
