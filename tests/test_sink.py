@@ -194,3 +194,8 @@ def _check_sink_query(spark, scratch, name):
 def test_csv_fanout_leaves_nothing_but_its_files(spark, scratch):
     rows, left = _check_sink_query(spark, scratch, "csv_fanout")
     assert {r.section for r in rows} >= {"forms", "files", "chronology", "readme"} and left == {"quire-csv"}
+
+
+def test_submission_archives_leaves_nothing_but_its_archives(spark, scratch):
+    rows, left = _check_sink_query(spark, scratch, "submission_archives")
+    assert {r.submission_id: r.attachments for r in rows} == {10: 1, 11: 1} and left == {"quire-zip"}
