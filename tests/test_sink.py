@@ -199,3 +199,27 @@ def test_csv_fanout_leaves_nothing_but_its_files(spark, scratch):
 def test_submission_archives_leaves_nothing_but_its_archives(spark, scratch):
     rows, left = _check_sink_query(spark, scratch, "submission_archives")
     assert {r.submission_id: r.attachments for r in rows} == {10: 1, 11: 1} and left == {"quire-zip"}
+
+
+def _shuffle_files(spark):
+    found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {found.apply(i).getName() for i in range(found.size()) if found.apply(i).getName().startswith("shuffle_")}
+
+
+def test_sinks_leave_no_shuffle_files(spark, scratch):
+    """The executors' disks have none of a write's shuffle files when it has returned; the session's setting is as before."""
+    import time
+
+    from quire.session import SHUFFLE_CLEANUP
+
+    rows = spark.createDataFrame([(i, f"A/{i % 5}.csv", f"v{i}") for i in range(40)], "submission_id long, folder_directory string, value string")
+    for write, files in ((sink.write_csv_files, 5), (sink.write_archives, 40)):
+        spark.conf.unset(SHUFFLE_CLEANUP)
+        before = _shuffle_files(spark)
+        manifest = write(spark, {"forms": rows}, f"{scratch}/{write.__name__}")
+        assert spark.conf.get(SHUFFLE_CLEANUP, None) is None
+        ended = time.time() + 5
+        while _shuffle_files(spark) - before and time.time() < ended:
+            time.sleep(0.2)
+        assert not _shuffle_files(spark) - before
+        assert manifest.count() == files
