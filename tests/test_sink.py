@@ -223,3 +223,31 @@ def test_sinks_leave_no_shuffle_files(spark, scratch):
             time.sleep(0.2)
         assert not _shuffle_files(spark) - before
         assert manifest.count() == files
+
+
+def test_bytes_of_files_that_nobody_names_are_not_shuffled(spark, scratch):
+    """2 of 300 files are named: only their bytes meet the manifest, and every named row is there as before."""
+    rows = [(1, "A/a.pdf", "b", "k/3", 3), (1, "A/a.pdf", "b", "k/3", 3), (2, "A/b.pdf", "b", "k/3", 3), (2, None, "b", "k/7", 7),
+            (3, "A/c.pdf", "b", "k/900", 900), (None, "A/d.pdf", "b", None, None)]
+    manifest = spark.createDataFrame(rows, "submission_id long, folder_directory string, bucket_name string, storage_key string, file_id long")
+    held = [(i, os.urandom(20_000)) for i in range(300)] + [(None, b"x")]
+    contents = spark.createDataFrame(held, "file_id long, content binary")
+    contents.write.parquet(f"{scratch}/contents")
+    contents = spark.read.parquet(f"{scratch}/contents")
+
+    def shuffled(df):
+        before = _shuffle_files(spark)
+        found = sorted(map(tuple, df.collect()), key=str)
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return found, sum(files.apply(i).length() for i in range(files.size()) if files.apply(i).getName() in _shuffle_files(spark) - before)
+
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        whole, all_bytes = shuffled(exports.attachments(manifest, contents))
+        found, named_bytes = shuffled(exports.attachments(manifest, contents, materialize_dir=f"{scratch}/named"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert found == whole and len(found) == 5
+    assert {r[:3]: r[3] for r in found}[(2, None, "b/k/7")] == bytearray(held[7][1])
+    assert all_bytes > 300 * 20_000 and named_bytes < 20 * 20_000
