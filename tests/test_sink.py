@@ -251,3 +251,26 @@ def test_bytes_of_files_that_nobody_names_are_not_shuffled(spark, scratch):
     assert found == whole and len(found) == 5
     assert {r[:3]: r[3] for r in found}[(2, None, "b/k/7")] == bytearray(held[7][1])
     assert all_bytes > 300 * 20_000 and named_bytes < 20 * 20_000
+
+
+def test_attachments_of_hot_and_of_many_files_are_the_same(spark, scratch, monkeypatch):
+    """Salted for a file that many rows name, and with more named files than are broadcast."""
+    from quire.operators import skew
+
+    rows = [(i, f"A/{i}.pdf", "b", "k/3", 3) for i in range(50)] + [(i, None, "b", "k/8", 8) for i in range(3)] + [(9, "A/x.pdf", "b", "k/5", 5)]
+    manifest = spark.createDataFrame(rows, "submission_id long, folder_directory string, bucket_name string, storage_key string, file_id long")
+    contents = spark.createDataFrame([(3, b"three"), (8, b"eight"), (8, b"twice"), (4, b"four")], "file_id long, content binary")
+
+    def found(**how):
+        return sorted(map(tuple, exports.attachments(manifest, contents, **how).collect()), key=str)
+
+    plain = found()
+    assert len(plain) == 57 and plain == found(materialize_dir=f"{scratch}/a")
+    monkeypatch.setattr(exports, "BROADCAST_FILES", 1)
+    assert found(materialize_dir=f"{scratch}/b") == plain
+    monkeypatch.undo()
+    spark.conf.set(skew.HOT_KEY_ROWS_CONF, "10")
+    try:
+        assert found(materialize_dir=f"{scratch}/c") == plain
+    finally:
+        spark.conf.unset(skew.HOT_KEY_ROWS_CONF)
